@@ -1,0 +1,32 @@
+"""Order within a day, made visible as a column."""
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tallow.schema import DAY_KEY
+from tallow.session import stage
+
+HOUR_MS = 3_600_000
+
+
+def rank_in_day(candles: DataFrame) -> DataFrame:
+    """Position of each candle in its day by open time, from 1.
+
+    Ranks are taken per hour and shifted by the rows of earlier hours, so that no task
+    sorts a whole day. Open times are unique by now, so an hour has at most one row per
+    millisecond, and a day at most one count per hour of the timestamp range.
+    """
+    keyed = stage(candles.select(*DAY_KEY, "open_time"), "rank")
+    keyed = keyed.withColumn("hour", F.floor(F.col("open_time") / HOUR_MS))
+    hour = [*DAY_KEY, "hour"]
+    earlier = Window.partitionBy(*DAY_KEY).orderBy("hour").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    shifts = keyed.groupBy(*hour).count().select(
+        *hour, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("shift")
+    )
+    in_hour = F.row_number().over(Window.partitionBy(*hour).orderBy("open_time"))
+    ranked = keyed.withColumn("in_hour", in_hour).join(shifts, hour)
+    return ranked.select(
+        *DAY_KEY, "open_time", (F.col("shift") + F.col("in_hour")).alias("position")
+    )
