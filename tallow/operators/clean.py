@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallow.functions.coerce import (
     epoch_ms_in_range,
     epoch_ms_to_utc,
-    is_missing,
+    is_present,
     na_to_null,
     to_float32,
     to_int64,
@@ -31,7 +31,7 @@ def na_tokens_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _any_present(columns: list[str]) -> Column:
     # short-circuits: on ordinary rows only the first column is looked at
-    return reduce(or_, [~is_missing(F.col(c)) for c in columns])
+    return reduce(or_, [is_present(F.col(c)) for c in columns])
 
 
 def drop_all_null_rows(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -9,9 +9,14 @@ _OWN_SCRATCH = "spark.tallow.scratch"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Settings the results depend on: UTC, and timestamps as UTC microseconds in Parquet."""
+    """Settings the results depend on: UTC, and timestamps as UTC microseconds in Parquet.
+
+    The last one is for speed: the JVM never compiles a method of more than 8,000 bytes,
+    so a stage whose generated code is longer had better not be generated as one.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
