@@ -9,6 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallow.schema import MAX_EPOCH_MS, MIN_EPOCH_MS, NA_TOKENS
+# Number spellings only Java knows: a type suffix (d, or f not in "inf"), or hex.
+_JAVA_ONLY = r"[dDxX]|[^nN][fF]\s*$"
+
 
 def is_present(c: Column) -> Column:
     """True for a value; false or null for a missing one, which a filter takes alike."""
@@ -19,22 +22,28 @@ def na_to_null(c: Column) -> Column:
     return F.when(is_present(c), c)
 
 
-def _java_only(c: Column) -> Column:
-    """Number spellings only Java knows: a type suffix (d, or f not in "inf") or hex.
+def may_be_java(columns: list[Column]) -> Column:
+    """Whether any of the texts holds a letter that Java-only number spellings have.
 
-    Substring tests, as a pattern match costs several times as much on the hot path.
+    Asked once per row, it keeps the pattern below off all but a few rows, and the code of
+    a stage short enough for the JVM to compile.
     """
-    lower = F.lower(c)
-    suffix_f = lower.contains("f") & ~lower.contains("inf")
-    return lower.contains("d") | lower.contains("x") | suffix_f
+    row = F.lower(F.concat_ws(" ", *columns))
+    return row.contains("d") | row.contains("f") | row.contains("x")
+
+
+def _is_java(c: Column) -> Column:
+    return c.rlike(_JAVA_ONLY)
 
 
-def to_float32(c: Column) -> Column:
+def to_float32(c: Column, suspect: Column | None = None) -> Column:
     """Parse as double, then narrow; junk and NaN become null, overflow infinity.
 
     Missing-value tokens are sorted out before the cast, in which a failure is slow.
+    ``suspect`` is the row's ``may_be_java``, if known.
     """
-    number = F.when(is_present(c) & ~_java_only(c), c.try_cast("double"))
+    java = _is_java(c) if suspect is None else suspect & _is_java(c)
+    number = F.when(is_present(c) & ~java, c.try_cast("double"))
     return F.nanvl(number.cast("float"), F.lit(None).cast("float"))
 
 
@@ -44,7 +53,7 @@ def to_int64(c: Column) -> Column:
     A double of 2^63 is cast to the largest integer; adding one makes that case overflow
     to null, and no other double comes near it.
     """
-    number = F.when(~_java_only(c), c.try_cast("double"))
+    number = F.when(~_is_java(c), c.try_cast("double"))
     return F.coalesce(c.try_cast("bigint"), F.try_add(number.try_cast("bigint"), F.lit(1)) - 1)
 
 

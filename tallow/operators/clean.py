@@ -10,6 +10,7 @@ from tallow.functions.coerce import (
     epoch_ms_in_range,
     epoch_ms_to_utc,
     is_present,
+    may_be_java,
     na_to_null,
     to_float32,
     to_int64,
@@ -49,7 +50,9 @@ def positional_project(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def coerce_float32(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: to_float32(F.col(c)) for c in FLOAT_COLUMNS})
+    suspect = may_be_java([F.col(c) for c in FLOAT_COLUMNS])
+    floats = {c: to_float32(F.col(c), F.col("suspect")) for c in FLOAT_COLUMNS}
+    return df.withColumn("suspect", suspect).withColumns(floats).drop("suspect")
 
 
 def coerce_int64(df: DataFrame) -> DataFrame:

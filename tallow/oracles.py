@@ -95,7 +95,7 @@ def _archived(position: str) -> str:
     text = ", ".join(f"coalesce({c}, '') {c}" for c in CANDLE.split(", "))
     return f"""{RAW},
 numbered as (
- select * replace (symbol || '-' || cast(row_pos // 1000000 as varchar) as symbol)
+ select * replace (symbol || '-' || cast(row_pos // 200000 as varchar) as symbol)
  from raw_candles)
 select {KEY}, {position} row_pos, {text}, extra from numbered"""
 
@@ -119,7 +119,7 @@ ORACLES = {
     "zip_csv_scan": _archived(_POSITION),
     "archive_fetch_status": f"""{_with(GRID, RAW)},
 found as (
- select distinct symbol || '-' || cast(row_pos // 1000000 as varchar) symbol, "date"
+ select distinct symbol || '-' || cast(row_pos // 200000 as varchar) symbol, "date"
  from raw_candles),
 archived as (
  select symbol, "date", 'FETCHED' status from found

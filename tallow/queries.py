@@ -2,7 +2,6 @@
 
 import io
 import zipfile
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from tallow.fixtures import raw_candles
 from tallow.functions.paths import archive_path, day_text, object_key
 from tallow.operators import clean, days, grid
 from tallow.operators.order import rank_in_day
+from tallow.plans.ingest import load_days
 from tallow.plans.normalize import normalize
 from tallow.schema import (
     CANDLE_COLUMNS,
@@ -22,9 +22,10 @@ from tallow.schema import (
     OUTPUT_COLUMNS,
     PARTITION_COLUMNS,
 )
-from tallow.session import configure, shared_path
-from tallow.sinks.lake import cluster_days, read_lake, write_days
+from tallow.session import configure, shared_path, stage
+from tallow.sinks.lake import read_lake
 from tallow.sources.archive import scan_archives
+from tallow.sources.fetch import file_system
 from tallow.sources.landed import read_landed_csv, scan_landed_zips
 
 SOURCE, INTERVAL = "klines", "15m"
@@ -35,7 +36,7 @@ TEXT_COLUMNS = [*CANDLE_COLUMNS, "extra"]
 UNKNOWN, BROKEN = "NOSUCHUSDT", "BROKENUSDT"
 
 # Most rows that go into one file of a fixture: rows are cut by their position.
-FILE_ROWS = 1_000_000
+FILE_ROWS = 200_000
 
 
 # ---- inputs -------------------------------------------------------------------------
@@ -86,27 +87,19 @@ def _file_number() -> F.Column:
     return F.floor(F.col("row_pos") / FILE_ROWS)
 
 
-def _write_zip(root: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        from pyarrow import fs
-
-        url = rows["url"].iloc[0]
-        text = rows.sort_values("row_pos")[TEXT_COLUMNS].to_csv(index=False)
-        body = io.BytesIO()
-        with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
-            # a fixed time, so that a repeated task writes the same bytes
-            z.writestr(zipfile.ZipInfo("candles.csv", (2024, 1, 1, 0, 0, 0)), text)
-        content = b"not a zip" if rows["broken"].iloc[0] else body.getvalue()
-        if "://" in url or url.startswith("file:"):
-            system, path = fs.FileSystem.from_uri(url)
-        else:
-            system, path = fs.LocalFileSystem(), url
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(path) as out:
-            out.write(content)
-        return pd.DataFrame({"url": [url]})
-
-    return write
+def _write_zip(rows: pd.DataFrame) -> pd.DataFrame:
+    url = rows["url"].iloc[0]
+    text = rows.sort_values("row_pos")[TEXT_COLUMNS].to_csv(index=False)
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        # a fixed time, so that a repeated task writes the same bytes
+        member = zipfile.ZipInfo("candles.csv", (2024, 1, 1, 0, 0, 0))
+        z.writestr(member, text, zipfile.ZIP_DEFLATED)
+    system, path = file_system(url)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path) as out:
+        out.write(b"not a zip" if rows["broken"].iloc[0] else body.getvalue())
+    return pd.DataFrame({"url": [url]})
 
 
 def _write_archives(rows: DataFrame, root: str) -> None:
@@ -116,7 +109,7 @@ def _write_archives(rows: DataFrame, root: str) -> None:
         rows.withColumn("url", path)
         .select("url", "broken", "row_pos", *TEXT_COLUMNS)
         .groupBy("url")
-        .applyInPandas(_write_zip(root), "url string")
+        .applyInPandas(_write_zip, "url string")
     )
     written.write.format("noop").mode("overwrite").save()
 
@@ -183,19 +176,25 @@ def _stored(spark: SparkSession, prefix: str) -> DataFrame:
     return stored.select(*DAY_KEY, *OUTPUT_COLUMNS)
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Typed rows and day counts, landed as in the ingest."""
+    landed = stage(_typed(spark, sf_dir), "landing")
+    return landed, stage(days.day_stats(landed), "day-stats")
+
+
 def partitioned_sink_roundtrip(spark, sf_dir):
     prefix = shared_path(spark, "lake")
-    write_days(cluster_days(candle_normalize(spark, sf_dir)), prefix, SOURCE)
+    load_days(*_landed(spark, sf_dir), prefix, SOURCE)
     return _stored(spark, prefix)
 
 
 def partition_overwrite_idempotent(spark, sf_dir):
     prefix = shared_path(spark, "lake")
-    candles = cluster_days(candle_normalize(spark, sf_dir))
-    write_days(candles, prefix, SOURCE)
-    first_half = candles.where(F.dayofmonth(F.col("date").cast("date")) <= 15)
+    landed, stats = _landed(spark, sf_dir)
+    load_days(landed, stats, prefix, SOURCE)
+    first_half = F.dayofmonth(F.col("date").cast("date")) <= 15
     for _ in range(2):
-        write_days(first_half, prefix, SOURCE)
+        load_days(landed.where(first_half), stats.where(first_half), prefix, SOURCE)
     return _stored(spark, prefix)
 
 

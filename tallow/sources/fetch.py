@@ -78,15 +78,18 @@ def get_http(url: str, connect_timeout: float, read_timeout: float, open_url=Non
     return body
 
 
-def get_file(url: str) -> BinaryIO:
-    """An archive on a file system that Arrow knows; a plain path is a local or mounted one."""
+def file_system(url: str):
+    """Arrow's file system for a path, and the path on it; no scheme means a mounted one."""
     from pyarrow import fs
 
+    if "://" in url or url.startswith("file:"):
+        return fs.FileSystem.from_uri(url)
+    return fs.LocalFileSystem(), url
+
+
+def get_file(url: str) -> BinaryIO:
+    system, path = file_system(url)
     try:
-        if "://" in url or url.startswith("file:"):
-            system, path = fs.FileSystem.from_uri(url)
-        else:
-            system, path = fs.LocalFileSystem(), url
         return system.open_input_file(path)
     except FileNotFoundError:
         raise Absent(url) from None

@@ -1,0 +1,39 @@
+"""Archives written by the tests themselves."""
+
+import zipfile
+from pathlib import Path
+
+HEADER = "open_time,open,high,low,close,volume,close_time,quote_volume,count,tb,tq,ignore"
+T0 = 1704153600000  # 2024-01-02 00:00 UTC
+
+
+def row(minute=0, *, open_time=None, width=12, **values):
+    """One CSV line; values are given by canonical name."""
+    start = T0 + minute * 60000 if open_time is None else open_time
+    cells = {
+        "open_time": start, "open": 1.5, "high": 2.5, "low": 0.5, "close": 1.25, "volume": 10,
+        "close_time": T0 + minute * 60000 + 59999, "quote_volume": 15.5, "trades": 7,
+        "taker_buy_base": 3, "taker_buy_quote": 4.5, "extra": 0,
+    }
+    cells.update(values)
+    return ",".join(str(v) for v in list(cells.values())[:width])
+
+
+def csv_text(*rows, header=HEADER):
+    return "\n".join([header, *rows]) + "\n"
+
+
+def archive_file(root, symbol, interval="1m", date="2024-01-02", source="klines") -> Path:
+    folder = Path(root) / source / symbol
+    name = f"{symbol}-{interval or source}-{date}.zip"
+    path = folder / interval / name if interval else folder / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    return path
+
+
+def write_archive(root, symbol, *members, **key) -> Path:
+    path = archive_file(root, symbol, **key)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for i, text in enumerate(members):
+            z.writestr(f"member{i}.csv", text)
+    return path

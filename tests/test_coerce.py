@@ -1,0 +1,80 @@
+import math
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallow.functions.coerce import epoch_ms_to_utc, na_to_null, to_float32, to_int64
+from tallow.operators.clean import coerce_float32
+from tallow.schema import FLOAT_COLUMNS, MAX_EPOCH_MS, MIN_EPOCH_MS, NA_TOKENS, NO_TIME
+
+
+def float32(x):
+    return struct.unpack("f", struct.pack("f", x))[0]
+
+
+FLOATS = {
+    "1.5": 1.5, " 1.5 ": 1.5, "1e3": 1000.0, "-.25": -0.25, "7": 7.0, "0.1": float32(0.1),
+    "inf": math.inf, "-inf": -math.inf, "+Infinity": math.inf, "1e39": math.inf, "1e400": math.inf,
+    "abc": None, "": None, "NaN": None, "nan": None, "NA": None, "null": None, None: None,
+    "1.5d": None, "1.5D": None, "1.5f": None, "1.5F": None, "1.5f ": None, "0x1p3": None,
+    "1_000": None, "1,5": None, "--1": None,
+}
+
+INTS = {
+    "12": 12, "-3": -3, "+5": 5, " 8 ": 8, "12.7": 12, "-12.7": -12, "1e3": 1000,
+    "9223372036854775807": 2**63 - 1, "-9223372036854775808": -(2**63),
+    "9223372036854775808": None, "1e20": None, "-1e20": None, "9007199254740993": 2**53 + 1,
+    "x": None, "n/a": None, "": None, "NaN": None, "inf": None, "1.5d": None, "12f": None,
+    "0x10": None, None: None,
+}
+
+
+def evaluate(spark, texts, expression):
+    rows = spark.createDataFrame([(t,) for t in texts], "c string")
+    return [r[0] for r in rows.select(expression(F.col("c"))).collect()]
+
+
+def test_float32(spark):
+    assert evaluate(spark, FLOATS, to_float32) == list(FLOATS.values())
+
+
+def test_float32_with_the_guard_asked_per_row(spark):
+    """Each token beside harmless neighbours and beside letters that raise suspicion."""
+    for neighbour in ("1.0", "inf", "1d"):
+        columns = [F.col("c") if c == "open" else F.lit(neighbour) for c in FLOAT_COLUMNS]
+        rows = spark.createDataFrame([(t,) for t in FLOATS], "c string")
+        rows = rows.select(*(x.alias(c) for x, c in zip(columns, FLOAT_COLUMNS)))
+        found = [r["open"] for r in coerce_float32(rows).collect()]
+        assert found == list(FLOATS.values())
+
+
+def test_int64(spark):
+    assert evaluate(spark, INTS, to_int64) == list(INTS.values())
+
+
+def test_na_tokens(spark):
+    assert evaluate(spark, NA_TOKENS, na_to_null) == [None] * len(NA_TOKENS)
+    assert evaluate(spark, ["Na", "none", " NA", "0"], na_to_null) == ["Na", "none", " NA", "0"]
+
+
+@pytest.mark.parametrize(
+    "ms, seconds",
+    [
+        (0, 0),
+        (1704153600123, 1704153600.123),
+        (-1, -0.001),
+        (MAX_EPOCH_MS, 9223372036.854),
+        (MAX_EPOCH_MS + 1, None),
+        (MIN_EPOCH_MS, -9223372036.854),
+        (MIN_EPOCH_MS - 1, None),
+        (1704153600123456, None),
+        (NO_TIME, None),
+        (2**63 - 1, None),
+        (None, None),
+    ],
+)
+def test_epoch_ms(spark, ms, seconds):
+    row = spark.createDataFrame([(ms,)], "ms long")
+    micros = row.select(F.unix_micros(epoch_ms_to_utc(F.col("ms")))).first()[0]
+    assert micros == (None if seconds is None else round(seconds * 1e6))
