@@ -90,7 +90,8 @@ def file_system(url: str):
 def get_file(url: str) -> BinaryIO:
     system, path = file_system(url)
     try:
-        return system.open_input_file(path)
+        # a mounted file is opened as such: zip reading expects its kind of seek errors
+        return open(path, "rb") if system.type_name == "local" else system.open_input_file(path)
     except FileNotFoundError:
         raise Absent(url) from None
 

@@ -1,5 +1,6 @@
 """Files that have landed on the lake's own file system, in any place Hadoop can read."""
 
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,7 +46,7 @@ def scan_landed_zips(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             content = batch.column("content")
             for i, day in enumerate(batch.select(DAY_KEY).to_pylist()):
-                body = pa.BufferReader(content[i].as_buffer())
+                body = io.BytesIO(content[i].as_buffer())
                 yield from read_day(day, lambda: body)
 
     return archives.mapInArrow(scan, RAW_SCHEMA)
