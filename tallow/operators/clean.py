@@ -21,6 +21,7 @@ from tallow.schema import (
     ERROR,
     FLOAT_COLUMNS,
     INT_COLUMNS,
+    NO_INTERVAL,
     NO_TIME,
     OUTPUT_COLUMNS,
 )
@@ -88,7 +89,8 @@ def type_candles(raw: DataFrame) -> DataFrame:
     being a copy of ``open_time``.
     """
     source_columns = [*CANDLE_COLUMNS, "extra"]
-    present = raw.where(F.col("row_pos").isNull() | _any_present(source_columns))
+    keyed = raw.withColumn("interval", F.coalesce("interval", F.lit(NO_INTERVAL)))
+    present = keyed.where(F.col("row_pos").isNull() | _any_present(source_columns))
     typed = present.transform(coerce_float32).transform(coerce_int64)
     return typed.select(
         *DAY_KEY, "row_pos", "status", _problem().alias("problem"), *CANDLE_COLUMNS

@@ -21,6 +21,7 @@ def cluster_days(df: DataFrame, tasks: int | None = None) -> DataFrame:
     Ranges are cut from a sample, so a day with a third of all rows becomes many files,
     each covering its own span of time.
     """
+    df = df.withColumn("interval", F.coalesce("interval", F.lit(NO_INTERVAL)))
     columns = [*PARTITION_COLUMNS, "open_time"]
     if tasks is None:
         return df.repartitionByRange(*columns)
@@ -35,9 +36,8 @@ def write_days(candles: DataFrame, prefix: str, source: str) -> None:
     itself left out if the rows already come in that order.
     """
     order = [*PARTITION_COLUMNS, "source", "open_time"]
-    stored = candles.withColumn("interval", F.coalesce("interval", F.lit(NO_INTERVAL)))
     (
-        stored.sortWithinPartitions(*order)
+        candles.sortWithinPartitions(*order)
         .select(*OUTPUT_COLUMNS, *PARTITION_COLUMNS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

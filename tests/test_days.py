@@ -1,0 +1,176 @@
+"""Gate, keep-first, skips and manifest; the two lanes; the shape of the plans."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallow.fixtures import raw_candles
+from tallow.operators import days
+from tallow.operators.clean import positional_project, type_candles
+from tallow.operators.order import rank_in_day
+from tallow.plans.normalize import finish, normalize
+from tallow.schema import CANDLE_COLUMNS, DAY_KEY, RAW_SCHEMA
+from tallow.session import stage
+
+DATA = "/root/testdata/sf{}"
+
+# rows, null prices, first and last open time
+GOLDEN = {
+    "0.001": (947, 18, 1704068100000, 1706656500000),
+    "0.01": (7107, 138, 1704067200000, 1706658300000),
+    "0.1": (14287, 315, 1704067200000, 1706658300000),
+}
+
+
+def same_rows(a, b):
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def exchanges(plan):
+    return len(re.findall(r"(?<!Broadcast)Exchange ", plan))
+
+
+@pytest.mark.parametrize("sf", GOLDEN)
+def test_golden_counts(spark, sf):
+    candles = normalize(raw_candles(spark, DATA.format(sf)))
+    n_null = F.count_if(F.col("open").isNull())
+    found = candles.agg(F.count("*"), n_null, F.min("open_time"), F.max("open_time")).first()
+    assert tuple(found) == GOLDEN[sf]
+
+
+@pytest.mark.parametrize("max_day_rows", [1, 60, 66, 70, 10_000])
+def test_lanes_give_the_same_rows(spark, max_day_rows):
+    """All days large, some large, the failed day large or not, none large."""
+    raw = raw_candles(spark, DATA.format("0.01"))
+    assert same_rows(normalize(raw, max_day_rows), normalize(raw))
+
+
+def test_result_does_not_depend_on_partitioning(spark):
+    raw = stage(raw_candles(spark, DATA.format("0.01")), "raw")
+    wanted = normalize(raw)
+    for shuffled in (raw.repartition(13), raw.orderBy(F.desc("row_pos")), raw.coalesce(1)):
+        assert same_rows(normalize(shuffled), wanted)
+        assert same_rows(normalize(shuffled, 50), wanted)
+
+
+@pytest.fixture
+def skewed(spark):
+    """One day holds nearly all rows, most of them copies of one open time."""
+    text = [F.lit("1.5").alias(c) for c in CANDLE_COLUMNS if c not in ("open_time", "trades")]
+    n = F.col("id")
+    rows = spark.range(60_000).select(
+        F.when(n % 20 == 0, "SMALL").otherwise("BIG").alias("symbol"),
+        F.lit("1m").alias("interval"),
+        F.concat(F.lit("2024-01-"), F.lpad(F.when(n % 20 == 0, n % 9).otherwise(1) + 1, 2, "0"))
+        .alias("date"),
+        F.lit("klines").alias("source"),
+        n.alias("row_pos"),
+        F.when(n % 3 == 0, n * 60000).otherwise(0).cast("string").alias("open_time"),
+        F.lit("7").alias("trades"),
+        *text,
+        *(F.lit(None).cast("string").alias(c) for c in ("status", "error", "extra")),
+        F.lit(12).alias("n_fields"),
+    )
+    return rows.withColumn("close_time", F.lit("0")).select(*RAW_SCHEMA.fieldNames())
+
+
+def test_skewed_day(spark, skewed):
+    wanted = (
+        skewed.groupBy(*DAY_KEY, F.col("open_time").cast("long").alias("open_time"))
+        .agg(F.min("row_pos").alias("row_pos"))
+    )
+    typed = stage(type_candles(skewed), "typed")
+    for limit in (1_000, 10**9):
+        gated = days.gate_days(typed, limit)
+        kept = days.dedup_keep_first(gated).select(*wanted.columns)
+        assert same_rows(kept, wanted)
+
+
+def test_one_bad_row_fails_a_large_day_whole(spark, skewed):
+    bad = F.when(F.col("row_pos") == 30_001, "x").otherwise(F.col("trades"))
+    candles = normalize(skewed.withColumn("trades", bad), 1_000)
+    assert [r[0] for r in candles.select("symbol").distinct().collect()] == ["SMALL"]
+
+
+def test_number_of_large_days_is_bounded(spark, monkeypatch):
+    """The limit follows the total, so that fewer days than the bound can exceed it."""
+    monkeypatch.setattr(days, "MAX_LARGE_DAYS", 20)
+    stats = days.day_stats(type_candles(raw_candles(spark, DATA.format("0.01"))))
+    assert days.size_up(stats, 1).large is None  # 150 days of about 66 rows: none above 495
+    monkeypatch.setattr(days, "MAX_LARGE_DAYS", 150)
+    large = days.size_up(stats, 1).large
+    assert 0 < large.count() < 150
+
+
+def test_ordinary_days_take_one_exchange_and_one_sort(spark, skewed):
+    typed = stage(type_candles(skewed), "typed")
+    for tasks in (None, 7):
+        plan = plan_of(finish(days.gate_in_window(typed, tasks)))
+        assert exchanges(plan) == 1
+        assert len(re.findall(r"\bSort \[", plan)) == 1
+        assert "MapInArrow" not in plan and "Python" not in plan
+
+
+def test_large_days_shrink_before_they_move(spark, skewed):
+    typed = stage(type_candles(skewed), "typed")
+    large = days.size_up(days.day_stats(typed), 1_000).large
+    plan = plan_of(finish(days.gate_lanes(typed, large)[1]))
+    assert exchanges(plan) == 1
+    before_exchange = plan[plan.index("Exchange hashpartitioning") :]
+    assert "Partial" in before_exchange and "open_time" in before_exchange.splitlines()[0]
+
+
+def test_gate_reads_only_what_it_needs_to_count(spark, skewed):
+    stats = days.day_stats(stage(type_candles(skewed), "typed"))
+    explain = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+    plan = explain(stats._jdf.queryExecution(), "formatted")
+    schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
+    assert {c.split(":")[0] for c in schema.split(",")} == {
+        *DAY_KEY, "row_pos", "status", "problem"
+    }
+
+
+def test_skips_and_manifest(spark):
+    grid = spark.createDataFrame(
+        [(s, "1m", "2024-01-01", "klines") for s in "ABCDE"], ", ".join(f"{c} string" for c in DAY_KEY)
+    )
+    stats = spark.createDataFrame(
+        [
+            ("A", "1m", "2024-01-01", "klines", 5, None, False),
+            ("B", "1m", "2024-01-01", "klines", 5, "trades is not an integer", False),
+            ("C", "1m", "2024-01-01", "klines", 0, None, True),
+            ("D", "1m", "2024-01-01", "klines", 0, "HTTP 500", False),
+        ],
+        ", ".join(f"{c} string" for c in DAY_KEY) + ", n_rows long, problem string, absent boolean",
+    )
+    manifest = {r["symbol"]: r for r in days.run_manifest(grid, stats, "raw").collect()}
+    assert {s: (r["status"], r["error"], r["n_rows"]) for s, r in manifest.items()} == {
+        "A": ("DONE", None, 5),
+        "B": ("ERROR", "trades is not an integer", 5),
+        "C": ("SKIP", None, 0),
+        "D": ("ERROR", "HTTP 500", 0),
+        "E": ("SKIP", None, 0),
+    }
+    assert {r["symbol"] for r in days.days_without_rows(grid, stats).collect()} == set("CDE")
+    assert {r["symbol"] for r in days.days_with_rows(grid, stats).collect()} == set("AB")
+
+
+def test_positional_project_needs_eleven_columns(spark):
+    ten = spark.range(1).select("id", *(F.lit("1").alias(f"x{i}") for i in range(10)))
+    with pytest.raises(ValueError, match="10 columns, 11 needed"):
+        positional_project(ten, ["id"])
+
+
+def test_rank_across_hours_and_before_1970(spark):
+    times = [-7_200_001, -3_600_000, -1, 0, 1, 3_599_999, 3_600_000, 90_000_000]
+    rows = spark.createDataFrame(
+        [("A", "1m", "d", "k", t) for t in reversed(times)],
+        ", ".join(f"{c} string" for c in DAY_KEY) + ", open_time long",
+    )
+    ranked = {r["open_time"]: r["position"] for r in rank_in_day(rows).collect()}
+    assert ranked == {t: i + 1 for i, t in enumerate(times)}
