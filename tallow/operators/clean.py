@@ -1,15 +1,12 @@
 """From raw text rows to typed candles. Narrow projections and filters only: no shuffle."""
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallow.functions.coerce import (
+    any_present,
     epoch_ms_in_range,
     epoch_ms_to_utc,
-    is_present,
     may_be_java,
     na_to_null,
     to_float32,
@@ -28,17 +25,12 @@ from tallow.schema import (
 
 
 def na_tokens_to_null(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: na_to_null(F.col(c)) for c in columns})
-
-
-def _any_present(columns: list[str]) -> Column:
-    # short-circuits: on ordinary rows only the first column is looked at
-    return reduce(or_, [is_present(F.col(c)) for c in columns])
+    return df.withColumns({c: na_to_null(c) for c in columns})
 
 
 def drop_all_null_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """Drop rows in which every source column, truncated ones included, is missing."""
-    return df.where(_any_present(columns))
+    return df.where(any_present(columns))
 
 
 def positional_project(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -51,17 +43,17 @@ def positional_project(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def coerce_float32(df: DataFrame) -> DataFrame:
-    suspect = may_be_java([F.col(c) for c in FLOAT_COLUMNS])
-    floats = {c: to_float32(F.col(c), F.col("suspect")) for c in FLOAT_COLUMNS}
+    suspect = may_be_java(FLOAT_COLUMNS)
+    floats = {c: to_float32(c, "suspect") for c in FLOAT_COLUMNS}
     return df.withColumn("suspect", suspect).withColumns(floats).drop("suspect")
 
 
 def coerce_int64(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: to_int64(F.col(c)) for c in INT_COLUMNS})
+    return df.withColumns({c: to_int64(c) for c in INT_COLUMNS})
 
 
 def with_timestamp(df: DataFrame) -> DataFrame:
-    return df.withColumn("timestamp", epoch_ms_to_utc(F.col("open_time")))
+    return df.withColumn("timestamp", epoch_ms_to_utc("open_time"))
 
 
 def _problem() -> Column:
@@ -75,10 +67,8 @@ def _problem() -> Column:
     data = F.col("row_pos").isNotNull()
     for c in INT_COLUMNS:
         reason = reason.when(data & F.col(c).isNull(), F.lit(f"{c} is not an integer"))
-    time = F.col("open_time")
-    return reason.when(
-        data & ~epoch_ms_in_range(time) & (time != NO_TIME), F.lit("open_time is out of range")
-    )
+    outside = ~epoch_ms_in_range("open_time") & (F.col("open_time") != NO_TIME)
+    return reason.when(data & outside, F.lit("open_time is out of range"))
 
 
 def type_candles(raw: DataFrame) -> DataFrame:
@@ -90,7 +80,7 @@ def type_candles(raw: DataFrame) -> DataFrame:
     """
     source_columns = [*CANDLE_COLUMNS, "extra"]
     keyed = raw.withColumn("interval", F.coalesce("interval", F.lit(NO_INTERVAL)))
-    present = keyed.where(F.col("row_pos").isNull() | _any_present(source_columns))
+    present = keyed.where(F.col("row_pos").isNull() | any_present(source_columns))
     typed = present.transform(coerce_float32).transform(coerce_int64)
     return typed.select(
         *DAY_KEY, "row_pos", "status", _problem().alias("problem"), *CANDLE_COLUMNS

@@ -4,8 +4,8 @@ A day is the unit of failure, yet its rows must not have to meet in one task: on
 hold a third of all rows. Days are therefore counted first (a map-side combined aggregate,
 one row per day out). Ordinary days go through one exchange on the day key, which the gate,
 the deduplication and the writer share. Days above ``max_day_rows`` take another lane:
-their verdict comes from the counts, and their rows are deduplicated before and after an
-exchange on (day, open_time), so that no task gets more than its share.
+their verdict comes from an aggregate as well, and their rows are deduplicated before and
+after an exchange on (day, open_time), so that no task gets more than its share.
 """
 
 from dataclasses import dataclass
@@ -36,6 +36,11 @@ def day_stats(typed: DataFrame) -> DataFrame:
     )
 
 
+def day_counts(raw: DataFrame) -> DataFrame:
+    """Rows per day, all-missing ones included: an upper bound that only reads the keys."""
+    return raw.groupBy(*DAY_KEY).agg(F.count("row_pos").alias("n_rows"))
+
+
 @dataclass(frozen=True)
 class Sizes:
     """Rows in all, and the days too large for one task (None if there are none)."""
@@ -49,16 +54,18 @@ class Sizes:
         return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
 
 
-def size_up(stats: DataFrame, max_day_rows: int = MAX_DAY_ROWS) -> Sizes:
-    """Find the large days. There are never more than ``MAX_LARGE_DAYS`` of them."""
-    total, biggest = stats.agg(
+def size_up(counts: DataFrame, max_day_rows: int = MAX_DAY_ROWS) -> Sizes:
+    """Find the large days. There are never more than ``MAX_LARGE_DAYS`` of them.
+
+    ``counts`` is either ``day_counts`` or ``day_stats``.
+    """
+    total, biggest = counts.agg(
         F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.max("n_rows"), F.lit(0))
     ).first()
     limit = max(max_day_rows, total // MAX_LARGE_DAYS)
     if biggest <= limit:
         return Sizes(total, None)
-    large = stats.where(F.col("n_rows") > limit).select(*DAY_KEY, "problem")
-    return Sizes(total, stage(large, "large-days"))
+    return Sizes(total, stage(counts.where(F.col("n_rows") > limit), "large-days"))
 
 
 def gate_in_window(typed: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -90,6 +97,8 @@ def gate_lanes(
         lanes = [gate_in_window(typed, tasks)]
     else:
         keys = F.broadcast(large.select(*DAY_KEY))
+        if "problem" not in large.columns:
+            large = stage(day_stats(typed.join(keys, DAY_KEY, "left_semi")), "large-days")
         sound = F.broadcast(large.where(F.col("problem").isNull()).select(*DAY_KEY))
         lanes = [
             gate_in_window(typed.join(keys, DAY_KEY, "left_anti"), tasks),
@@ -98,9 +107,11 @@ def gate_lanes(
     return [lane.where(F.col("row_pos").isNotNull()).drop("status", "problem") for lane in lanes]
 
 
-def gate_days(typed: DataFrame, max_day_rows: int = MAX_DAY_ROWS) -> DataFrame:
+def gate_days(
+    typed: DataFrame, counts: DataFrame, max_day_rows: int = MAX_DAY_ROWS
+) -> DataFrame:
     """Rows of days in which every row is sound; a day with one bad row goes whole."""
-    first, *rest = gate_lanes(typed, size_up(day_stats(typed), max_day_rows).large)
+    first, *rest = gate_lanes(typed, size_up(counts, max_day_rows).large)
     return reduce(DataFrame.unionByName, rest, first)
 
 

@@ -10,7 +10,7 @@ from tallow.operators.clean import (
     type_candles,
     with_timestamp,
 )
-from tallow.operators.days import MAX_DAY_ROWS, day_stats, dedup_keep_first, gate_lanes, size_up
+from tallow.operators.days import MAX_DAY_ROWS, day_counts, dedup_keep_first, gate_lanes, size_up
 
 
 def finish(gated: DataFrame) -> DataFrame:
@@ -26,9 +26,8 @@ def finish(gated: DataFrame) -> DataFrame:
 def normalize(raw: DataFrame, max_day_rows: int = MAX_DAY_ROWS) -> DataFrame:
     """Clean candles of all days of ``raw``, keyed by day.
 
-    Counts the days first, so ``raw`` is read twice; land it before if reading it is dear,
-    as the ingest does.
+    Counts the days first, which reads the keys of ``raw`` alone; land it before if that is
+    dear, as the ingest does.
     """
-    typed = type_candles(raw)
-    lanes = gate_lanes(typed, size_up(day_stats(typed), max_day_rows).large)
+    lanes = gate_lanes(type_candles(raw), size_up(day_counts(raw), max_day_rows).large)
     return reduce(DataFrame.unionByName, map(finish, lanes))

@@ -55,7 +55,8 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return days.gate_days(_typed(spark, sf_dir))
+    raw = _raw(spark, sf_dir)
+    return days.gate_days(clean.type_candles(raw), days.day_counts(raw))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,8 +285,9 @@ def drop_null_timestamp(spark, sf_dir):
     # click rows of the first day get the integer that stands for "no time"
     timeless = (F.col("symbol") == "CLICKUSDT") & (F.col("date") == "2024-01-01")
     open_time = F.when(timeless, F.lit(str(NO_TIME))).otherwise(F.col("open_time"))
-    typed = clean.type_candles(_raw(spark, sf_dir).withColumn("open_time", open_time))
-    kept = clean.drop_null_timestamp(clean.with_timestamp(days.gate_days(typed)))
+    raw = _raw(spark, sf_dir).withColumn("open_time", open_time)
+    gated = days.gate_days(clean.type_candles(raw), days.day_counts(raw))
+    kept = clean.drop_null_timestamp(clean.with_timestamp(gated))
     return kept.select(*DAY_KEY, "row_pos", "open_time", "timestamp")
 
 
