@@ -98,6 +98,8 @@ def gate_lanes(
     else:
         keys = F.broadcast(large.select(*DAY_KEY))
         if "problem" not in large.columns:
+            # three readers follow; landing the rows spares typing them three times
+            typed = stage(typed, "typed")
             large = stage(day_stats(typed.join(keys, DAY_KEY, "left_semi")), "large-days")
         sound = F.broadcast(large.where(F.col("problem").isNull()).select(*DAY_KEY))
         lanes = [

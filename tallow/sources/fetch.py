@@ -83,7 +83,8 @@ def file_system(url: str):
     from pyarrow import fs
 
     if "://" in url or url.startswith("file:"):
-        return fs.FileSystem.from_uri(url)
+        # Hadoop's name for the scheme is not Arrow's
+        return fs.FileSystem.from_uri(url.replace("s3a://", "s3://", 1))
     return fs.LocalFileSystem(), url
 
 
