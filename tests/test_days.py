@@ -23,8 +23,18 @@ GOLDEN = {
 }
 
 
-def same_rows(a, b):
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+def rows_of(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.fixture(scope="module")
+def raw(spark):
+    return stage(raw_candles(spark, DATA.format("0.01")), "raw")
+
+
+@pytest.fixture(scope="module")
+def wanted(spark, raw):
+    return rows_of(normalize(raw))
 
 
 def plan_of(df):
@@ -44,18 +54,15 @@ def test_golden_counts(spark, sf):
 
 
 @pytest.mark.parametrize("max_day_rows", [1, 60, 66, 70, 10_000])
-def test_lanes_give_the_same_rows(spark, max_day_rows):
+def test_lanes_give_the_same_rows(raw, wanted, max_day_rows):
     """All days large, some large, the failed day large or not, none large."""
-    raw = raw_candles(spark, DATA.format("0.01"))
-    assert same_rows(normalize(raw, max_day_rows), normalize(raw))
+    assert rows_of(normalize(raw, max_day_rows)) == wanted
 
 
-def test_result_does_not_depend_on_partitioning(spark):
-    raw = stage(raw_candles(spark, DATA.format("0.01")), "raw")
-    wanted = normalize(raw)
+def test_result_does_not_depend_on_partitioning(raw, wanted):
     for shuffled in (raw.repartition(13), raw.orderBy(F.desc("row_pos")), raw.coalesce(1)):
-        assert same_rows(normalize(shuffled), wanted)
-        assert same_rows(normalize(shuffled, 50), wanted)
+        assert rows_of(normalize(shuffled)) == wanted
+        assert rows_of(normalize(shuffled, 50)) == wanted
 
 
 @pytest.fixture
@@ -88,7 +95,7 @@ def test_skewed_day(spark, skewed):
     for limit in (1_000, 10**9):
         gated = days.gate_days(typed, days.day_counts(typed), limit)
         kept = days.dedup_keep_first(gated).select(*wanted.columns)
-        assert same_rows(kept, wanted)
+        assert rows_of(kept) == rows_of(wanted)
 
 
 def test_one_bad_row_fails_a_large_day_whole(spark, skewed):
@@ -97,10 +104,10 @@ def test_one_bad_row_fails_a_large_day_whole(spark, skewed):
     assert [r[0] for r in candles.select("symbol").distinct().collect()] == ["SMALL"]
 
 
-def test_number_of_large_days_is_bounded(spark, monkeypatch):
+def test_number_of_large_days_is_bounded(raw, monkeypatch):
     """The limit follows the total, so that fewer days than the bound can exceed it."""
     monkeypatch.setattr(days, "MAX_LARGE_DAYS", 20)
-    stats = days.day_stats(type_candles(raw_candles(spark, DATA.format("0.01"))))
+    stats = days.day_stats(type_candles(raw))
     assert days.size_up(stats, 1).large is None  # 150 days of about 66 rows: none above 495
     monkeypatch.setattr(days, "MAX_LARGE_DAYS", 150)
     large = days.size_up(stats, 1).large
