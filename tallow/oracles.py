@@ -123,12 +123,9 @@ found as (
  from raw_candles),
 archived as (
  select symbol, "date", 'FETCHED' status from found
- union all select 'BROKENUSDT-' || symbol, "date", 'ERROR' from found),
-names as (select distinct symbol from archived union all select 'NOSUCHUSDT')
-select n.symbol, '15m' "interval", s."date", 'klines' source,
- coalesce(a.status, 'ABSENT') status
-from names n cross join spine s
-left join archived a on a.symbol = n.symbol and a."date" = s."date" """,
+ union all select 'BROKENUSDT-' || symbol, "date", 'ERROR' from found
+ union all select 'NOSUCHUSDT', "date", 'ABSENT' from spine)
+select symbol, '15m' "interval", "date", 'klines' source, status from archived""",
     "csv_scan_header_discard": f"{RAW} select {KEY}, {TEXT} from raw_candles",
     "date_spine": f'{GRID} select "date" from spine',
     "job_grid": f"{GRID} select {KEY} from grid",

@@ -123,10 +123,10 @@ def _archived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _archived_grid(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
-    """All days of the archived symbols and of one that has no archives."""
+    """The archived days, and all days of a symbol that has no archives."""
     unknown = spark.range(1).select(F.lit(UNKNOWN).alias("symbol"))
-    symbols = rows.select("symbol").distinct().unionByName(unknown)
-    return grid.job_grid(symbols, SOURCE, INTERVAL, *_bounds(_events(spark, sf_dir)))
+    absent = grid.job_grid(unknown, SOURCE, INTERVAL, *_bounds(_events(spark, sf_dir)))
+    return rows.select(*DAY_KEY).distinct().unionByName(absent)
 
 
 # ---- sources and sinks -----------------------------------------------------------------
