@@ -1,5 +1,6 @@
 """Session settings and the folder that executors share."""
 
+import re
 import tempfile
 import uuid
 
@@ -23,11 +24,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the cluster's ``spark.checkpoint.dir``.
 
-    Only where the cluster names no such folder (a local test session) is one made here,
-    once per session.
+    Only a session on one machine (a ``local`` master) may do without: there a folder is made
+    once per session. On several machines each would write to its own disk and the results
+    would be short, so the missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN_SCRATCH, None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tallow-")
         spark.conf.set(_OWN_SCRATCH, base)
     return f"{base.rstrip('/')}/tallow-{label}-{uuid.uuid4().hex}"
