@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallow.llm import langid, simhash
+from tallow.llm import langid, simhash, toxicity
 from tallow.llm.tables import table
 from tallow.session import stage
 
@@ -12,6 +12,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return langid.keep_identified(docs, langid.fit(table(spark, sf_dir, "documents")))
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without insults; the model learns from the labelled ones of the table."""
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.keep_civil(docs, model)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
     return simhash.keep_first(docs)
@@ -19,6 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 STAGES = [
     ("language_id", identify_language),
+    ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_duplicates),
 ]
 

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallow.llm.linear import fit_svm
 from tallow.llm.tables import fold, slices, smallest_by_hash
 
 SAMPLE = 500
@@ -53,27 +54,6 @@ def features(text: str | None) -> np.ndarray | None:
     return np.sqrt(counts / counts.sum())
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 100) -> np.ndarray:
-    """Weights and bias of a linear SVM with squared hinge, by accelerated gradient steps.
-
-    The two classes weigh the same in sum, however many rows each has.
-    """
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
-    y = y.astype(np.float32)
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    share = share.astype(np.float32)
-    # the curvature is at most 1 + 2 cost times the largest row norm
-    pace = 1.0 / (1.0 + 2 * cost * float((x**2).sum(axis=1).max(initial=1.0)))
-    w = ahead = np.zeros(x.shape[1], np.float32)
-    for step in range(steps):
-        slack = np.maximum(0.0, 1.0 - y * (x @ ahead))
-        gradient = ahead - np.float32(2 * cost) * ((share * slack * y) @ x)
-        new = ahead - np.float32(pace) * gradient
-        ahead = new + np.float32(step / (step + 3)) * (new - w)
-        w = new
-    return w
-
-
 @dataclass
 class LanguageModel:
     """Weights: a row per family, and per family a row for each pair of its languages."""
