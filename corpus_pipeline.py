@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallow.llm import langid, simhash, toxicity
+from tallow.llm import langid, packing, pii, simhash, toxicity
 from tallow.llm.tables import table
 from tallow.session import stage
 
@@ -23,10 +23,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_first(docs)
 
 
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same documents with personal data replaced by its kind."""
+    return pii.mask_personal_data(docs, pii.fit(table(spark, sf_dir, "documents")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents with their places in training sequences."""
+    return packing.pack_documents(docs)
+
+
 STAGES = [
     ("language_id", identify_language),
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_duplicates),
+    ("pii", mask_personal_data),
+    ("best_fit_packing", pack_sequences),
 ]
 
 # No stage after the first model can be said in SQL: see tests/llm for brute-force versions.

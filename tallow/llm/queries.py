@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallow.llm import langid, packing, sharding, simhash, toxicity
+from tallow.llm import langid, packing, pii, sharding, simhash, toxicity
 from tallow.llm.tables import table
 
 
@@ -31,6 +31,11 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(documents, pii.fit(documents))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_language_id,
         op7_best_fit_packing,
         op8_simhash_near_dedup,
+        op9_pii,
     )
 }
 

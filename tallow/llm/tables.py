@@ -3,7 +3,7 @@
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Texts are worked on in slices of about so many characters, so that a Python worker's
@@ -37,10 +37,13 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iter
 def smallest_by_hash(df: DataFrame, key: str, rows: int, by: str, seed: int) -> DataFrame:
     """A bounded sample: per value of ``by`` the ``rows`` rows with the smallest seeded hash.
 
-    The rank limit runs before the exchange, so no task gets more than ``rows`` rows of a
-    value from each task before it.
+    Values are counted first, and hashes far too large to be drawn are dropped where they are
+    read (four times ``rows`` and 1,000 are kept on average), so that what moves does not grow
+    with the table.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.lit(seed), key), key)
-    return df.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= rows).drop("_nth")
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    drawn = F.xxhash64(F.lit(seed), key)
+    place = F.pmod(drawn, F.lit(1 << 32)) / F.lit(float(1 << 32))
+    near = df.join(counts, by).where(place * F.col("_n") < 4 * rows + 1000).drop("_n")
+    order = Window.partitionBy(by).orderBy(place, key)
+    return near.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= rows).drop("_nth")
