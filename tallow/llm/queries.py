@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallow.llm import langid, packing, pii, sharding, simhash, toxicity
+from tallow.llm import ann, langid, packing, pii, sharding, simhash, topk, toxicity, unigram, warc
 from tallow.llm.tables import table
 
 
@@ -18,11 +18,24 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict_toxicity(documents, model)
 
 
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, root = warc.write_bundles(table(spark, sf_dir, "pages"))
+    return warc.read_bundles(index, root).drop("url")
+
+
+def op4_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return langid.predict_languages(documents, langid.fit(documents))
 
 
+def op6_sentencepiece_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,16 +49,58 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents, pii.fit(documents))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding,
         op2_toxicity,
+        op3_warc_bundles,
+        op4_inverted_multi_index,
         op5_language_id,
+        op6_sentencepiece_unigram,
         op7_best_fit_packing,
         op8_simhash_near_dedup,
         op9_pii,
+        op10_exact_top_k,
     )
 }
 
-ORACLES: dict[str, str] = {}
+# SHA-1 in base 32: each five hexadecimal digits are four of the 32.
+_OP3_SQL = """
+with p as (
+    select page_id, coalesce(strlen(html), 0) as payload_bytes, sha1(coalesce(html, '')) as hex
+    from pages
+), firsts as (select hex, min(page_id) as first_id from p group by hex)
+select page_id, payload_bytes,
+    array_to_string([
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (
+            (('0x' || substr(hex, 1 + 5 * (i // 4), 5))::int >> (15 - 5 * (i % 4))) & 31
+        )::int, 1)
+        for i in range(32)
+    ], '') as payload_digest,
+    case when page_id = first_id then 'response' else 'revisit' end as record_type,
+    case when page_id <> first_id then first_id end as refers_to
+from p join firsts using (hex)
+"""
+
+_OP10_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e
+    from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select q.vec_id as query_id, v.vec_id as vec_id,
+        list_dot_product(q.e, v.e)::bigint as score
+    from v q join v on q.vec_id <> v.vec_id
+    where q.vec_id % 100 = 0
+), r as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s
+)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op3_warc_bundles": _OP3_SQL, "op10_exact_top_k": _OP10_SQL}
