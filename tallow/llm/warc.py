@@ -130,7 +130,7 @@ class BundleWriter:
         self.files, base = fs.FileSystem.from_uri(root)
         self.files.create_dir(base, recursive=True)
         self.name = name
-        self.out = self.files.open_output_stream(f"{base}/{name}")
+        self.out = self.files.open_output_stream(f"{base}/{name}", compression=None)  # it is compressed
         self.pack = zstandard.ZstdCompressor(level=3)
         self.frames: list[tuple[int, int]] = []  # compressed and plain bytes
         self.rows: list[tuple] = []
