@@ -62,9 +62,10 @@ def _fingerprint_batches(batches):
         )
 
 
-def _row_key():
+def _row_key(record: str = ""):
     """Tells rows apart; equal rows share it."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    doc_id, text = F.col(f"{record}doc_id"), F.col(f"{record}text")
+    return F.xxhash64(doc_id.cast("bigint"), text.cast("string"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -155,12 +156,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     smallest key stays, and of equal rows any one. The window reuses the join's partitions.
     """
     firsts = _rooted(fingerprints(docs)).groupBy("root").agg(F.min("first").alias("first"))
-    firsts = firsts.select(F.col("first.row_key").alias("_row_key"))
-    alone = Window.partitionBy("_row_key").orderBy("_row_key")
+    firsts = firsts.select(F.col("first.row_key").alias("row_key"))
+    alone = Window.partitionBy("row_key").orderBy("row_key")
+    records = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
     return (
-        docs.withColumn("_row_key", _row_key())
-        .join(firsts, "_row_key", "left_semi")
-        .withColumn("_nth", F.row_number().over(alone))
-        .where(F.col("_nth") == 1)
-        .drop("_nth", "_row_key")
+        records.withColumn("row_key", _row_key("record."))
+        .join(firsts, "row_key", "left_semi")
+        .withColumn("nth", F.row_number().over(alone))
+        .where(F.col("nth") == 1)
+        .select("record.*")
     )

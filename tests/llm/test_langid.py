@@ -1,0 +1,56 @@
+import random
+
+import numpy as np
+
+from tallow.llm import langid
+from tests.llm.cases import documents, none
+
+# Made-up syllables that tell four languages apart.
+SYLLABLES = {"en": "the and ing tion er", "de": "sch und keit ung ä", "fr": "eau oi que le é", "es": "ción ado que ñ la"}
+
+
+def corpus(spark, n=160):
+    random.seed(3)
+    rows = []
+    for i in range(n):
+        lang = list(SYLLABLES)[i % 4]
+        parts = SYLLABLES[lang].split()
+        words = ["".join(random.choices(parts, k=random.randint(1, 3))) for _ in range(40)]
+        rows.append((i, " ".join(words), lang, "s"))
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+
+
+def test_held_out_accuracy_and_odd_rows(spark):
+    docs = corpus(spark)
+    model = langid.fit(docs)
+    assert model.members == {"germanic": ["de", "en"], "romance": ["es", "fr"]}
+    known = {r.doc_id: r.lang for r in docs.collect()}
+    rows = langid.predict_languages(docs, model).collect()
+    held = [r for r in rows if r.held_out]
+    assert held and all(r.lang_pred == known[r.doc_id] for r in held)
+    odd = {r.doc_id: r for r in langid.predict_languages(documents(spark), model).collect()}
+    for doc_id in (3, 4, 5, 8):
+        assert (odd[doc_id].lang_pred, odd[doc_id].score) == ("und", 0.0)
+    assert all(0 <= r.score <= 1 for r in odd.values())
+
+
+def test_filter_keeps_columns_and_drops_the_unknown(spark):
+    model = langid.fit(corpus(spark))
+    docs = documents(spark)
+    kept = langid.keep_identified(docs, model)
+    assert kept.columns == docs.columns
+    assert {3, 4, 5, 8}.isdisjoint(r.doc_id for r in kept.collect())
+
+
+def test_nothing_to_learn_from(spark):
+    empty = none(documents(spark))
+    model = langid.fit(empty)
+    assert {r.lang_pred for r in langid.predict_languages(documents(spark), model).collect()} == {"und"}
+    assert langid.predict_languages(empty, model).collect() == []
+
+
+def test_family_of_an_unlisted_code():
+    x = np.eye(langid.DIMENSIONS)[:6]
+    model = langid.train(x, np.array(["xx", "xx", "en", "en", "de", "de"]))
+    assert model.members == {"germanic": ["de", "en"], "xx": ["xx"]}
+    assert [model.predict(r)[0] for r in x] == ["xx", "xx", "en", "en", "de", "de"]

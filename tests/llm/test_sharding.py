@@ -1,0 +1,61 @@
+import zlib
+
+from tallow.llm import sharding
+from tests.llm.cases import documents, none
+
+
+def test_rows_law_and_gapless_slots(spark):
+    docs = documents(spark, [(100 + i, f"text {i}", "en", "c") for i in range(50)])
+    rows = sharding.shard_documents(docs).collect()
+    assert len(rows) == docs.count()
+    by_shard = {}
+    for r in rows:
+        by_shard.setdefault(r.shard, []).append(r.slot)
+        assert r.law == "rows" and r.grown_shard is None
+    sizes = [len(by_shard.get(s, [])) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1
+    assert all(sorted(slots) == list(range(len(slots))) for slots in by_shard.values())
+    texts = {r.doc_id: r.text for r in docs.where("doc_id >= 6").collect()}
+    for r in rows:
+        if r.doc_id in texts:
+            data = texts[r.doc_id].encode()
+            assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
+    assert [(r.size, r.text_crc32) for r in rows if r.doc_id == 3] == [(1, 0)]
+
+
+def test_shards_keep_rows_whole_and_in_slot_order(spark, tmp_path):
+    docs = documents(spark)
+    out = sharding.shard(docs, shards=3, path=str(tmp_path / "s"), bucket_bytes=4000)
+    back = out.select("record.*").collect()
+    assert sorted(map(str, back)) == sorted(map(str, docs.collect()))
+    for s in range(3):
+        slots = [r.slot for r in spark.read.parquet(str(tmp_path / "s" / f"shard={s}")).collect()]
+        assert slots == sorted(slots)
+
+
+def test_order_is_mixed_and_depends_on_the_seed(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "cast(id as string) as text")
+    orders = []
+    for seed in (1, 1, 2):
+        rows = sharding.shard(docs, 1, seed).orderBy("slot").select("record.doc_id").collect()
+        orders.append([r.doc_id for r in rows])
+    assert sorted(orders[0]) == list(range(2000)) and orders[0] != orders[2]
+    assert sum(abs(a - b) == 1 for a, b in zip(orders[0], orders[0][1:], strict=False)) < 20
+
+
+def test_empty_table(spark):
+    assert sharding.shard_documents(none(documents(spark))).collect() == []
+
+
+def test_offsets_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK", 3)
+    placed = spark.range(100).selectExpr("id * id % 11 as bucket", "id as place", "id as record")
+    counts = {r.bucket: r["count"] for r in placed.groupBy("bucket").count().collect()}
+    for r in sharding.bucket_offsets(placed).collect():
+        assert r.start == sum(n for b, n in counts.items() if b < r.bucket)
+
+
+def test_plan_is_native(spark):
+    scattered, _ = sharding.scatter(documents(spark), 1, 1 << 20)
+    plan = scattered._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -1,0 +1,79 @@
+import public_tokenizers
+import pytest
+import sentencepiece
+
+from tallow.llm import unigram
+from tests.llm.cases import documents, none
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return unigram.vocabulary(str(public_tokenizers.path(unigram.VOCABULARY)))
+
+
+TEXTS = [
+    "", " ", "  a", "Hello  world é漢 \n\tx", "🙂🙂 a", "x ", "a\n\nb", "the of and to", "▁x", "ññ ßß",
+    "word" * 40, "a" * 300, "unhappiness retitioning thing", "\U0010ffff?",
+]
+
+
+def brute(vocabulary, text):
+    """Best segmentation of the marked text by trying every piece at every place."""
+    pieces = {
+        p: (s, i)
+        for i, (p, s, k) in enumerate(
+            zip(vocabulary.pieces, vocabulary.scores, vocabulary.kinds, strict=True)
+        )
+        if k in (1, 4)
+    }
+    marked = unigram.MARKER + text.replace(" ", unigram.MARKER) if text else ""
+    best = [(0.0, [])]
+    for end in range(1, len(marked) + 1):
+        ways = []
+        for start in range(max(0, end - 16), end):
+            part, (score, ids) = marked[start:end], best[start]
+            if part in pieces:
+                ways.append((score + pieces[part][0], start, ids + [pieces[part][1]]))
+            elif end - start == 1:
+                raw = [vocabulary.bytes[b] for b in part.encode()]
+                ways.append((score + vocabulary.unknown_score, start, ids + raw))
+        top = max(w[0] for w in ways)
+        best.append(next((w[0], w[2]) for w in ways if w[0] == top))
+    return best[-1]
+
+
+def test_segmentations_are_the_best(vocabulary):
+    for text, (ids, score) in zip(TEXTS, unigram.Encoder(vocabulary).encode(TEXTS), strict=True):
+        want, want_ids = brute(vocabulary, text)
+        assert (score, list(ids)) == (want, want_ids)
+
+
+def test_decoding_is_that_of_the_library(vocabulary):
+    library = sentencepiece.SentencePieceProcessor(
+        model_file=str(public_tokenizers.path(unigram.VOCABULARY))
+    )
+    for text, (ids, _) in zip(TEXTS, unigram.Encoder(vocabulary).encode(TEXTS), strict=True):
+        assert vocabulary.decode(ids.tolist()) == library.decode([int(i) for i in ids])
+        if unigram.MARKER not in text:
+            assert vocabulary.decode(ids.tolist()) == text
+
+
+def test_trie_holds_the_pieces(vocabulary):
+    trie = vocabulary.trie
+    for number in range(300, len(vocabulary.pieces), 97):
+        state = 0
+        for c in vocabulary.pieces[number]:
+            to = trie.base[state] + trie.symbols[c]
+            assert trie.check[to] == state
+            state = to
+        assert trie.value[state] == number
+
+
+def test_odd_rows(spark):
+    docs = documents(spark)
+    rows = unigram.encode_documents(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        assert r.n_ids == len(r.ids) and r.round_trip
+    assert all(r.ids == [] and r.score == 0 for r in rows if r.doc_id in (3, 4))
+    assert unigram.encode_documents(none(docs)).collect() == []
