@@ -9,7 +9,9 @@ Pieces of full length are sequences of their own. All others are dealt by a hash
 that one task packs, of which each leaves at most a few bins half full.
 """
 
+import re
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -26,8 +28,14 @@ from tallow.session import stage
 LIMIT = 2048
 GROUP = 32_768  # pieces that are packed together
 TOKENIZER = "word_bpe_49k.json"
+# How the tokenizer cuts lower-cased text into words, for the letters of _PLAIN,
+# and the signs that stand for bytes in its vocabulary.
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _MARK, _MARK_ID = "<|endoftext|>", 49407
-_CACHE = 200_000
+_CACHE = 400_000
 _AT_ONCE = 20_000
 
 
@@ -35,39 +43,63 @@ class ChunkEncoder:
     """Token ids of whole texts; a chunk between spaces or line ends is encoded once.
 
     The tokenizer drops white space and no rule of it looks across, so ids of a text are
-    those of its chunks in a row. Chunks are encoded together, a special token between them.
+    those of its chunks in a row. Chunks of printable ASCII and Latin letters, which its
+    normalisation only lower-cases, are cut into its words here and go to its model word by
+    word; all others go through the whole tokenizer, a special token between them.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.index: dict[str, int] = {"": 0}
+        self.words: dict[str, bytes] = {}
         self.flat = np.zeros(0, np.uint32)
-        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.starts = self.lengths = np.zeros(1, np.int64)
 
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _plain(self, chunk: str) -> bytes:
+        ids = []
+        for word in _WORD.findall(chunk.lower()):
+            own = self.words.get(word)
+            if own is None:
+                signs = word
+                if not word.isascii():
+                    signs = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+                own = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+                self.words[word] = own
+            ids.append(own)
+        return ids[0] if len(ids) == 1 else b"".join(ids)
+
     def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if "<|" not in c]
-        for at in range(0, len(plain), _AT_ONCE):
-            part = plain[at : at + _AT_ONCE]
+        found: list[bytes] = []
+        rest: list[str] = []
+        for chunk in chunks:
+            if _PLAIN.fullmatch(chunk) and "<|" not in chunk:
+                self.index[chunk] = len(self.index)
+                found.append(self._plain(chunk))
+            else:
+                rest.append(chunk)
+        marked = [c for c in rest if "<|" in c]
+        others = [c for c in rest if "<|" not in c]
+        for at in range(0, len(others), _AT_ONCE):
+            part = others[at : at + _AT_ONCE]
             ids = self._encode(_MARK.join(part))
             cuts = np.flatnonzero(ids == _MARK_ID)
-            starts, ends = np.r_[0, cuts + 1], np.r_[cuts, len(ids)]
-            for chunk, start, end in zip(part, starts, ends, strict=True):
-                self.index[chunk] = len(self.ids)
-                self.ids.append(ids[start:end])
-        for chunk in chunks:
-            if "<|" in chunk:
-                self.index[chunk] = len(self.ids)
-                self.ids.append(self._encode(chunk))
-        self.lengths = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.concatenate([np.zeros(0, np.uint32), *self.ids])
+            for chunk, own in zip(part, np.split(ids, cuts), strict=True):
+                self.index[chunk] = len(self.index)
+                found.append(own[own != _MARK_ID].tobytes())
+        for chunk in marked:
+            self.index[chunk] = len(self.index)
+            found.append(self._encode(chunk).tobytes())
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
+        self.lengths = np.r_[self.lengths, lengths]
+        self.flat = np.r_[self.flat, np.frombuffer(b"".join(found), np.uint32)]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
