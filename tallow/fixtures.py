@@ -1,26 +1,44 @@
 """Raw candle rows derived from the ``events`` table, for queries and tests.
 
 Event times are cut to 15 minutes, so open times repeat; every 101st and 103rd event has a
-junk or null price, every 107th is all null, and one day has unparseable trade counts.
+junk or missing price, in turn null and each missing-value token, every 109th an odd number,
+every 113th a trade count that is no plain integer; every 107th is all null, and one day has
+unparseable trade counts.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.schema import CANDLE_COLUMNS, RAW_SCHEMA
+from tallow.schema import CANDLE_COLUMNS, NA_TOKENS, RAW_SCHEMA
+
+ODD_FLOATS = ["inf", "-inf", "NaN", "1e39", "-1e39", "1.5d", "2.5F", "1e-3", "+7", "1 2"]
+ODD_INTS = ["12.7", "1e3", "-3.9", "8.0"]
+
+
+def _in_turn(values: list[str], every: int) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"element_at(array({listed}), cast(event_id div {every} % {len(values)} + 1 as int))"
+
 
 _COLUMNS = {
     "open_time": "cast(slot as string)",
     "open": """case when event_id % 101 = 0 then 'abc'
-                    when event_id % 103 = 0 then null else cast(value as string) end""",
-    "high": "cast(value + 1 as string)",
+                    when event_id % 206 = 0 then null
+                    when event_id % 103 = 0 then """
+    + _in_turn(NA_TOKENS, 103 * 2)
+    + " else cast(value as string) end",
+    "high": f"""case when event_id % 109 = 0 then {_in_turn(ODD_FLOATS, 109)}
+                     else cast(value + 1 as string) end""",
     "low": "cast(value / 2 as string)",
     "close": "cast(value as string)",
     "volume": "cast(user_id as string)",
     "close_time": "cast(slot + 899999 as string)",
     "quote_volume": "cast(value * user_id as string)",
     "trades": """case when event_type = 'error' and day(ts) = 13 and event_id % 5 = 0
-                      then 'n/a' else get_json_object(props, '$.k') end""",
+                      then 'n/a'
+                      when event_id % 113 = 0 then """
+    + _in_turn(ODD_INTS, 113)
+    + " else get_json_object(props, '$.k') end",
     "taker_buy_base": "cast(user_id / 4 as string)",
     "taker_buy_quote": "cast(value * user_id / 4 as string)",
     "extra": "'0'",

@@ -27,6 +27,30 @@ def archive_path(
     )
 
 
+def lake_path(prefix: str, source: str) -> str:
+    return f"{prefix.rstrip('/')}/{source}"
+
+
+# Signs that Spark writes as %XX in the name of a partition's folder.
+_ESCAPED = "%\"#'*/:=?\\{[]^\x7f"
+
+
+def _folder_value(value: Column) -> Column:
+    for sign in _ESCAPED:
+        value = F.replace(value, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
+    return value
+
+
+def partition_folder(
+    prefix: str, source: Column, symbol: Column, interval: Column, date: Column
+) -> Column:
+    """Folder in which the sink stores a day."""
+    values = {"symbol": symbol, "interval": F.coalesce(interval, F.lit(NO_INTERVAL)), "date": date}
+    parts = [F.concat(F.lit(f"{k}="), _folder_value(v)) for k, v in values.items()]
+    root = F.concat(F.lit(lake_path(prefix, "")), source)
+    return F.concat_ws("/", root, *parts)
+
+
 def object_key(
     prefix: str, source: Column, symbol: Column, interval: Column, date: Column
 ) -> Column:

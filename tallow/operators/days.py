@@ -1,120 +1,52 @@
 """Decisions per day: the all-or-nothing gate, keep-first, skips and the manifest.
 
 A day is the unit of failure, yet its rows must not have to meet in one task: one day may
-hold a third of all rows. Days are therefore counted first (a map-side combined aggregate,
-one row per day out). Ordinary days go through one exchange on the day key, which the gate,
-the deduplication and the writer share. Days above ``max_day_rows`` take another lane:
-their verdict comes from an aggregate as well, and their rows are deduplicated before and
-after an exchange on (day, open_time), so that no task gets more than its share.
+hold a third of all rows. So a day's verdict is aggregated (one row per day out, combined
+before it moves), rows of failed days are dropped by a join with the failed days alone, and
+duplicates are cut before and after an exchange on (day, open_time). There is one way for
+days of every size.
 """
 
-from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallow.functions.paths import object_key
-from tallow.schema import ABSENT, DAY_KEY, DONE, ERROR, SKIP
-from tallow.session import stage
+from tallow.functions.paths import partition_folder
+from tallow.schema import ABSENT, DAY_KEY, DONE, ERROR, NO_TIME, SKIP
 
-# Rows of one day that one task may sort (about 80 bytes each), and rows a task should get.
-MAX_DAY_ROWS = 4_000_000
+# Rows a task of a shuffle of all rows should get, at about 80 bytes each.
 ROWS_PER_TASK = 2_000_000
 
-# Most days that can count as large. The limit is raised to 1/10,000 of all rows where
-# needed, so fewer than this many days can exceed it, and their keys can be broadcast.
-MAX_LARGE_DAYS = 10_000
-
 
 def day_stats(typed: DataFrame) -> DataFrame:
-    """One row per day: data rows, first problem if any, whether the archive was absent."""
+    """One row per day: data rows, those with a time, first problem, absent archive."""
+    timed = F.col("row_pos").isNotNull() & (F.col("open_time") != NO_TIME)
     return typed.groupBy(*DAY_KEY).agg(
         F.count("row_pos").alias("n_rows"),
+        F.count_if(timed).alias("n_timed"),
         F.min("problem").alias("problem"),
         F.max(F.coalesce(F.col("status") == ABSENT, F.lit(False))).alias("absent"),
     )
 
 
-def day_counts(raw: DataFrame) -> DataFrame:
-    """Rows per day, all-missing ones included: an upper bound that only reads the keys."""
-    return raw.groupBy(*DAY_KEY).agg(F.count("row_pos").alias("n_rows"))
-
-
-@dataclass(frozen=True)
-class Sizes:
-    """Rows in all, and the days too large for one task (None if there are none)."""
-
-    total: int
-    large: DataFrame | None
-
-    def tasks(self, spark: SparkSession) -> int | None:
-        """Tasks for a shuffle of all rows; None where the session's number is enough."""
-        wanted = -(-self.total // ROWS_PER_TASK)
-        return wanted if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+def gate_days(typed: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Rows of days in which every row is sound; a day with one bad row goes whole.
 
-
-def size_up(counts: DataFrame, max_day_rows: int = MAX_DAY_ROWS) -> Sizes:
-    """Find the large days. There are never more than ``MAX_LARGE_DAYS`` of them.
-
-    ``counts`` is either ``day_counts`` or ``day_stats``.
+    Failed days are few as a rule, and Spark then sends their keys to the rows. It is left to
+    choose, as nothing bounds their number. Give ``stats`` where they are stored already:
+    the choice is made from their size, and ``typed`` is read once.
     """
-    total, biggest = counts.agg(
-        F.coalesce(F.sum("n_rows"), F.lit(0)), F.coalesce(F.max("n_rows"), F.lit(0))
-    ).first()
-    limit = max(max_day_rows, total // MAX_LARGE_DAYS)
-    if biggest <= limit:
-        return Sizes(total, None)
-    return Sizes(total, stage(counts.where(F.col("n_rows") > limit), "large-days"))
-
+    stats = day_stats(typed) if stats is None else stats
+    failed = stats.where(F.col("problem").isNotNull()).select(*DAY_KEY)
+    rows = typed.where(F.col("row_pos").isNotNull())
+    return rows.join(failed, DAY_KEY, "left_anti").drop("status", "problem")
 
-def gate_in_window(typed: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Rows of days without a problem; needs each day to fit one task.
 
-    The order by is there for the next step: the deduplication finds its rows clustered
-    and sorted, and adds neither exchange nor sort.
-    """
-    whole_day = (
-        Window.partitionBy(*DAY_KEY)
-        .orderBy("open_time", "row_pos")
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    if tasks is not None:
-        typed = typed.repartition(tasks, *DAY_KEY)
-    judged = typed.withColumn("day_problem", F.max("problem").over(whole_day))
-    return judged.where(F.col("day_problem").isNull()).drop("day_problem")
-
-
-def gate_lanes(
-    typed: DataFrame, large: DataFrame | None, tasks: int | None = None
-) -> list[DataFrame]:
-    """Rows of sound days: the ordinary days first, then the large ones if there are any.
-
-    ``tasks`` sets the width of the exchange of the ordinary days. Give it only where the
-    key columns are real ones: with literals in the key a second exchange would be planned.
-    """
-    if large is None:
-        lanes = [gate_in_window(typed, tasks)]
-    else:
-        keys = F.broadcast(large.select(*DAY_KEY))
-        if "problem" not in large.columns:
-            # three readers follow; landing the rows spares typing them three times
-            typed = stage(typed, "typed")
-            large = stage(day_stats(typed.join(keys, DAY_KEY, "left_semi")), "large-days")
-        sound = F.broadcast(large.where(F.col("problem").isNull()).select(*DAY_KEY))
-        lanes = [
-            gate_in_window(typed.join(keys, DAY_KEY, "left_anti"), tasks),
-            typed.join(sound, DAY_KEY, "left_semi"),
-        ]
-    return [lane.where(F.col("row_pos").isNotNull()).drop("status", "problem") for lane in lanes]
-
-
-def gate_days(
-    typed: DataFrame, counts: DataFrame, max_day_rows: int = MAX_DAY_ROWS
-) -> DataFrame:
-    """Rows of days in which every row is sound; a day with one bad row goes whole."""
-    first, *rest = gate_lanes(typed, size_up(counts, max_day_rows).large)
-    return reduce(DataFrame.unionByName, rest, first)
+def shuffle_tasks(stats: DataFrame) -> int | None:
+    """Tasks for a shuffle of all rows; None where the session's number is enough."""
+    total = stats.agg(F.sum("n_rows")).first()[0] or 0
+    wanted = -(-total // ROWS_PER_TASK)
+    least = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return wanted if wanted > least else None
 
 
 def dedup_keep_first(df: DataFrame) -> DataFrame:
@@ -128,27 +60,30 @@ def dedup_keep_first(df: DataFrame) -> DataFrame:
     return ranked.where(F.col("nth") == 1).drop("nth")
 
 
-def days_with_rows(grid: DataFrame, stats: DataFrame) -> DataFrame:
-    """Grid days that have something to write."""
-    return grid.join(stats.where(F.col("n_rows") > 0), DAY_KEY, "left_semi")
-
-
 def days_without_rows(grid: DataFrame, stats: DataFrame) -> DataFrame:
     """Grid days to skip: absent, or nothing left after the all-missing rows went."""
     return grid.join(stats.where(F.col("n_rows") > 0), DAY_KEY, "left_anti")
 
 
+def emptied_days(stats: DataFrame) -> DataFrame:
+    """Days that succeed without a row to store: all of theirs lack a time."""
+    return stats.where(F.col("problem").isNull() & (F.col("n_rows") > 0) & (F.col("n_timed") == 0))
+
+
 def run_manifest(grid: DataFrame, stats: DataFrame, prefix: str = "") -> DataFrame:
-    """Outcome of every grid day: DONE, SKIP or ERROR, with rows read and the reason."""
+    """Outcome of every grid day: DONE, SKIP or ERROR, with rows read, reason and folder.
+
+    ``path`` is the folder the sink wrote to; a DONE day without a row to store has none.
+    """
     n_rows = F.coalesce("n_rows", F.lit(0))
     status = (
         F.when(F.col("problem").isNotNull(), ERROR).when(n_rows == 0, SKIP).otherwise(DONE)
     )
-    key = object_key(prefix, *(F.col(c) for c in ["source", "symbol", "interval", "date"]))
+    folder = partition_folder(prefix, *(F.col(c) for c in ["source", "symbol", "interval", "date"]))
     return grid.join(stats, DAY_KEY, "left").select(
         *DAY_KEY,
         status.alias("status"),
         F.col("problem").alias("error"),
         n_rows.alias("n_rows"),
-        F.when(status == DONE, key).alias("object_key"),
+        F.when((status == DONE) & (F.col("n_timed") > 0), folder).alias("path"),
     )

@@ -3,28 +3,29 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from tallow.operators.clean import type_candles
-from tallow.operators.days import MAX_DAY_ROWS, day_stats, gate_lanes, run_manifest, size_up
+from tallow.operators.days import (
+    day_stats,
+    emptied_days,
+    gate_days,
+    run_manifest,
+    shuffle_tasks,
+)
 from tallow.operators.grid import job_grid
 from tallow.plans.normalize import finish
-from tallow.session import configure, stage
-from tallow.sinks.lake import cluster_days, write_days
+from tallow.session import configure, remove, shared_path, stage
+from tallow.sinks.lake import cluster_days, remove_days, write_days
 from tallow.sources.archive import scan_archives
 
 
-def load_days(
-    landed: DataFrame, stats: DataFrame, prefix: str, source: str, max_day_rows: int = MAX_DAY_ROWS
-) -> None:
-    """Write the sound days of landed rows to the lake.
+def load_days(landed: DataFrame, stats: DataFrame, prefix: str, source: str) -> None:
+    """Write the sound days of landed rows to the lake, cut into ranges of day and time.
 
-    Ordinary days reach the files through the gate's one exchange. Large days are written
-    apart, cut into ranges of time.
+    ``stats`` are stored, so Spark knows how few the failed days are. A day that succeeds
+    without a row to store loses what is stored of it.
     """
-    sizes = size_up(stats, max_day_rows)
-    tasks = sizes.tasks(landed.sparkSession)
-    ordinary, *large = gate_lanes(landed, sizes.large, tasks)
-    write_days(finish(ordinary), prefix, source)
-    for lane in large:
-        write_days(cluster_days(finish(lane), tasks), prefix, source)
+    candles = finish(gate_days(landed, stats))
+    write_days(cluster_days(candles, shuffle_tasks(stats)), prefix, source)
+    remove_days(emptied_days(stats), prefix)
 
 
 def ingest(
@@ -38,20 +39,25 @@ def ingest(
     root: str,
     prefix: str,
     landing: str | None = None,
-    max_day_rows: int = MAX_DAY_ROWS,
     **fetching,
 ) -> DataFrame:
     """Fetch, normalise and store every symbol and day; return the outcome of each day.
 
     The typed rows are landed once, as the counts, the lake and the manifest all read them
-    and none may fetch again. ``fetching`` takes retries, backoff, connect_timeout and
-    read_timeout.
+    and none may fetch again. They are removed at the end, unless ``landing`` names a place
+    for them, which must not exist yet. ``fetching`` takes retries, backoff, connect_timeout
+    and read_timeout.
     """
     configure(spark)
     if isinstance(symbols, list):
         symbols = spark.createDataFrame([(s,) for s in symbols], "symbol string")
-    grid = job_grid(symbols, source, interval, start, end)
-    landed = stage(type_candles(scan_archives(grid, root, **fetching)), "landing", landing)
-    stats = stage(day_stats(landed), "day-stats")
-    load_days(landed, stats, prefix, source, max_day_rows)
-    return run_manifest(grid, stats, prefix)
+    scratch = shared_path(spark, "ingest")
+    days = job_grid(symbols, source, interval, start, end)
+    grid = stage(days, "grid", f"{scratch}/grid")
+    typed = type_candles(scan_archives(grid, root, **fetching))
+    landed = stage(typed, "landing", landing or f"{scratch}/landing")
+    stats = stage(day_stats(landed), "day-stats", f"{scratch}/stats")
+    load_days(landed, stats, prefix, source)
+    manifest = stage(run_manifest(grid, stats, prefix), "manifest")
+    remove(spark, scratch)
+    return manifest

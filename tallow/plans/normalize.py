@@ -1,7 +1,5 @@
 """The composite transform: raw rows in, clean candles out."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 
 from tallow.operators.clean import (
@@ -10,7 +8,7 @@ from tallow.operators.clean import (
     type_candles,
     with_timestamp,
 )
-from tallow.operators.days import MAX_DAY_ROWS, day_counts, dedup_keep_first, gate_lanes, size_up
+from tallow.operators.days import dedup_keep_first, gate_days
 
 
 def finish(gated: DataFrame) -> DataFrame:
@@ -23,11 +21,10 @@ def finish(gated: DataFrame) -> DataFrame:
     )
 
 
-def normalize(raw: DataFrame, max_day_rows: int = MAX_DAY_ROWS) -> DataFrame:
-    """Clean candles of all days of ``raw``, keyed by day.
+def normalize(raw: DataFrame) -> DataFrame:
+    """Clean candles of all days of ``raw``, keyed by day. No job runs before the caller's.
 
-    Counts the days first, which reads the keys of ``raw`` alone; land it before if that is
-    dear, as the ingest does.
+    ``raw`` is read twice, for the verdicts of the days and for their rows; land it before if
+    that is dear, as the ingest does.
     """
-    lanes = gate_lanes(type_candles(raw), size_up(day_counts(raw), max_day_rows).large)
-    return reduce(DataFrame.unionByName, map(finish, lanes))
+    return finish(gate_days(type_candles(raw)))

@@ -1,16 +1,17 @@
 """The registered queries: each operator over the whole ``events`` table."""
 
+import csv
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallow.fixtures import raw_candles
-from tallow.functions.paths import archive_path, object_key
+from tallow.functions.paths import archive_path, lake_path, object_key
 from tallow.operators import clean, days, grid
-from tallow.operators.order import rank_in_day
 from tallow.plans.ingest import load_days
 from tallow.plans.normalize import normalize
 from tallow.schema import (
@@ -24,7 +25,7 @@ from tallow.schema import (
 )
 from tallow.session import configure, shared_path, stage
 from tallow.sinks.lake import read_lake
-from tallow.sources.archive import scan_archives
+from tallow.sources.archive import register, scan_archives
 from tallow.sources.fetch import file_system
 from tallow.sources.landed import read_landed_csv, scan_landed_zips
 
@@ -35,9 +36,6 @@ TEXT_COLUMNS = [*CANDLE_COLUMNS, "extra"]
 # A symbol nobody has archives of, and one whose archives are no zip files.
 UNKNOWN, BROKEN = "NOSUCHUSDT", "BROKENUSDT"
 
-# Most rows that go into one file of a fixture: rows are cut by their position.
-FILE_ROWS = 200_000
-
 
 # ---- inputs -------------------------------------------------------------------------
 
@@ -55,8 +53,7 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _raw(spark, sf_dir)
-    return days.gate_days(clean.type_candles(raw), days.day_counts(raw))
+    return days.gate_days(_typed(spark, sf_dir))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,92 +81,134 @@ def _grid(spark: SparkSession, sf_dir: str, *more_symbols: str) -> DataFrame:
 # ---- files to read back --------------------------------------------------------------
 
 
-def _file_number() -> F.Column:
-    return F.floor(F.col("row_pos") / FILE_ROWS)
+def _left_out():
+    """Days of one symbol that get no archive."""
+    return (F.col("symbol") == "CLICKUSDT") & F.col("date").endswith("-17")
 
 
-def _write_zip(rows: pd.DataFrame) -> pd.DataFrame:
-    url = rows["url"].iloc[0]
-    text = rows.sort_values("row_pos")[TEXT_COLUMNS].to_csv(index=False)
-    body = io.BytesIO()
-    with zipfile.ZipFile(body, "w") as z:
-        # a fixed time, so that a repeated task writes the same bytes
-        member = zipfile.ZipInfo("candles.csv", (2024, 1, 1, 0, 0, 0))
-        z.writestr(member, text, zipfile.ZIP_DEFLATED)
-    system, path = file_system(url)
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(path) as out:
-        out.write(b"not a zip" if rows["broken"].iloc[0] else body.getvalue())
-    return pd.DataFrame({"url": [url]})
+def _write_zips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A zip per url; rows come sorted by url and position and are written as they come."""
+    url, archive, member = None, None, None
 
+    def close():
+        if archive:
+            member.detach().close()
+            archive.close()
 
-def _write_archives(rows: DataFrame, root: str) -> None:
-    """One zip per day, written by the executors; ``rows`` has at most FILE_ROWS per day."""
+    for rows in batches:
+        for own, part in rows.groupby("url", sort=False):
+            if own != url:
+                close()
+                url = own
+                system, path = file_system(url)
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                archive = zipfile.ZipFile(system.open_output_stream(path), "w", zipfile.ZIP_DEFLATED)
+                # a fixed time, so that a repeated task writes the same bytes
+                info = zipfile.ZipInfo("candles.csv", (2024, 1, 1, 0, 0, 0))
+                info.compress_type = zipfile.ZIP_DEFLATED
+                member = io.TextIOWrapper(archive.open(info, "w"), "utf-8", newline="")
+                csv.writer(member).writerow(TEXT_COLUMNS)
+            part[TEXT_COLUMNS].to_csv(member, header=False, index=False)
+        yield rows[["url"]].drop_duplicates()
+    close()
+
+
+def _with_url(rows: DataFrame, root: str) -> DataFrame:
     path = archive_path(root, *(F.col(c) for c in ["source", "symbol", "interval", "date"]))
-    written = (
-        rows.withColumn("url", path)
-        .select("url", "broken", "row_pos", *TEXT_COLUMNS)
-        .groupBy("url")
-        .applyInPandas(_write_zip, "url string")
+    return rows.withColumn("url", path)
+
+
+def _write_archives(rows: DataFrame, root: str) -> None:
+    """One zip per day, streamed by the task that has the day."""
+    (
+        _with_url(rows, root)
+        .select("url", "row_pos", *TEXT_COLUMNS)
+        .repartition("url")
+        .sortWithinPartitions("url", "row_pos")
+        .mapInPandas(_write_zips, "url string")
+        .write.format("noop").mode("overwrite").save()
     )
-    written.write.format("noop").mode("overwrite").save()
 
 
-def _archived_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw rows with the file number in the symbol, so that no archive outgrows its task."""
-    numbered = F.concat_ws("-", "symbol", _file_number().cast("string"))
-    rows = _source_rows(spark, sf_dir).withColumn("symbol", numbered)
-    return rows.withColumn("broken", F.lit(False))
+def _damage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        for url in rows["url"]:
+            system, path = file_system(url)
+            system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(path) as out:
+                out.write(b"not a zip")
+        yield rows
 
 
-def _archived_grid(spark: SparkSession, rows: DataFrame, sf_dir: str) -> DataFrame:
-    """The archived days, and all days of a symbol that has no archives."""
-    unknown = spark.range(1).select(F.lit(UNKNOWN).alias("symbol"))
-    absent = grid.job_grid(unknown, SOURCE, INTERVAL, *_bounds(_events(spark, sf_dir)))
-    return rows.select(*DAY_KEY).distinct().unionByName(absent)
+def _written_archives(spark: SparkSession, sf_dir: str) -> str:
+    root = shared_path(spark, "archives")
+    _write_archives(_source_rows(spark, sf_dir).where(~_left_out()), root)
+    return root
 
 
 # ---- sources and sinks -----------------------------------------------------------------
 
 
 def archive_scan(spark, sf_dir):
-    rows, root = _archived_rows(spark, sf_dir), shared_path(spark, "archives")
-    _write_archives(rows, root)
-    scanned = scan_archives(_archived_grid(spark, rows, sf_dir), root)
+    root = _written_archives(spark, sf_dir)
+    days_asked = stage(_grid(spark, sf_dir, UNKNOWN), "grid")
+    scanned = scan_archives(days_asked, root, retries=1)
+    return scanned.where(F.col("row_pos").isNotNull()).select(*DAY_KEY, "row_pos", *TEXT_COLUMNS)
+
+
+def candle_archive_source(spark, sf_dir):
+    root = _written_archives(spark, sf_dir)
+    events = _events(spark, sf_dir)
+    # the source takes its symbols as text, so they are listed: one for each type of event
+    symbols = sorted(r["symbol"] for r in _symbols(events).collect())
+    start, end = events.select(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    register(spark)
+    scanned = (
+        spark.read.format("candle_archive")
+        .options(root=root, source=SOURCE, symbols=",".join([*symbols, UNKNOWN]), interval=INTERVAL)
+        .options(start=str(start), end=str(end), retries=1)
+        .load()
+    )
     return scanned.where(F.col("row_pos").isNotNull()).select(*DAY_KEY, "row_pos", *TEXT_COLUMNS)
 
 
 def archive_fetch_status(spark, sf_dir):
-    rows, root = _archived_rows(spark, sf_dir), shared_path(spark, "archives")
-    # every symbol's days once more under a name whose archives are damaged
-    damaged = rows.withColumn("symbol", F.concat_ws("-", F.lit(BROKEN), "symbol"))
-    rows = rows.unionByName(damaged.withColumn("broken", F.lit(True)))
-    _write_archives(rows, root)
-    scanned = scan_archives(_archived_grid(spark, rows, sf_dir), root, retries=1)
+    root = _written_archives(spark, sf_dir)
+    days_asked = stage(_grid(spark, sf_dir, UNKNOWN, BROKEN), "grid")
+    broken = _with_url(days_asked.where(F.col("symbol") == BROKEN), root).select("url")
+    broken.mapInPandas(_damage, "url string").write.format("noop").mode("overwrite").save()
+    scanned = scan_archives(days_asked, root, retries=1)
     return scanned.where(F.col("status").isNotNull()).select(*DAY_KEY, "status")
 
 
 def zip_csv_scan(spark, sf_dir):
-    rows, root = _archived_rows(spark, sf_dir), shared_path(spark, "landed-zips")
-    _write_archives(rows, root)
+    root = shared_path(spark, "landed-zips")
+    _write_archives(_source_rows(spark, sf_dir), root)
     scanned = scan_landed_zips(spark, root)
     return scanned.where(F.col("row_pos").isNotNull()).select(*DAY_KEY, "row_pos", *TEXT_COLUMNS)
 
 
-def csv_scan_header_discard(spark, sf_dir):
+def _landed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows as one CSV file per day in the order of their positions, read back."""
     path = shared_path(spark, "landed-csv")
-    rows = _source_rows(spark, sf_dir)
     (
-        rows.withColumn("file", _file_number())
-        .repartition("symbol", "date", "file")
+        _source_rows(spark, sf_dir)
+        .repartition("symbol", "date")
+        .sortWithinPartitions(*PARTITION_COLUMNS, "row_pos")
         .select(*PARTITION_COLUMNS, *TEXT_COLUMNS)
         .write.partitionBy(*PARTITION_COLUMNS)
         .option("header", True)
         .csv(path)
     )
-    landed = read_landed_csv(spark, path, SOURCE, len(TEXT_COLUMNS))
-    text = [F.col(f"c{i}").alias(name) for i, name in enumerate(TEXT_COLUMNS)]
-    return landed.where(F.col("status").isNull()).select(*DAY_KEY, *text)
+    return read_landed_csv(spark, path, SOURCE, len(TEXT_COLUMNS))
+
+
+def csv_scan_header_discard(spark, sf_dir):
+    return _landed_csv(spark, sf_dir).select(*DAY_KEY, "row_pos", *TEXT_COLUMNS)
+
+
+def landed_csv_normalize(spark, sf_dir):
+    return normalize(_landed_csv(spark, sf_dir))
 
 
 def _stored(spark: SparkSession, prefix: str) -> DataFrame:
@@ -194,8 +233,9 @@ def partition_overwrite_idempotent(spark, sf_dir):
     landed, stats = _landed(spark, sf_dir)
     load_days(landed, stats, prefix, SOURCE)
     first_half = F.dayofmonth(F.col("date").cast("date")) <= 15
+    changed = landed.withColumn("close", (2 * F.col("close")).cast("float"))
     for _ in range(2):
-        load_days(landed.where(first_half), stats.where(first_half), prefix, SOURCE)
+        load_days(changed.where(first_half), stats.where(first_half), prefix, SOURCE)
     return _stored(spark, prefix)
 
 
@@ -286,7 +326,7 @@ def drop_null_timestamp(spark, sf_dir):
     timeless = (F.col("symbol") == "CLICKUSDT") & (F.col("date") == "2024-01-01")
     open_time = F.when(timeless, F.lit(str(NO_TIME))).otherwise(F.col("open_time"))
     raw = _raw(spark, sf_dir).withColumn("open_time", open_time)
-    gated = days.gate_days(clean.type_candles(raw), days.day_counts(raw))
+    gated = days.gate_days(clean.type_candles(raw))
     kept = clean.drop_null_timestamp(clean.with_timestamp(gated))
     return kept.select(*DAY_KEY, "row_pos", "open_time", "timestamp")
 
@@ -297,11 +337,25 @@ def dedup_keep_first(spark, sf_dir):
 
 
 def sort_open_time(spark, sf_dir):
-    return rank_in_day(candle_normalize(spark, sf_dir))
+    """Positions as they lie in the lake: by file, files of a day by their first time."""
+    prefix = shared_path(spark, "lake")
+    load_days(*_landed(spark, sf_dir), prefix, SOURCE)
+    stored = spark.read.schema(_stored(spark, prefix).schema).parquet(lake_path(prefix, SOURCE))
+    rows = stored.select(
+        *PARTITION_COLUMNS, F.lit(SOURCE).alias("source"), "open_time",
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
+    )
+    earlier = Window.partitionBy(*DAY_KEY).orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy(*DAY_KEY, "file").agg(F.min("open_time").alias("first"), F.count("*").alias("n"))
+    starts = files.select(*DAY_KEY, "file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    placed = rows.join(starts, [*DAY_KEY, "file"])
+    return placed.select(*DAY_KEY, "open_time", (F.col("start") + F.col("at") + 1).alias("position"))
 
 
 def reorder_columns(spark, sf_dir):
-    return clean.reorder_columns(candle_normalize(spark, sf_dir))
+    timed = clean.drop_null_timestamp(clean.with_timestamp(_gated(spark, sf_dir)))
+    shuffled = days.dedup_keep_first(timed)  # has the row's position, and times last
+    return clean.reorder_columns(shuffled.select(*reversed(shuffled.columns)))
 
 
 def candle_normalize(spark, sf_dir):
@@ -311,9 +365,11 @@ def candle_normalize(spark, sf_dir):
 QUERIES = {
     "candle_normalize": candle_normalize,
     "archive_scan": archive_scan,
+    "candle_archive_source": candle_archive_source,
     "archive_fetch_status": archive_fetch_status,
     "zip_csv_scan": zip_csv_scan,
     "csv_scan_header_discard": csv_scan_header_discard,
+    "landed_csv_normalize": landed_csv_normalize,
     "partitioned_sink_roundtrip": partitioned_sink_roundtrip,
     "partition_overwrite_idempotent": partition_overwrite_idempotent,
     "date_spine": date_spine,

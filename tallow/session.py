@@ -14,6 +14,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
     The last one is for speed: the JVM never compiles a method of more than 8,000 bytes,
     so a stage whose generated code is longer had better not be generated as one.
+
+    The settings stay with the caller's session; give it ``spark.newSession()`` to keep them apart.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
@@ -38,9 +40,18 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
-    """Write once, read many: cuts lineage, so a lost executor costs no recomputation."""
+    """Write once, read many: cuts lineage, so a lost executor costs no recomputation.
+
+    A path that is given must not exist: nothing of the caller's is overwritten.
+    """
     spark = df.sparkSession
     path = path or shared_path(spark, label)
     schema = df.schema
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    df.write.mode("error").option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the job made, on whatever file system it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,10 @@ from tallow.schema import (
 from tallow.sources.fetch import open_archive
 from tallow.sources.member import candle_rows
 
-# Small enough that a lost or slow task costs little, large enough to keep task count low.
+# Small enough that a lost or slow task costs little; grids beyond MAX_TASKS runs of this
+# length get longer runs, so that the number of tasks does not grow without end.
 DAYS_PER_TASK = 32
+MAX_TASKS = 10_000
 
 _ARROW_SCHEMA = to_arrow_schema(RAW_SCHEMA)
 _TEXT_COLUMNS = [*CANDLE_COLUMNS, "extra"]
@@ -67,7 +70,7 @@ def read_day(
                 yield _batch(
                     day,
                     n,
-                    row_pos=pa.array(range(position, position + n), pa.int64()),
+                    row_pos=pa.array(np.arange(position, position + n)),
                     n_fields=width,
                     **dict(zip(_TEXT_COLUMNS, arrays)),
                 )
@@ -100,7 +103,7 @@ class ArchiveReader(DataSourceReader):
         self.interval = options.get("interval") or None
         self.start = dt.date.fromisoformat(options["start"])
         self.end = dt.date.fromisoformat(options["end"])
-        self.days_per_task = int(options.get("daysPerTask", DAYS_PER_TASK))
+        self.days_per_task = int(options.get("daysPerTask") or self._run_length())
         self.fetching = {
             "retries": int(options.get("retries", 3)),
             "backoff": int(options.get("backoff", 2)),
@@ -108,8 +111,14 @@ class ArchiveReader(DataSourceReader):
             "read_timeout": float(options.get("readTimeout", 60)),
         }
 
+    def _n_days(self) -> int:
+        return max(0, (self.end - self.start).days + 1)
+
+    def _run_length(self) -> int:
+        return max(DAYS_PER_TASK, -(-len(self.symbols) * self._n_days() // MAX_TASKS))
+
     def partitions(self) -> list[DaySpan]:
-        n_days = (self.end - self.start).days + 1
+        n_days = self._n_days()
         return [
             DaySpan(symbol, self.start + dt.timedelta(i), min(self.days_per_task, n_days - i))
             for symbol in self.symbols
@@ -150,17 +159,22 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(CandleArchive)
 
 
+def scan_tasks(days: int, cores: int) -> int:
+    """Tasks for so many downloads: four a core or more, and MAX_TASKS or four a core at most."""
+    return max(min(-(-days // DAYS_PER_TASK), MAX_TASKS), 4 * cores)
+
+
 def scan_archives(
     grid: DataFrame, root: str, tasks: int | None = None, **fetching
 ) -> DataFrame:
     """Raw rows and statuses of the days in ``grid``.
 
     Grid rows are tiny but each stands for a download, so they are spread by count: the
-    size-based defaults would put them all into one task.
+    size-based defaults would put them all into one task. They are counted first, so store a
+    grid that is dear to compute.
     """
     if tasks is None:
-        at_least = 4 * grid.sparkSession.sparkContext.defaultParallelism
-        tasks = max(-(-grid.count() // DAYS_PER_TASK), at_least)
+        tasks = scan_tasks(grid.count(), grid.sparkSession.sparkContext.defaultParallelism)
     path = archive_path(root, *(F.col(c) for c in ["source", "symbol", "interval", "date"]))
     days = grid.select(*DAY_KEY, path.alias("url")).repartition(tasks, "url")
 

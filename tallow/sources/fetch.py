@@ -9,7 +9,8 @@ import urllib.request
 from collections.abc import Callable
 from typing import BinaryIO
 
-# An archive larger than this is spilled to disk by the task that holds it.
+# An archive larger than this is spilled to disk by the task that holds it: to its own
+# temporary folder, as a file no one else sees, which goes when it is closed.
 SPOOL_BYTES = 64 << 20
 
 
@@ -70,6 +71,10 @@ def get_http(url: str, connect_timeout: float, read_timeout: float, open_url=Non
                 raise RuntimeError(f"HTTP {response.status}")
             body = tempfile.SpooledTemporaryFile(max_size=SPOOL_BYTES)
             shutil.copyfileobj(response, body, 1 << 20)
+            # reading by size does not raise when the body breaks off
+            told = response.headers.get("Content-Length")
+            if told is not None and body.tell() != int(told):
+                raise ConnectionError(f"{body.tell()} of {told} bytes came")
     except urllib.error.HTTPError as error:
         if error.code == 404:
             raise Absent(url) from None

@@ -1,15 +1,25 @@
 """Files that have landed on the lake's own file system, in any place Hadoop can read."""
 
-import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallow.schema import DAY_KEY, ERROR, NO_INTERVAL, PARTITION_COLUMNS, RAW_SCHEMA
+from tallow.functions.coerce import na_to_null
+from tallow.operators.clean import positional_project
+from tallow.schema import (
+    CANDLE_COLUMNS,
+    DAY_KEY,
+    ERROR,
+    NO_INTERVAL,
+    PARTITION_COLUMNS,
+    RAW_SCHEMA,
+)
 from tallow.sources.archive import read_day
+from tallow.sources.fetch import get_file
 
 
 def _day_from_path(path: Column) -> dict[str, Column]:
@@ -31,7 +41,8 @@ def _day_from_path(path: Column) -> dict[str, Column]:
 def scan_landed_zips(spark: SparkSession, root: str) -> DataFrame:
     """Raw rows and statuses of all archives below ``root``.
 
-    Spark packs files into tasks by size, and one file is the most a task holds in memory.
+    Spark lists the files, and tasks stream them by path, so that no archive is held whole. A
+    name without a date makes an ERROR row.
     """
     files = (
         spark.read.format("binaryFile")
@@ -40,35 +51,64 @@ def scan_landed_zips(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
     )
     key = _day_from_path(F.col("path"))
-    archives = files.select(*(key[c].alias(c) for c in DAY_KEY), "content")
+    archives = files.select(*(key[c].alias(c) for c in DAY_KEY), "path")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = batch.column("content")
-            for i, day in enumerate(batch.select(DAY_KEY).to_pylist()):
-                body = io.BytesIO(content[i].as_buffer())
-                yield from read_day(day, lambda: body)
+            for day in batch.to_pylist():
+                path = day.pop("path")
+                yield from read_day(day, lambda: _dated(day, path))
 
     return archives.mapInArrow(scan, RAW_SCHEMA)
 
 
+def _dated(day: dict[str, str], path: str) -> BinaryIO:
+    if not day["date"]:
+        raise ValueError(f"no date in the name of {path}")
+    return get_file(path)
+
+
 def read_landed_csv(spark: SparkSession, path: str, source: str, width: int = 12) -> DataFrame:
-    """Raw rows of plain CSV files below ``path/symbol=/interval=/date=``.
+    """Raw rows of plain CSV files below ``path/symbol=/interval=/date=``, as ``normalize``
+    takes them.
+
+    All columns are text, taken by position; the first line of each file is dropped. One
+    column is declared past the width, so that a row with too many fields shows, as an error
+    of its day.
 
-    All columns are text, named by position; the first line of each file is dropped. One
-    column is declared past the width, so that a row with too many fields shows, as an
-    error of its day. CSV rows carry no position, so keep-first needs another order.
+    A row's position is the first byte of its block plus its number in the block. A block of
+    n bytes has n rows at most, so positions rise through a file, however many tasks read it.
     """
     names = [f"c{i}" for i in range(width)]
     text = [*names, "overflow", *PARTITION_COLUMNS]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in text])
-    rows = spark.read.schema(schema).option("header", True).csv(path)
+    block = {"_file": "_metadata.file_path", "_block": "_metadata.file_block_start"}
+    rows = spark.read.schema(schema).option("header", True).csv(path).select(
+        *text,
+        *(F.col(v).alias(k) for k, v in block.items()),
+        F.monotonically_increasing_id().alias("_n"),
+    )
+    firsts = rows.groupBy(*block).agg(F.min("_n").alias("_first"))
+    rows = rows.join(firsts, list(block))
     too_wide = F.col("overflow").isNotNull()
-    return rows.select(
+    keyed = rows.select(
         *PARTITION_COLUMNS,
         F.lit(source).alias("source"),
+        (F.col("_block") + F.col("_n") - F.col("_first")).alias("row_pos"),
         F.when(too_wide, ERROR).alias("status"),
         F.when(too_wide, F.lit("more fields than the header")).alias("error"),
         F.lit(width).alias("n_fields"),
         *names,
     )
+    return with_candle_columns(keyed, names)
+
+
+def with_candle_columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Raw rows from columns of text by position; fewer than 11 are filled up with nulls."""
+    n, nothing = len(CANDLE_COLUMNS), F.lit(None).cast("string")
+    filled = df.withColumns({f"_none{i}": nothing for i in range(len(columns), n)})
+    columns = columns + [f"_none{i}" for i in range(len(columns), n)]
+    extra = F.coalesce(nothing, *(na_to_null(c) for c in columns[n:])).alias("extra")
+    keep = [c for c in RAW_SCHEMA.fieldNames() if c not in [*CANDLE_COLUMNS, "extra"]]
+    named = positional_project(filled.select(*columns, *keep, extra), [*keep, "extra"])
+    return named.select(*RAW_SCHEMA.fieldNames())

@@ -4,6 +4,7 @@ import csv as csv_module
 import io
 import math
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 from helpers import HEADER, T0, archive_file, csv_text, row, write_archive
 from tallow.plans.ingest import ingest
 from tallow.schema import NO_TIME, OUTPUT_COLUMNS
+from tallow.session import shared_path
 from tallow.sinks.lake import read_lake
+from tallow.plans.normalize import normalize
+from tallow.sources import archive
 from tallow.sources.archive import ArchiveReader, register, scan_archives
-from tallow.sources.landed import scan_landed_zips
+from tallow.sources.landed import read_landed_csv, scan_landed_zips
 from tallow.sources.member import BATCH_ROWS, candle_rows
 
 NARROW = "id,price,qty,quote_qty,time,is_buyer_maker,is_best"
@@ -120,11 +124,14 @@ def test_absent_and_damaged_archives(outcome):
     assert not {"ABSENT", "NOTAZIP", "LATIN"} & set(stored)
 
 
-def test_manifest_names_the_object_only_when_done(outcome):
-    manifest, _ = outcome
-    key = manifest["HEADERED"]["object_key"]
-    assert key.endswith("klines/symbol=HEADERED/interval=1m/date=2024-01-02/data.parquet")
-    assert manifest["SEVEN"]["object_key"] is None
+def test_manifest_names_the_folder_only_when_there_are_files(outcome):
+    manifest, stored = outcome
+    for symbol, r in manifest.items():
+        assert (r["path"] is not None) == (symbol in stored)
+        assert r["path"] is None or list(Path(r["path"]).glob("*.parquet"))
+    path = manifest["HEADERED"]["path"]
+    assert path.endswith("klines/symbol=HEADERED/interval=1m/date=2024-01-02")
+    assert manifest["SEVEN"]["path"] is None and manifest["ONLYSENTINEL"]["path"] is None
     assert manifest["DUPS"]["n_rows"] == 4
 
 
@@ -191,6 +198,66 @@ def test_landed_zips_read_like_fetched_ones(spark, tmp_path):
     fetched = scan_archives(grid, str(tmp_path), retries=1)
     assert landed.exceptAll(fetched).count() == fetched.exceptAll(landed).count() == 0
     assert landed.count() == 2 + 1 + 1 + 1 + 1  # rows and statuses
+    assert "content" not in landed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_landed_zip_without_a_date_is_an_error(spark, tmp_path):
+    (tmp_path / "k" / "A" / "1m").mkdir(parents=True)
+    (tmp_path / "k" / "A" / "1m" / "A-1m.zip").write_bytes(b"x")
+    rows = scan_landed_zips(spark, str(tmp_path)).collect()
+    assert [r["status"] for r in rows] == ["ERROR"] and "no date" in rows[0]["error"]
+
+
+def test_landed_csv_of_several_tasks_keeps_the_first(spark, tmp_path):
+    """Positions rise through a file that many tasks read, so the first of each time stays."""
+    folder = tmp_path / "symbol=A" / "interval=1m" / "date=2024-01-02"
+    folder.mkdir(parents=True)
+    rows = [row(i % 500, close=i) for i in range(5000)]
+    (folder / "a.csv").write_text(csv_text(*rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        raw = read_landed_csv(spark, str(tmp_path), "klines")
+        assert raw.rdd.getNumPartitions() > 3
+        closes = [r["close"] for r in raw.orderBy("row_pos").collect()]
+        kept = sorted(r["close"] for r in normalize(raw).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert closes == [str(i) for i in range(5000)]
+    assert kept == [float(i) for i in range(500)]
+
+
+def test_landed_csv_row_too_wide_fails_its_day(spark, tmp_path):
+    folder = tmp_path / "symbol=A" / "interval=1m" / "date=2024-01-02"
+    folder.mkdir(parents=True)
+    (folder / "a.csv").write_text(csv_text(row(0), row(1) + ",9"))
+    assert normalize(read_landed_csv(spark, str(tmp_path), "klines")).count() == 0
+
+
+def test_number_of_tasks_follows_the_grid_up_to_a_bound(monkeypatch):
+    tasks = archive.scan_tasks
+    assert tasks(1, 2) == 8 and tasks(3200, 2) == 100 and tasks(10**9, 2) == archive.MAX_TASKS
+    assert tasks(10**9, 10_000) == 40_000
+    monkeypatch.setattr(archive, "MAX_TASKS", 10)
+    options = {"root": "r", "source": "k", "symbols": "A,B,C", "start": "2020-01-01", "end": "2024-12-31"}
+    spans = ArchiveReader(options).partitions()
+    assert len(spans) <= 12
+    days = [(s.symbol, s.first.toordinal() + i) for s in spans for i in range(s.n_days)]
+    assert len(days) == len(set(days)) == 3 * 1827
+
+
+def test_landing_is_never_overwritten_and_scratch_goes(spark, tmp_path):
+    write_archive(tmp_path, "A", csv_text(row(0)))
+    job = dict(source="klines", symbols=["A"], interval="1m", start="2024-01-02", end="2024-01-02",
+               root=str(tmp_path), prefix=str(tmp_path / "lake"))
+    scratch = Path(shared_path(spark, "x")).parent
+    before = {p.name for p in scratch.glob("tallow-ingest-*")}
+    assert ingest(spark, **job, landing=str(tmp_path / "landing")).first()["status"] == "DONE"
+    assert list((tmp_path / "landing").glob("*.parquet"))
+    with pytest.raises(Exception, match="already exists"):
+        ingest(spark, **job, landing=str(tmp_path / "landing"))
+    assert ingest(spark, **job).first()["status"] == "DONE"
+    left = {p.name for p in scratch.glob("tallow-ingest-*")} - before
+    assert len(left) <= 1  # that of the run that was refused
 
 
 def test_blocks_equal_a_plain_csv_reading():

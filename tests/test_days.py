@@ -1,4 +1,4 @@
-"""Gate, keep-first, skips and manifest; the two lanes; the shape of the plans."""
+"""Gate, keep-first, skips and manifest; the shape of the plans."""
 
 import re
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tallow.fixtures import raw_candles
 from tallow.operators import days
 from tallow.operators.clean import positional_project, type_candles
-from tallow.operators.order import rank_in_day
 from tallow.plans.normalize import finish, normalize
 from tallow.schema import CANDLE_COLUMNS, DAY_KEY, RAW_SCHEMA
 from tallow.session import stage
@@ -53,16 +52,9 @@ def test_golden_counts(spark, sf):
     assert tuple(found) == GOLDEN[sf]
 
 
-@pytest.mark.parametrize("max_day_rows", [1, 60, 66, 70, 10_000])
-def test_lanes_give_the_same_rows(raw, wanted, max_day_rows):
-    """All days large, some large, the failed day large or not, none large."""
-    assert rows_of(normalize(raw, max_day_rows)) == wanted
-
-
 def test_result_does_not_depend_on_partitioning(raw, wanted):
     for shuffled in (raw.repartition(13), raw.orderBy(F.desc("row_pos")), raw.coalesce(1)):
         assert rows_of(normalize(shuffled)) == wanted
-        assert rows_of(normalize(shuffled, 50)) == wanted
 
 
 @pytest.fixture
@@ -92,44 +84,52 @@ def test_skewed_day(spark, skewed):
         .agg(F.min("row_pos").alias("row_pos"))
     )
     typed = stage(type_candles(skewed), "typed")
-    for limit in (1_000, 10**9):
-        gated = days.gate_days(typed, days.day_counts(typed), limit)
-        kept = days.dedup_keep_first(gated).select(*wanted.columns)
+    for stats in (None, stage(days.day_stats(typed), "stats")):
+        kept = days.dedup_keep_first(days.gate_days(typed, stats)).select(*wanted.columns)
         assert rows_of(kept) == rows_of(wanted)
 
 
 def test_one_bad_row_fails_a_large_day_whole(spark, skewed):
     bad = F.when(F.col("row_pos") == 30_001, "x").otherwise(F.col("trades"))
-    candles = normalize(skewed.withColumn("trades", bad), 1_000)
+    candles = normalize(skewed.withColumn("trades", bad))
     assert [r[0] for r in candles.select("symbol").distinct().collect()] == ["SMALL"]
 
 
-def test_number_of_large_days_is_bounded(raw, monkeypatch):
-    """The limit follows the total, so that fewer days than the bound can exceed it."""
-    monkeypatch.setattr(days, "MAX_LARGE_DAYS", 20)
-    stats = days.day_stats(type_candles(raw))
-    assert days.size_up(stats, 1).large is None  # 150 days of about 66 rows: none above 495
-    monkeypatch.setattr(days, "MAX_LARGE_DAYS", 150)
-    large = days.size_up(stats, 1).large
-    assert 0 < large.count() < 150
+def jobs_started(spark):
+    return spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
 
 
-def test_ordinary_days_take_one_exchange_and_one_sort(spark, skewed):
-    typed = stage(type_candles(skewed), "typed")
-    for tasks in (None, 7):
-        plan = plan_of(finish(days.gate_in_window(typed, tasks)))
-        assert exchanges(plan) == 1
-        assert len(re.findall(r"\bSort \[", plan)) == 1
-        assert "MapInArrow" not in plan and "Python" not in plan
+def test_no_job_before_the_action(spark, skewed):
+    before = jobs_started(spark)
+    normalize(skewed)
+    assert jobs_started(spark) == before
 
 
-def test_large_days_shrink_before_they_move(spark, skewed):
+def test_few_failed_days_move_no_candle_by_day_alone(spark, skewed):
+    """Spark sends the keys of the failed days, by their size, and nothing tells it to."""
     typed = stage(type_candles(skewed), "typed")
-    large = days.size_up(days.day_stats(typed), 1_000).large
-    plan = plan_of(finish(days.gate_lanes(typed, large)[1]))
-    assert exchanges(plan) == 1
+    stats = stage(days.day_stats(typed), "stats")
+    candles = finish(days.gate_days(typed, stats))
+    plan = plan_of(candles)
+    assert exchanges(plan) == 1 and "BroadcastHashJoin" in plan and "LeftAnti" in plan
     before_exchange = plan[plan.index("Exchange hashpartitioning") :]
     assert "Partial" in before_exchange and "open_time" in before_exchange.splitlines()[0]
+    assert "MapInArrow" not in plan and "Python" not in plan
+    logical = candles._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in logical and "UnresolvedHint" not in logical
+
+
+def test_many_failed_days_are_merged(spark, skewed):
+    typed = stage(type_candles(skewed), "typed")
+    stats = stage(days.day_stats(typed), "stats")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(days.gate_days(typed, stats))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # both sides are exchanges that adaptive execution may split
+    assert "SortMergeJoin" in plan and plan.count("ENSURE_REQUIREMENTS") == 2
+    assert plan.startswith("AdaptiveSparkPlan")
 
 
 def test_gate_reads_only_what_it_needs_to_count(spark, skewed):
@@ -138,22 +138,23 @@ def test_gate_reads_only_what_it_needs_to_count(spark, skewed):
     plan = explain(stats._jdf.queryExecution(), "formatted")
     schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
     assert {c.split(":")[0] for c in schema.split(",")} == {
-        *DAY_KEY, "row_pos", "status", "problem"
+        *DAY_KEY, "row_pos", "open_time", "status", "problem"
     }
 
 
 def test_skips_and_manifest(spark):
     grid = spark.createDataFrame(
-        [(s, "1m", "2024-01-01", "klines") for s in "ABCDE"], ", ".join(f"{c} string" for c in DAY_KEY)
+        [(s, "1m", "2024-01-01", "klines") for s in "ABCDEF"], ", ".join(f"{c} string" for c in DAY_KEY)
     )
     stats = spark.createDataFrame(
         [
-            ("A", "1m", "2024-01-01", "klines", 5, None, False),
-            ("B", "1m", "2024-01-01", "klines", 5, "trades is not an integer", False),
-            ("C", "1m", "2024-01-01", "klines", 0, None, True),
-            ("D", "1m", "2024-01-01", "klines", 0, "HTTP 500", False),
+            ("A", "1m", "2024-01-01", "klines", 5, 4, None, False),
+            ("B", "1m", "2024-01-01", "klines", 5, 5, "trades is not an integer", False),
+            ("C", "1m", "2024-01-01", "klines", 0, 0, None, True),
+            ("D", "1m", "2024-01-01", "klines", 0, 0, "HTTP 500", False),
+            ("F", "1m", "2024-01-01", "klines", 3, 0, None, False),
         ],
-        ", ".join(f"{c} string" for c in DAY_KEY) + ", n_rows long, problem string, absent boolean",
+        ", ".join(f"{c} string" for c in DAY_KEY) + ", n_rows long, n_timed long, problem string, absent boolean",
     )
     manifest = {r["symbol"]: r for r in days.run_manifest(grid, stats, "raw").collect()}
     assert {s: (r["status"], r["error"], r["n_rows"]) for s, r in manifest.items()} == {
@@ -162,22 +163,16 @@ def test_skips_and_manifest(spark):
         "C": ("SKIP", None, 0),
         "D": ("ERROR", "HTTP 500", 0),
         "E": ("SKIP", None, 0),
+        "F": ("DONE", None, 3),
+    }
+    assert {s: r["path"] for s, r in manifest.items() if r["path"]} == {
+        "A": "raw/klines/symbol=A/interval=1m/date=2024-01-01"
     }
+    assert [r["symbol"] for r in days.emptied_days(stats).collect()] == ["F"]
     assert {r["symbol"] for r in days.days_without_rows(grid, stats).collect()} == set("CDE")
-    assert {r["symbol"] for r in days.days_with_rows(grid, stats).collect()} == set("AB")
 
 
 def test_positional_project_needs_eleven_columns(spark):
     ten = spark.range(1).select("id", *(F.lit("1").alias(f"x{i}") for i in range(10)))
     with pytest.raises(ValueError, match="10 columns, 11 needed"):
         positional_project(ten, ["id"])
-
-
-def test_rank_across_hours_and_before_1970(spark):
-    times = [-7_200_001, -3_600_000, -1, 0, 1, 3_599_999, 3_600_000, 90_000_000]
-    rows = spark.createDataFrame(
-        [("A", "1m", "d", "k", t) for t in reversed(times)],
-        ", ".join(f"{c} string" for c in DAY_KEY) + ", open_time long",
-    )
-    ranked = {r["open_time"]: r["position"] for r in rank_in_day(rows).collect()}
-    assert ranked == {t: i + 1 for i, t in enumerate(times)}

@@ -11,9 +11,10 @@ URL = "https://example.org/x.zip"
 
 
 class Response(io.BytesIO):
-    def __init__(self, body=b"", status=200):
+    def __init__(self, body=b"", status=200, told=None):
         super().__init__(body)
         self.status = status
+        self.headers = {} if told is None else {"Content-Length": str(told)}
 
 
 class Web:
@@ -65,6 +66,18 @@ def test_last_failure_is_raised():
     assert web.requests == 3
 
 
+def test_body_that_breaks_off_is_fetched_again():
+    web = Web(Response(b"zi", told=3), Response(b"zip", told=3))
+    assert fetch(web) == (b"zip", 2, [2])
+
+
+def test_body_that_always_breaks_off_is_an_error():
+    web = Web(*[Response(b"zi", told=1000) for _ in range(3)])
+    with pytest.raises(ConnectionError, match="2 of 1000 bytes"):
+        fetch(web)
+    assert web.requests == 3
+
+
 def test_absent_after_a_failure():
     assert fetch(Web(http_error(500), http_error(404))) == (None, 2, [2])
 

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tallow.fixtures import raw_candles
 from tallow.operators.clean import type_candles
-from tallow.operators.days import day_stats
+from tallow.operators.days import day_stats, run_manifest
 from tallow.plans.ingest import load_days
 from tallow.plans.normalize import normalize
-from tallow.schema import LAKE_SCHEMA, OUTPUT_COLUMNS
+from tallow.schema import DAY_KEY, LAKE_SCHEMA, NO_TIME, OUTPUT_COLUMNS
 from tallow.session import stage
 from tallow.sinks.lake import cluster_days, read_lake, read_nanosecond_lake, write_days
 
@@ -31,19 +31,11 @@ def files_by_day(lake):
     return days
 
 
-def last_write_plan(spark):
-    executions = spark._jsparkSession.sharedState().statusStore().executionsList()
-    plans = [executions.apply(i).physicalPlanDescription() for i in range(executions.size())]
-    return [p for p in plans if "InsertIntoHadoopFsRelationCommand" in p][-1]
-
-
-def test_ordinary_days_are_one_sorted_file_each(spark, landed, tmp_path):
+def test_files_are_sorted_and_typed(spark, landed, tmp_path):
     load_days(landed, day_stats(landed), str(tmp_path), "klines")
-    plan = last_write_plan(spark).split("== Initial Plan ==")[0]
     days = files_by_day(tmp_path)
     assert len(days) == 149
-    for folder, files in days.items():
-        assert len(files) == 1
+    for files in days.values():
         file = pq.ParquetFile(files[0])
         assert file.metadata.row_group(0).column(0).compression == "ZSTD"
         assert file.schema_arrow.names == OUTPUT_COLUMNS
@@ -51,11 +43,10 @@ def test_ordinary_days_are_one_sorted_file_each(spark, landed, tmp_path):
         assert file.schema_arrow.field("open").type == pa.float32()
         times = file.read(["open_time"]).column(0).to_pylist()
         assert times == sorted(set(times))
-    assert plan.count("Exchange (") == 1 and plan.count("Sort (") == 1
 
 
-def test_large_days_are_cut_by_time(spark, landed, tmp_path):
-    load_days(landed, day_stats(landed), str(tmp_path), "klines", max_day_rows=60)
+def test_days_are_cut_by_time_where_large(spark, landed, tmp_path):
+    load_days(landed, day_stats(landed), str(tmp_path), "klines")
     days = files_by_day(tmp_path)
     assert len(days) == 149
     for folder, files in days.items():
@@ -87,6 +78,30 @@ def test_overwrite_touches_only_its_days(spark, landed, tmp_path):
     assert {f for files in files_by_day(tmp_path).values() for f in files} == after
 
 
+def test_a_day_that_comes_to_nothing_loses_its_rows(spark, landed, tmp_path):
+    prefix = str(tmp_path)
+    load_days(landed, day_stats(landed), prefix, "klines")
+    one = (F.col("date") == "2024-01-05") & (F.col("symbol") == "CLICKUSDT")
+    timeless = landed.where(one).withColumn("open_time", F.lit(NO_TIME))
+    stats = day_stats(timeless)
+    load_days(timeless, stats, prefix, "klines")
+    assert len(files_by_day(tmp_path)) == 148
+    folder = tmp_path / "klines/symbol=CLICKUSDT/interval=15m/date=2024-01-05"
+    assert not folder.exists() and folder.parent.is_dir()
+    manifest = run_manifest(timeless.select(*DAY_KEY).distinct(), stats, prefix)
+    assert [(r.status, r.path) for r in manifest.collect()] == [("DONE", None)]
+
+
+def test_folders_in_the_manifest_hold_the_files(spark, landed, tmp_path):
+    one = landed.where((F.col("date") == "2024-01-05") & (F.col("symbol") == "CLICKUSDT"))
+    for symbol in ("CLICKUSDT", "A%B:C", "it's {x}^[1]"):
+        named = one.withColumn("symbol", F.lit(symbol))
+        stats = day_stats(named)
+        load_days(named, stats, str(tmp_path), "klines")
+        row = run_manifest(named.select(*DAY_KEY).distinct(), stats, str(tmp_path)).first()
+        assert list(Path(row.path).glob("part-*.parquet"))
+
+
 def candle(spark, interval):
     candles = normalize(raw_candles(spark, DATA))
     one = candles.where((F.col("symbol") == "CLICKUSDT") & (F.col("date") == "2024-01-01"))
