@@ -3,11 +3,13 @@
 Vectors are cut into halves and each half is quantised on its own, so that two lists of
 ``CODES`` centroids make a fine grid of cells. A query walks the pairs of centroids in the
 order of their summed squared distance, with a heap, until the cells passed hold enough
-entries, which are then ranked by their exact distances.
+entries, which are then ranked by their exact distances. As the walk goes by distance, the
+sum at which it stops says which cells it passed, and travels in place of their list.
 
-The centroids are fitted on a bounded sample; every usable vector is in the index. Cells are
-cut into blocks of bounded size and their queries too, so a cell with a third of all vectors
-is many tasks, and what one task returns is the nearest few of each query.
+The centroids are fitted on a bounded sample; every usable vector is in the index. Entries
+lie in ``BUCKETS`` runs of first codes, which are cut into blocks of bounded size, as are the
+queries that ask them. So a cell with a third of all vectors is many tasks, and what one
+task returns is the nearest few of each query.
 """
 
 import heapq
@@ -22,9 +24,13 @@ from tallow.llm.tables import smallest_by_hash
 from tallow.llm.vectors import QUERY_BLOCK, VECTOR_BLOCK, is_query, matrix, usable
 from tallow.session import stage
 
-CODES = 24
+CODES = 128
+BUCKETS = 16
 SAMPLE = 8192
-SHARE = 0.12  # of all entries that a query's cells must hold, and at least LEAST
+# Share of all entries that a query's cells must hold, and at least LEAST. It is this large
+# for vectors without structure, such as points spread over a sphere, whose nearest are hardly
+# nearer than others; for clustered ones a few hundredths do.
+SHARE = 0.4
 LEAST = 2000
 _SEED = 4
 
@@ -67,23 +73,42 @@ class MultiIndex:
         b = distances(points[:, self.half :], self.second).argmin(axis=1)
         return a * len(self.second) + b
 
-    def walk(self, query: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
-        """Cells with entries in the order of summed distance, until they hold ``enough``."""
-        da = distances(query[None, : self.half], self.first)[0]
-        db = distances(query[None, self.half :], self.second)[0]
+    def halves(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of a query's halves to the centroids."""
+        return (
+            distances(query[None, : self.half], self.first)[0],
+            distances(query[None, self.half :], self.second)[0],
+        )
+
+    def bucket(self, cell: np.ndarray) -> np.ndarray:
+        return cell // len(self.second) * BUCKETS // len(self.first)
+
+    def walk(self, query: np.ndarray, counts: np.ndarray, enough: int) -> float:
+        """The summed distance within which the cells hold ``enough``, or all if there are
+        no more: pairs of centroids are passed in its order."""
+        da, db = self.halves(query)
         first, second = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
-        heap, seen, held, found = [(da[first[0]] + db[second[0]], 0, 0)], {(0, 0)}, 0, []
+        held_by = counts.reshape(len(first), len(second))[np.ix_(first, second)].tolist()
+        da, db = da[first].tolist(), db[second].tolist()
+        # a row of pairs enters when the one before it is passed for the first time
+        heap, held, reach = [(da[0] + db[0], 0, 0)], 0, 0.0
         while heap and held < enough:
-            _, i, j = heapq.heappop(heap)
-            cell = int(first[i] * len(self.second) + second[j])
-            if counts[cell]:
-                found.append(cell)
-                held += int(counts[cell])
-            for a, b in ((i + 1, j), (i, j + 1)):
-                if a < len(first) and b < len(second) and (a, b) not in seen:
-                    seen.add((a, b))
-                    heapq.heappush(heap, (da[first[a]] + db[second[b]], a, b))
-        return found
+            reach, i, j = heapq.heappop(heap)
+            held += held_by[i][j]
+            if j == 0 and i + 1 < len(da):
+                heapq.heappush(heap, (da[i + 1] + db[0], i + 1, 0))
+            if j + 1 < len(db):
+                heapq.heappush(heap, (da[i] + db[j + 1], i, j + 1))
+        return reach if held >= enough else float("inf")
+
+    def passed(self, query: np.ndarray, reach: float, cells: np.ndarray) -> np.ndarray:
+        da, db = self.halves(query)
+        return da[cells // len(self.second)] + db[cells % len(self.second)] <= reach
+
+    def buckets_passed(self, query: np.ndarray, reach: float) -> list[int]:
+        da, db = self.halves(query)
+        near = np.flatnonzero(da + db.min() <= reach)
+        return np.unique(near * BUCKETS // len(self.first)).tolist()
 
 
 def _vectors(batch: pa.RecordBatch) -> np.ndarray:
@@ -96,9 +121,10 @@ def _vectors(batch: pa.RecordBatch) -> np.ndarray:
 def _cell_batches(index: MultiIndex):
     def assign(batches):
         for batch in batches:
-            cells = index.cells(_vectors(batch)) if batch.num_rows else []
+            cells = index.cells(_vectors(batch)) if batch.num_rows else np.zeros(0, int)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cells, pa.int32())], [*batch.schema.names, "cell"]
+                [*batch.columns, pa.array(cells, pa.int32()), pa.array(index.bucket(cells), pa.int32())],
+                [*batch.schema.names, "cell", "bucket"],
             )
 
     return assign
@@ -108,44 +134,42 @@ def _walk_batches(index: MultiIndex, counts: np.ndarray, enough: int):
     def walk(batches):
         for batch in batches:
             vectors = _vectors(batch) if batch.num_rows else []
-            cells = [index.walk(v, counts, enough) for v in vectors]
+            reach = [index.walk(v, counts, enough) for v in vectors]
+            buckets = [index.buckets_passed(v, r) for v, r in zip(vectors, reach, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(cells, pa.list_(pa.int32()))],
-                [*batch.schema.names, "cells"],
+                [*batch.columns, pa.array(reach, pa.float64()), pa.array(buckets, pa.list_(pa.int32()))],
+                ["qid", "query_id", "q", "reach", "buckets"],
             )
 
     return walk
 
 
-def _rank_block(k: int):
+def _rank_block(index: MultiIndex, k: int):
     def rank(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(vectors) and len(queries):
-            v = matrix(vectors["vector"])
+            v, cells = matrix(vectors["vector"]), vectors["cell"].to_numpy()
             rids, ids = vectors["rid"].to_numpy(), vectors["vec_id"].to_numpy()
-            for rid, query_id, q in zip(
-                queries["qid"], queries["query_id"], matrix(queries["q"]), strict=True
-            ):
-                score = np.sqrt(((v - q) ** 2).sum(axis=1))
-                score[rids == rid] = np.inf
+            columns = (queries["qid"], queries["query_id"], queries["reach"], matrix(queries["q"]))
+            for qid, query_id, reach, q in zip(*columns, strict=True):
+                at = np.flatnonzero(index.passed(q, reach, cells) & (rids != qid))
+                score = np.sqrt(((v[at] - q) ** 2).sum(axis=1))
                 if len(score) > k:
-                    close = np.flatnonzero(score <= np.partition(score, k - 1)[k - 1])
-                else:
-                    close = np.arange(len(score))
-                close = close[np.lexsort((rids[close], ids[close], score[close]))][:k]
-                found += [
-                    (rid, query_id, rids[i], ids[i], score[i]) for i in close if rids[i] != rid
-                ]
+                    close = score <= np.partition(score, k - 1)[k - 1]
+                    at, score = at[close], score[close]
+                order = np.lexsort((rids[at], ids[at], score))[:k]
+                found += [(qid, query_id, rids[at[o]], ids[at[o]], score[o]) for o in order]
         return pd.DataFrame(found, columns=["qid", "query_id", "rid", "vec_id", "score"])
 
     return rank
 
 
-def _parts(counts: dict[int, int], size: int, cells: int) -> np.ndarray:
-    parts = np.ones(cells, np.int64)
-    for cell, n in counts.items():
-        parts[cell] = -(-n // size)
-    return parts
+def _parts(df: DataFrame, size: int):
+    """By bucket, in how many blocks of ``size`` its rows are cut; ``BUCKETS`` numbers."""
+    parts = [1] * BUCKETS
+    for r in df.groupBy("bucket").count().collect():
+        parts[r["bucket"]] = -(-r["count"] // size)
+    return F.element_at(F.lit(parts), F.col("bucket") + 1)
 
 
 def search(embeddings: DataFrame, k: int = 10, share: float = SHARE) -> DataFrame:
@@ -166,40 +190,33 @@ def search(embeddings: DataFrame, k: int = 10, share: float = SHARE) -> DataFram
         return spark.createDataFrame([], empty)
     index = MultiIndex(matrix(sample["vector"]))
     cells = len(index.first) * len(index.second)
-    entry = "rid bigint, vec_id bigint, vector array<double>, cell int"
+    entry = "rid bigint, vec_id bigint, vector array<double>, cell int, bucket int"
     entries = stage(vectors.mapInArrow(_cell_batches(index), entry), "entries")
-    # at most CODES squared rows
-    held = {r["cell"]: r["count"] for r in entries.groupBy("cell").count().collect()}
     counts = np.zeros(cells, np.int64)
-    counts[list(held)] = list(held.values())
+    for r in entries.groupBy("cell").count().collect():  # at most CODES squared rows
+        counts[r["cell"]] = r["count"]
     enough = max(LEAST, int(share * counts.sum()))
     queries = entries.where(is_query()).select(
         F.col("rid").alias("qid"), F.col("vec_id").alias("query_id"), "vector"
     )
-    walked = queries.mapInArrow(
+    # a walk is long for its few bytes, so queries are spread by count
+    tasks = max(1, min(4 * spark.sparkContext.defaultParallelism, queries.count() // 8))
+    walked = queries.repartition(tasks).mapInArrow(
         _walk_batches(index, counts, enough),
-        "qid bigint, query_id bigint, vector array<double>, cells array<int>",
+        "qid bigint, query_id bigint, q array<double>, reach double, buckets array<int>",
     )
-    probes = stage(walked.withColumnRenamed("vector", "q"), "probes").withColumn(
-        "cell", F.explode("cells")
-    ).drop("cells")
-    asked = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
-    vparts = F.lit(_parts(held, VECTOR_BLOCK, cells).tolist())
-    qparts = F.lit(_parts(asked, QUERY_BLOCK, cells).tolist())
-    at = F.col("cell") + 1
-    blocks = entries.where(F.col("cell").isin(list(asked))).select(
-        "rid", "vec_id", "vector", "cell",
-        F.pmod(F.xxhash64("rid"), F.element_at(vparts, at)).alias("vpart"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.element_at(qparts, at) - 1)).alias("qpart"),
+    probes = stage(walked, "probes").withColumn("bucket", F.explode("buckets")).drop("buckets")
+    vparts, qparts = _parts(entries, VECTOR_BLOCK), _parts(probes, QUERY_BLOCK)
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    blocks = entries.select(
+        "*", F.pmod(F.xxhash64("rid"), vparts).alias("vpart"), each(qparts).alias("qpart")
     )
     asks = probes.select(
-        "qid", "query_id", "q", "cell",
-        F.pmod(F.xxhash64("qid"), F.element_at(qparts, at)).alias("qpart"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.element_at(vparts, at) - 1)).alias("vpart"),
+        "*", F.pmod(F.xxhash64("qid"), qparts).alias("qpart"), each(vparts).alias("vpart")
     )
-    keys = ["cell", "vpart", "qpart"]
+    keys = ["bucket", "vpart", "qpart"]
     near = blocks.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(
-        _rank_block(k), "qid bigint, query_id bigint, rid bigint, vec_id bigint, score double"
+        _rank_block(index, k), "qid bigint, query_id bigint, rid bigint, vec_id bigint, score double"
     )
     order = Window.partitionBy("qid").orderBy("score", "vec_id", "rid")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

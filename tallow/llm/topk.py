@@ -6,10 +6,11 @@ vectors by their partial score, and the score sought is the sum over lists.
 1. Each block of each list gives its best k entries and its lowest value. The sums of what
    is known (the lowest value of a list where it is not) bound scores from below, so the k-th
    largest sum is a safe cutoff for the result.
-2. The cutoff, spread evenly over the lists (above each one's lowest value), goes with the
-   query to all blocks. An entry below its share in every list cannot reach the cutoff, so
-   the entries that reach it in some list are enough. They give better bounds from below and
-   bounds from above; what cannot reach the k-th largest lower bound is dropped.
+2. What the cutoff lacks from the sum of the lists' highest values, spread evenly over the
+   lists, goes with the query to all blocks. An entry that lacks more in every list cannot
+   reach the cutoff, so the entries that lack no more in some list are enough. They give
+   better bounds from below and bounds from above; what cannot reach the k-th largest lower
+   bound is dropped.
 3. The scores of the rest are completed from the vectors and ranked.
 
 Vectors and queries meet in blocks of bounded size; no task sees a whole list.
@@ -96,13 +97,11 @@ def _sufficient(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     rows = []
     if len(vectors) and len(queries):
         q, v, rid = _whole(queries["q"]), _whole(vectors["vector"]), vectors["rid"].to_numpy()
-        lows = _whole(queries["lows"])
-        # a whole score at or above the cutoff has a list at or above the (rounded up) share
-        share = -(-(queries["cutoff"].to_numpy() - lows.sum(axis=1)) // LISTS)
+        least = _whole(queries["shares"])
         qids = queries["qid"].to_numpy()
         for part in range(LISTS):
             scores = _partials(q, v, part)
-            reach = (scores - lows[:, part][:, None] >= share[:, None]) & (qids[:, None] != rid)
+            reach = (scores >= least[:, part][:, None]) & (qids[:, None] != rid)
             i, j = np.nonzero(reach)
             if len(i):
                 rows.append((qids[i], np.full(len(i), part), rid[j], scores[i, j]))
@@ -143,22 +142,28 @@ def top_k(embeddings: DataFrame, k: int = 10) -> DataFrame:
     )
     ddl = "qid bigint, list bigint, rid bigint, partial bigint"
     local = stage(_meet(vectors, queries.drop("query_id"), _local_lists(k), f"{ddl}, lowest bigint"), "lists")
-    lows = local.groupBy("qid").agg(
-        F.array(*[F.min(F.when(F.col("list") == b, F.col("lowest"))) for b in range(LISTS)]).alias("lows")
+    of = lambda b, column: F.when(F.col("list") == b, F.col(column))
+    ends = local.groupBy("qid").agg(
+        F.array(*[F.min(of(b, "lowest")) for b in range(LISTS)]).alias("lows"),
+        F.array(*[F.max(of(b, "partial")) for b in range(LISTS)]).alias("highs"),
     )
     best = Window.partitionBy("qid", "list").orderBy(F.desc("partial"), "rid")
     tops = local.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k)
     low = [F.element_at("lows", b + 1) for b in range(LISTS)]
     at_least = _sum([F.coalesce(f"p{b}", low[b]) for b in range(LISTS)])
-    first = _known(tops).join(lows, "qid").withColumn("least", at_least)
-    cut = lows.join(_kth(first, k, "least"), "qid", "left").select(
-        "qid", "lows", F.coalesce("kth", _sum(low)).alias("cutoff")
+    first = _known(tops).join(ends, "qid").withColumn("least", at_least)
+    cutoff = F.coalesce("kth", _sum(low))
+    high = [F.element_at("highs", b + 1) for b in range(LISTS)]
+    # whole numbers: scores below these shares in all lists add up to less than the cutoff
+    lacking = F.floor((_sum(high) - cutoff) / F.lit(LISTS))
+    cut = ends.join(_kth(first, k, "least"), "qid", "left").select(
+        "qid", "lows", F.array(*[h - lacking for h in high]).alias("shares")
     )
     cut = stage(cut, "cutoffs")
     asked = queries.drop("query_id").join(cut, "qid")
     entries = stage(_known(_meet(vectors, asked, _sufficient, ddl)), "enough")
-    share = F.ceil((F.col("cutoff") - _sum(low)) / F.lit(LISTS))
-    at_most = _sum([F.coalesce(F.col(f"p{b}"), low[b] + share) for b in range(LISTS)])
+    share = [F.element_at("shares", b + 1) for b in range(LISTS)]
+    at_most = _sum([F.coalesce(F.col(f"p{b}"), share[b] - 1) for b in range(LISTS)])
     bounded = entries.join(cut, "qid").select(
         "qid", "rid", at_least.alias("least"), at_most.alias("most")
     )

@@ -32,7 +32,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARKER = "▁"
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6  # fixed values: types of pieces in the file
-_CACHE = 200_000
+_CACHE = 400_000
 _LONG = 64  # chunks longer than this are encoded one by one, in linear time and memory
 _BLOCK = 20_000
 
@@ -150,19 +150,33 @@ class Vocabulary:
         self.bytes = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(kinds) if k == _BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.trie = Trie.build([(self.pieces[i], i) for i in usual])
+        self.code = np.zeros(0x110000, np.int32)  # a character's symbol, 0 if it has none
+        for c, symbol in self.trie.symbols.items():
+            self.code[ord(c)] = symbol
+        self._prepare_decoding(usual)
+
+    def _prepare_decoding(self, usual: list[int]) -> None:
+        """Bytes of all pieces in a row; pieces without text have none."""
+        texts = [b""] * len(self.pieces)
+        for i in usual:
+            texts[i] = self.pieces[i].replace(MARKER, " ").encode()
+        for i, byte in self.byte_of.items():
+            texts[i] = bytes([byte])
+        self.text_bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.text_lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.text_starts = np.cumsum(self.text_lengths) - self.text_lengths
 
     def _codes(self, chunks: list[str], width: int) -> np.ndarray:
-        get = self.trie.symbols.get
-        codes = np.zeros((len(chunks), width + 1), np.int32)
+        points = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        flat = np.fromiter((get(c, 0) for c in "".join(chunks)), np.int32)
+        codes = np.zeros((len(chunks), width + 1), np.int32)
         row = np.repeat(np.arange(len(chunks)), lengths)
-        column = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        codes[row, column] = flat
+        column = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        codes[row, column] = self.code[points]
         return codes
 
-    def segment(self, chunks: list[str]) -> list[list[tuple[int, int, int]]]:
-        """For each chunk its pieces as (number or -1, start, end)."""
+    def _lattice(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best score, start and number (-1: unknown) of the last piece, by chunk and end."""
         width = max(map(len, chunks), default=0)
         n = len(chunks)
         codes = self._codes(chunks, width)
@@ -201,15 +215,42 @@ class Vocabulary:
             best[lone, at + 1] = total[better]
             start[lone, at + 1] = at
             number[lone, at + 1] = -1
-        starts, numbers = start.tolist(), number.tolist()
-        found = []
-        for i, end in enumerate(lengths.tolist()):
-            path, s, p = [], starts[i], numbers[i]
-            while end > 0:
-                path.append((p[end], s[end], end))
-                end = s[end]
-            found.append(path[::-1])
-        return found
+        return best, start, number
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all chunks in a row, how many each has, and their scores."""
+        best, start, number = self._lattice(chunks)
+        n = len(chunks)
+        end = np.fromiter(map(len, chunks), np.int64, n)
+        totals = best[np.arange(n), end]
+        # all chunks are walked back together, a piece a step
+        live, steps = np.flatnonzero(end > 0), []
+        while len(live):
+            at = end[live]
+            steps.append((live, number[live, at], start[live, at], at))
+            end[live] = start[live, at]
+            live = live[end[live] > 0]
+        if not steps:
+            return np.zeros(0, np.int32), np.zeros(n, np.int64), totals
+        row, piece, first, last = (np.concatenate(x) for x in zip(*steps, strict=True))
+        order = np.lexsort((first, row))
+        row, piece, first, last = row[order], piece[order], first[order], last[order]
+        gaps = np.flatnonzero(piece < 0)  # characters without a piece
+        if len(gaps):
+            own = [self._fallback(chunks[row[i]][first[i] : last[i]]) for i in gaps]
+            sizes = np.ones(len(piece), np.int64)
+            sizes[gaps] = [len(ids) for ids in own]
+            places = np.cumsum(sizes) - sizes
+            piece, row = np.repeat(piece, sizes), np.repeat(row, sizes)
+            at = np.repeat(places[gaps], sizes[gaps])
+            inner = np.arange(len(at)) - np.repeat(np.cumsum(sizes[gaps]) - sizes[gaps], sizes[gaps])
+            piece[at + inner] = np.fromiter(chain.from_iterable(own), np.int32)
+        return piece.astype(np.int32), np.bincount(row, minlength=n), totals
+
+    def _fallback(self, character: str) -> list[int]:
+        if len(self.bytes) < 256:
+            return [self.unknown]
+        return [self.bytes[b] for b in character.encode("utf-8", "replace")]
 
     def segment_long(self, chunk: str) -> list[tuple[int, int, int]]:
         """The same for one chunk of any length, place by place."""
@@ -239,30 +280,20 @@ class Vocabulary:
             end = start[end]
         return path[::-1]
 
-    def ids(self, chunk: str, path: list[tuple[int, int, int]]) -> tuple[list[int], float]:
-        """Ids with byte fallback, and the score of the segmentation."""
+    def encode_long(self, chunk: str) -> tuple[list[int], float]:
+        """Ids and score of one chunk of any length."""
         ids, total = [], 0.0
-        for piece, a, b in path:
-            if piece >= 0:
-                ids.append(piece)
-                total += self.scores[piece]
-                continue
-            total += self.unknown_score
-            if len(self.bytes) == 256:
-                ids += [self.bytes[x] for x in chunk[a:b].encode("utf-8", "replace")]
-            else:
-                ids.append(self.unknown)
+        for piece, a, b in self.segment_long(chunk):
+            ids += [piece] if piece >= 0 else self._fallback(chunk[a:b])
+            total += self.scores[piece] if piece >= 0 else self.unknown_score
         return ids, total
 
-    def decode(self, ids) -> str:
-        """Text of ids: byte pieces joined to UTF-8, markers as spaces, the first one dropped."""
-        out = bytearray()
-        for i in ids:
-            if i in self.byte_of:
-                out.append(self.byte_of[i])
-            elif self.kinds[i] in (_NORMAL, _USER):
-                out += self.pieces[i].replace(MARKER, " ").encode()
-        text = out.decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of ids: bytes of all pieces in a row, markers as spaces, the first dropped."""
+        ids = np.asarray(ids, np.int64)
+        lengths = self.text_lengths[ids]
+        shift = np.repeat(self.text_starts[ids] - (np.cumsum(lengths) - lengths), lengths)
+        text = self.text_bytes[shift + np.arange(len(shift))].tobytes().decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -275,8 +306,9 @@ def chunks_of(text: str) -> list[str]:
     """The marked text, cut before every marker that follows another character."""
     if not text:
         return []
-    marked = MARKER + text.replace(" ", MARKER)
-    parts = marked.split(MARKER)[1:]
+    parts = text.replace(MARKER, " ").split(" ")
+    if "" not in parts:
+        return [MARKER + part for part in parts]
     out, run = [], 0
     for part in parts:
         run += 1
@@ -297,48 +329,40 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.totals: list[float] = []
+        self.flat = np.zeros(0, np.int32)
+        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.totals = np.zeros(0)
 
     def _learn(self, new: list[str]) -> None:
         own = self.vocabulary
         short = sorted((c for c in new if len(c) <= _LONG), key=len)
-        paths = []
-        for at in range(0, len(short), _BLOCK):
-            paths += own.segment(short[at : at + _BLOCK])
+        found = [own.encode_chunks(short[at : at + _BLOCK]) for at in range(0, len(short), _BLOCK)]
         long = [c for c in new if len(c) > _LONG]
-        paths += map(own.segment_long, long)
-        for chunk, path in zip(short + long, paths, strict=True):
-            ids, total = own.ids(chunk, path)
-            self.index[chunk] = len(self.ids)
-            self.ids.append(ids)
-            self.totals.append(total)
+        for ids, total in map(own.encode_long, long):
+            found.append((np.array(ids, np.int32), np.array([len(ids)]), np.array([total])))
+        self.index.update(zip(short + long, range(len(self.index), len(self.index) + len(new)), strict=True))
+        if found:
+            flat, lengths, totals = (np.concatenate(x) for x in zip(*found, strict=True))
+            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
+            self.flat = np.r_[self.flat, flat]
+            self.lengths, self.totals = np.r_[self.lengths, lengths], np.r_[self.totals, totals]
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, float]]:
         split = [chunks_of(t or "") for t in texts]
         if len(self.index) > _CACHE:
             self._forget()
         self._learn([c for c in dict.fromkeys(chain.from_iterable(split)) if c not in self.index])
-        lengths = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-        starts = np.cumsum(lengths) - lengths
-        flat = np.fromiter(chain.from_iterable(self.ids), np.int32, int(lengths.sum()))
-        totals = np.array(self.totals)
-        found = []
-        for chunks in split:
-            which = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
-            own = lengths[which]
-            shift = np.repeat(starts[which] - (np.cumsum(own) - own), own)
-            found.append((flat[shift + np.arange(len(shift))], float(totals[which].sum())))
-        return found
-
+        return [self._gather(chunks) for chunks in split]
 
-def _decode_flat(own: Vocabulary, ids: np.ndarray) -> str:
-    return own.decode(ids.tolist())
+    def _gather(self, chunks: list[str]) -> tuple[np.ndarray, float]:
+        which = np.fromiter(map(self.index.__getitem__, chunks), np.int64, len(chunks))
+        own = self.lengths[which]
+        shift = np.repeat(self.starts[which] - (np.cumsum(own) - own), own)
+        return self.flat[shift + np.arange(len(shift))], float(self.totals[which].sum())
 
 
-def _encode_batches(path: str):
+def _encode_batches(own: Vocabulary):
     def encode(batches):
-        own = vocabulary(path)
         encoder = Encoder(own)
         for batch in batches:
             for start, texts in slices(batch, "text"):
@@ -346,7 +370,7 @@ def _encode_batches(path: str):
                 ids = [i for i, _ in found]
                 ends = np.cumsum([0] + [len(i) for i in ids]).astype(np.int32)
                 flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32())
-                back = [_decode_flat(own, i) for i in ids]
+                back = [own.decode(i) for i in ids]
                 same = [b == (t or "") for b, t in zip(back, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -367,12 +391,13 @@ def _encode_batches(path: str):
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Ids of every whole text, their score, and whether decoding them gives the text again.
 
-    A null text counts as empty and has no ids. Equal rows get equal results.
+    A null text counts as empty and has no ids. Equal rows get equal results. The vocabulary
+    is read once, on the driver, and goes to the tasks with its trie: a few MB.
     """
     path = str(path or public_tokenizers.path(VOCABULARY))
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return narrow.mapInArrow(
-        _encode_batches(path),
+        _encode_batches(vocabulary(path)),
         "doc_id bigint, ids array<int>, n_ids bigint, ids_crc32 bigint, score double, "
         "decoded_crc32 bigint, round_trip boolean",
     )

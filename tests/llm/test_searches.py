@@ -94,14 +94,20 @@ def test_recall_with_a_hot_cell(spark, monkeypatch):
 def test_walk_passes_cells_in_order_of_summed_distance():
     points = np.random.default_rng(8).normal(size=(500, 8))
     index = ann.MultiIndex(points, 5)
-    counts = np.bincount(index.cells(points), minlength=25)
-    cells = index.walk(points[0], counts, 10**9)
-    assert sorted(cells) == np.flatnonzero(counts).tolist()
-    far = [
-        ((points[0, :4] - index.first[c // 5]) ** 2).sum() + ((points[0, 4:] - index.second[c % 5]) ** 2).sum()
-        for c in cells
-    ]
-    assert far == sorted(far)
+    cells = index.cells(points)
+    counts = np.bincount(cells, minlength=25)
+    first = ((points[0, :4] - index.first) ** 2).sum(axis=1)
+    second = ((points[0, 4:] - index.second) ** 2).sum(axis=1)
+    far = first[cells // 5] + second[cells % 5]
+    for enough in (1, 50, 200, 499):
+        reach = index.walk(points[0], counts, enough)
+        passed = index.passed(points[0], reach, cells)
+        assert passed.sum() >= enough and far[passed].max() <= far[~passed].min(initial=np.inf) + 1e-9
+        # one cell less would not do
+        assert (far < reach - 1e-9).sum() < enough
+        buckets = set(index.buckets_passed(points[0], reach))
+        assert set(index.bucket(cells[passed]).tolist()) <= buckets
+    assert index.walk(points[0], counts, 10**9) == float("inf")
 
 
 def test_empty_tables(spark):

@@ -53,9 +53,9 @@ def test_decoding_is_that_of_the_library(vocabulary):
         model_file=str(public_tokenizers.path(unigram.VOCABULARY))
     )
     for text, (ids, _) in zip(TEXTS, unigram.Encoder(vocabulary).encode(TEXTS), strict=True):
-        assert vocabulary.decode(ids.tolist()) == library.decode([int(i) for i in ids])
+        assert vocabulary.decode(ids) == library.decode([int(i) for i in ids])
         if unigram.MARKER not in text:
-            assert vocabulary.decode(ids.tolist()) == text
+            assert vocabulary.decode(ids) == text
 
 
 def test_trie_holds_the_pieces(vocabulary):
