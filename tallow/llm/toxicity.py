@@ -360,6 +360,9 @@ def train(landmarks: Landmarks, texts: list[np.ndarray], label: np.ndarray) -> T
             sure = landmarks.kernels(landmarks.units) @ weights + bias >= 0.4
             spelled = landmarks.kernels(_spellings(landmarks.units, sure))
             spelled = spelled[spelled.any(axis=1)]
+            # a fifth of the weight of the sentences, however few they are
+            weight = sum(map(len, positive)) // (5 * len(spelled)) if len(spelled) else 0
+            spelled = np.repeat(spelled, max(1, weight), axis=0)
     margins = np.array([max(bias, (t @ weights + bias).max(initial=-np.inf)) for t in texts])
     slope, shift = fit_logistic(margins, label)
     return ToxicityModel(landmarks, weights, bias, slope, shift)
