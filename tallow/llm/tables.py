@@ -3,12 +3,13 @@
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Texts are worked on in slices of about so many characters, so that a Python worker's
-# memory does not grow with the length of the documents of a batch.
-SLICE_CHARS = 2_000_000
+# Texts are worked on in slices of about so many bytes, so that a Python worker's memory does
+# not grow with the length of the documents of a batch.
+SLICE_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,18 +21,21 @@ def fold(doc_id: Column | str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[tuple]:
-    """(start, texts) for runs of rows with at most ``chars`` characters, or of one row."""
-    texts = batch.column(column).to_pylist()
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text) if text else 0
-        if i > start and held + size > chars:
-            yield start, texts[start:i]
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE_BYTES) -> Iterator[tuple]:
+    """(start, texts) for runs of rows with at most ``size`` bytes of text, or of one row.
+
+    Only the texts of a run are made into Python's, so that a batch is not held twice.
+    """
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and held + n > size:
+            yield start, texts.slice(start, i - start).to_pylist()
             start, held = i, 0
-        held += size
-    if start < len(texts):
-        yield start, texts[start:]
+        held += n
+    if start < len(sizes):
+        yield start, texts.slice(start).to_pylist()
 
 
 def smallest_by_hash(df: DataFrame, key: str, rows: int, by: str, seed: int) -> DataFrame:
