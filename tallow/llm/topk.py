@@ -3,28 +3,29 @@
 The components are cut into ``LISTS`` runs; for a query each run is a list that ranks all
 vectors by their partial score, and the score sought is the sum over lists.
 
-1. Each block of each list gives its best k entries and its lowest value. The sums of what
-   is known (the lowest value of a list where it is not) bound scores from below, so the k-th
-   largest sum is a safe cutoff for the result.
+1. Each block of vectors gives the best ``GATHER`` times k entries of each of its lists, with
+   their whole scores, and the highest value of each list. The k-th largest whole score
+   gathered is a safe cutoff for the result.
 2. What the cutoff lacks from the sum of the lists' highest values, spread evenly over the
    lists, goes with the query to all blocks. An entry that lacks more in every list cannot
-   reach the cutoff, so the entries that lack no more in some list are enough. They give
-   better bounds from below and bounds from above; what cannot reach the k-th largest lower
-   bound is dropped.
-3. The scores of the rest are completed from the vectors and ranked.
+   reach the cutoff, so the entries that lack no more in some list are enough.
+3. Their remaining partial scores are added where their vectors lie, and those that reach the
+   cutoff are ranked.
 
-Vectors and queries meet in blocks of bounded size; no task sees a whole list.
+Vectors and queries meet in blocks of bounded size; no task sees a whole list, and what a
+block returns is a few entries a query.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.llm.vectors import QUERY_BLOCK, VECTOR_BLOCK, is_query, usable
 from tallow.session import stage
 
 LISTS = 2
+GATHER = 2
 SCALE = 1024
 
 
@@ -76,19 +77,19 @@ def _local_lists(k: int):
         rows = []
         if len(vectors) and len(queries):
             q, v, rid = _whole(queries["q"]), _whole(vectors["vector"]), vectors["rid"].to_numpy()
-            for part in range(LISTS):
-                scores = _partials(q, v, part)
-                for qid, row in zip(queries["qid"].to_numpy(), scores, strict=True):
-                    others = np.flatnonzero(rid != qid)
-                    if not len(others):
-                        continue
-                    own = row[others]
-                    top = np.argpartition(-own, k - 1)[:k] if len(own) > k else np.arange(len(own))
-                    n = len(top)
-                    rows.append(
-                        (np.full(n, qid), np.full(n, part), rid[others[top]], own[top], np.full(n, own.min()))
-                    )
-        return _frame(rows, ["qid", "list", "rid", "partial", "lowest"])
+            lists = [_partials(q, v, part) for part in range(LISTS)]
+            for i, qid in enumerate(queries["qid"].to_numpy()):
+                others = np.flatnonzero(rid != qid)
+                if not len(others):
+                    continue
+                own = [scores[i, others] for scores in lists]
+                n = min(GATHER * k, len(others))
+                best = np.unique(np.concatenate([np.argpartition(-p, n - 1)[:n] for p in own]))
+                highs = [np.full(len(best), p.max()) for p in own]
+                rows.append(
+                    (np.full(len(best), qid), rid[others[best]], sum(own)[best], *highs)
+                )
+        return _frame(rows, ["qid", "rid", "score", *_HIGHS])
 
     return local
 
@@ -97,85 +98,53 @@ def _sufficient(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     rows = []
     if len(vectors) and len(queries):
         q, v, rid = _whole(queries["q"]), _whole(vectors["vector"]), vectors["rid"].to_numpy()
-        least = _whole(queries["shares"])
-        qids = queries["qid"].to_numpy()
-        for part in range(LISTS):
-            scores = _partials(q, v, part)
-            reach = (scores >= least[:, part][:, None]) & (qids[:, None] != rid)
-            i, j = np.nonzero(reach)
-            if len(i):
-                rows.append((qids[i], np.full(len(i), part), rid[j], scores[i, j]))
-    return _frame(rows, ["qid", "list", "rid", "partial"])
+        least, qids = _whole(queries["shares"]), queries["qid"].to_numpy()
+        lists = [_partials(q, v, part) for part in range(LISTS)]
+        reach = np.zeros((len(q), len(v)), bool)
+        for part, scores in enumerate(lists):
+            reach |= scores >= least[:, part][:, None]
+        i, j = np.nonzero(reach & (qids[:, None] != rid))
+        total = sum(scores[i, j] for scores in lists)
+        good = total >= queries["cutoff"].to_numpy()[i]
+        i, j, total = i[good], j[good], total[good]
+        ids = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
+        if len(i):
+            rows.append((qids[i], ids[1][i], rid[j], ids[0][j], total))
+    return _frame(rows, ["qid", "query_id", "rid", "vec_id", "score"])
 
 
-def _kth(df: DataFrame, k: int, by: str) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.desc(by), "rid")
-    ranked = df.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k)
-    return ranked.where(F.col("_nth") == k).select("qid", F.col(by).alias("kth"))
-
-
-def _known(entries: DataFrame) -> DataFrame:
-    """(qid, rid, p0, p1, ...): partial scores by list, null where not known."""
-    each = [F.max(F.when(F.col("list") == b, F.col("partial"))).alias(f"p{b}") for b in range(LISTS)]
-    return entries.groupBy("qid", "rid").agg(*each)
-
-
-def _sum(columns: list[Column]) -> Column:
-    total = columns[0]
-    for c in columns[1:]:
-        total = total + c
-    return total
+_HIGHS = [f"high{b}" for b in range(LISTS)]
+_NO_CUTOFF = -(1 << 62)
 
 
 def top_k(embeddings: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` largest inner products of each query.
 
-    Components are floor(1024 * x) as whole numbers. Queries are rows whose vec_id is
-    divisible by 100; a row is no candidate of itself, but other rows of the same id are.
-    Equal scores go to the smaller vec_id. A query with fewer than ``k`` candidates gets all.
-    Vectors that take no part are named in ``usable``; zeros take part.
+    Components are floor(1024 * x) as whole numbers; scores must fit 62 bits. Queries are rows
+    whose vec_id is divisible by 100; a row is no candidate of itself, but other rows of the
+    same id are. Equal scores go to the smaller vec_id. A query with fewer than ``k``
+    candidates gets all. Vectors that take no part are named in ``usable``; zeros take part.
     """
     whole = F.transform("vector", lambda x: F.floor(x * SCALE))
     vectors = stage(usable(embeddings, zero=True).withColumn("vector", whole), "numbers")
     queries = vectors.where(is_query()).select(
         F.col("rid").alias("qid"), F.col("vec_id").alias("query_id"), F.col("vector").alias("q")
     )
-    ddl = "qid bigint, list bigint, rid bigint, partial bigint"
-    local = stage(_meet(vectors, queries.drop("query_id"), _local_lists(k), f"{ddl}, lowest bigint"), "lists")
-    of = lambda b, column: F.when(F.col("list") == b, F.col(column))
-    ends = local.groupBy("qid").agg(
-        F.array(*[F.min(of(b, "lowest")) for b in range(LISTS)]).alias("lows"),
-        F.array(*[F.max(of(b, "partial")) for b in range(LISTS)]).alias("highs"),
-    )
-    best = Window.partitionBy("qid", "list").orderBy(F.desc("partial"), "rid")
-    tops = local.withColumn("_nth", F.row_number().over(best)).where(F.col("_nth") <= k)
-    low = [F.element_at("lows", b + 1) for b in range(LISTS)]
-    at_least = _sum([F.coalesce(f"p{b}", low[b]) for b in range(LISTS)])
-    first = _known(tops).join(ends, "qid").withColumn("least", at_least)
-    cutoff = F.coalesce("kth", _sum(low))
-    high = [F.element_at("highs", b + 1) for b in range(LISTS)]
+    ddl = "qid bigint, rid bigint, score bigint, " + ", ".join(f"{h} bigint" for h in _HIGHS)
+    local = stage(_meet(vectors, queries.drop("query_id"), _local_lists(k), ddl), "lists")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "rid")
+    ranked = local.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    kth = ranked.where(F.col("nth") == k).select("qid", F.col("score").alias("cutoff"))
+    highs = local.groupBy("qid").agg(*[F.max(h).alias(h) for h in _HIGHS])
     # whole numbers: scores below these shares in all lists add up to less than the cutoff
-    lacking = F.floor((_sum(high) - cutoff) / F.lit(LISTS))
-    cut = ends.join(_kth(first, k, "least"), "qid", "left").select(
-        "qid", "lows", F.array(*[h - lacking for h in high]).alias("shares")
-    )
-    cut = stage(cut, "cutoffs")
-    asked = queries.drop("query_id").join(cut, "qid")
-    entries = stage(_known(_meet(vectors, asked, _sufficient, ddl)), "enough")
-    share = [F.element_at("shares", b + 1) for b in range(LISTS)]
-    at_most = _sum([F.coalesce(F.col(f"p{b}"), share[b] - 1) for b in range(LISTS)])
-    bounded = entries.join(cut, "qid").select(
-        "qid", "rid", at_least.alias("least"), at_most.alias("most")
-    )
-    second = _kth(bounded, k, "least")
-    rest = bounded.join(second, "qid", "left").where(
-        F.col("kth").isNull() | (F.col("most") >= F.col("kth"))
-    )
-    resolved = rest.select("qid", "rid").join(queries, "qid").join(vectors, "rid")
-    products = F.zip_with("q", "vector", lambda a, b: a * b)
-    scored = resolved.withColumn(
-        "score", F.aggregate(products, F.lit(0).cast("bigint"), lambda total, x: total + x)
+    lacking = F.floor((sum(F.col(h) for h in _HIGHS) - F.col("cutoff")) / F.lit(LISTS))
+    share = [F.coalesce(F.col(h) - lacking, F.lit(_NO_CUTOFF)) for h in _HIGHS]
+    cut = highs.join(kth, "qid", "left").select(
+        "qid", F.coalesce("cutoff", F.lit(_NO_CUTOFF)).alias("cutoff"), F.array(*share).alias("shares")
     )
+    asked = stage(queries.join(cut, "qid"), "cutoffs")
+    ddl = "qid bigint, query_id bigint, rid bigint, vec_id bigint, score bigint"
+    entries = _meet(vectors, asked, _sufficient, ddl)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id", "rid")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found = entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")
