@@ -208,7 +208,7 @@ def csv_scan_header_discard(spark, sf_dir):
 
 
 def landed_csv_normalize(spark, sf_dir):
-    return normalize(_landed_csv(spark, sf_dir))
+    return normalize(stage(_landed_csv(spark, sf_dir), "landed"))
 
 
 def _stored(spark: SparkSession, prefix: str) -> DataFrame:
