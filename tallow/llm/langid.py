@@ -119,6 +119,8 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     drawn = smallest_by_hash(known.select("doc_id", "lang"), "doc_id", sample, "lang", _SEED)
     drawn = drawn.distinct()
     rows = known.join(F.broadcast(drawn), ["doc_id", "lang"], "left_semi")
+    # an id may be repeated without end: one text of it is enough
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
     found = rows.mapInArrow(_feature_batches, "lang string, x binary").toPandas()
     found = found.sort_values(["lang", "x"], ignore_index=True)
     x = np.array([np.frombuffer(b, np.float32) for b in found["x"]], np.float32)

@@ -344,7 +344,9 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> SemiMarkovField:
     )
     ids = some.select("doc_id", F.lit(0).alias("all"))
     drawn = smallest_by_hash(ids, "doc_id", sample, "all", _SEED).select("doc_id").distinct()
-    rows = some.join(F.broadcast(drawn), "doc_id", "left_semi").select("text")
+    rows = some.join(F.broadcast(drawn), "doc_id", "left_semi")
+    # an id may be repeated without end: one text of it is enough
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
     rows = rows.mapInArrow(_region_batches, "region string, marked boolean")
     place = F.xxhash64(F.lit(_SEED), "region")
     kept = [

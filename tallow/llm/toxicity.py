@@ -248,9 +248,10 @@ def _labelled(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame
         .agg(F.max("toxic").alias("toxic"))
     )
     drawn = smallest_by_hash(marks, "doc_id", sample, "toxic", _SEED)
-    return documents.select("doc_id", F.col("text").cast("string")).where("text is not null").join(
-        F.broadcast(drawn), "doc_id"
-    ).select("text", "toxic")
+    whole = documents.select("doc_id", F.col("text").cast("string")).where("text is not null")
+    rows = whole.join(F.broadcast(drawn), "doc_id")
+    # an id may be repeated without end: one text of it is enough
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def _unit_batches(batches):
