@@ -96,7 +96,7 @@ def _feature_batches(batches):
     for batch in batches:
         for start, texts in slices(batch, "text"):
             rows = [
-                (lang, x.astype(np.float32).tobytes())
+                (lang, x.astype(np.float16).tobytes())
                 for lang, x in zip(
                     batch.column("lang").slice(start, len(texts)).to_pylist(),
                     map(features, texts),
@@ -123,7 +123,7 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
     found = rows.mapInArrow(_feature_batches, "lang string, x binary").toPandas()
     found = found.sort_values(["lang", "x"], ignore_index=True)
-    x = np.array([np.frombuffer(b, np.float32) for b in found["x"]], np.float32)
+    x = np.array([np.frombuffer(b, np.float16) for b in found["x"]], np.float32)
     x = x.reshape(len(found), DIMENSIONS)
     return train(x, found["lang"].to_numpy())
 

@@ -8,7 +8,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, steps: int = 100)
 
     ``y`` holds 1 and -1. The two classes weigh the same in sum, however many rows each has.
     """
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float32)
+    x = np.hstack([x.astype(np.float32, copy=False), np.ones((len(x), 1), np.float32)])
     y = y.astype(np.float32)
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     share = share.astype(np.float32)
