@@ -35,7 +35,7 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _MARK, _MARK_ID = "<|endoftext|>", 49407
-_CACHE = 300_000
+_CACHE = 200_000
 _AT_ONCE = 20_000
 
 

@@ -12,7 +12,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2_000_000
 
 
+# Rows that go to Python at once. Whole documents are long: the usual 10,000 are tens of
+# megabytes in each of several copies, on both sides.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of documents or the like; from now on the session sends short batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -32,7 +32,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARKER = "▁"
 _UNKNOWN_PENALTY = 10.0
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6  # fixed values: types of pieces in the file
-_CACHE = 300_000
+_CACHE = 200_000
 _LONG = 64  # chunks longer than this are encoded one by one, in linear time and memory
 _BLOCK = 20_000
 
