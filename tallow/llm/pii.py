@@ -1,6 +1,7 @@
 """Personal data: four base patterns, and a semi-Markov conditional random field that adds more.
 
-The field reads regions around digits, at-signs and the word "dot". A region is cut into
+The field reads regions around digits, at-signs, the word "dot" and the word "at" where it is
+in brackets or a name with a dot follows. A region is cut into
 atoms (runs of letters and digits, single signs), and a candidate segment is a run of atoms
 of bounded number that has one of four loose forms. Features are of the whole segment: which
 forms it has, checksum, ranges, counts, what stands on both sides. A segmentation's score is
@@ -40,7 +41,15 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
-_TRIGGER = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b")
+# An at-word counts in brackets, and bare where a dotted name follows whose dot has space on
+# both sides or none ("at home. Then" is no name). It is found in the whole text, not in an atom.
+_AT_WORD = (
+    r"[\[({]\s*+[Aa][Tt]\s*+[\])}]"
+    r"|(?<=\s)[Aa][Tt]\s++(?=[A-Za-z0-9-]++(?:\.|\s++\.\s++|\s*+[\[({]\s*+\.\s*+[\])}]\s*+)[A-Za-z0-9-])"
+)
+_IN_ATOM = re.compile(r"[0-9@]|\b[Dd][Oo][Tt]\b")
+_AT_WORDS = re.compile(_AT_WORD)
+_TRIGGER = re.compile(f"{_IN_ATOM.pattern}|{_AT_WORD}")
 _ATOM = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 _AT = r"(?:\s*@\s*|\s*[\[({]\s*at\s*[\])}]\s*|\s+at\s+)"
 _DOT = r"(?:\s*\.\s*|\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*|\s+dot\s+)"
@@ -154,7 +163,8 @@ class Lattice:
 
 def lattice(text: str) -> Lattice:
     atoms = [m.span() for m in _ATOM.finditer(text)]
-    hot = np.cumsum([0] + [bool(_TRIGGER.search(text, a, b)) for a, b in atoms])
+    marks = {m.start() for m in _AT_WORDS.finditer(text)}
+    hot = np.cumsum([0] + [a in marks or bool(_IN_ATOM.search(text, a, b)) for a, b in atoms])
     segments, rows = [], []
     for i, (start, _) in enumerate(atoms):
         if not (text[start].isascii() and (text[start].isalnum() or text[start] in "+(")):

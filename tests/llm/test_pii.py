@@ -44,6 +44,21 @@ def test_field_adds_other_spellings_and_keeps_base_spans():
     assert pii.masked("a ab@x.com, 10.0.0.1!", field) == "a [EMAIL], [IP]!"
 
 
+def test_field_finds_every_spelling_of_an_address_without_digits():
+    field = pii.train(TEXTS)
+    spellings = [pii._respelled("email", "jane.doe@example.com", turn) for turn in range(4)]
+    spellings += ["jane.doe[at]example.com", "Jane ( AT ) Example.com", "jane at example.com"]
+    spellings += ["jane at example[.]com", "jane at example . com"]
+    for spelling in spellings:
+        text = f"please write to {spelling} soon"
+        assert [(k, text[a:b]) for k, a, b in pii.all_spans(text, field)] == [("email", spelling)]
+        assert pii._marked(text, [("email", 16, 16 + len(spelling))])[1], spelling
+        # far from any other trigger in a long text, too
+        long = f"{'some words ' * 50}{text}{' other words' * 50}"
+        assert pii.masked(long, field) == long.replace(spelling, "[EMAIL]")
+    assert pii.all_spans("they met at home. Then they looked at me. So what", field) == []
+
+
 def test_best_segmentation_is_the_best_of_all():
     field = pii.train(TEXTS)
     region = pii.lattice("+1 (255) 555-8013 10.0.0.7 ab@c.de")
