@@ -29,8 +29,8 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of the documents with their places in training sequences."""
-    return packing.pack_documents(docs)
+    """Token pieces of the documents with their ids and places in training sequences."""
+    return packing.pack_sequences(docs)
 
 
 STAGES = [

@@ -118,6 +118,12 @@ class ChunkEncoder:
         return self.flat[shift + np.arange(len(shift))]
 
 
+def _lists(parts: tuple[np.ndarray, ...]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    flat = np.concatenate([np.zeros(0, "<u4"), *parts]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
 def _piece_batches(path: str, limit: int, with_ids: bool):
     def cut(batches):
         encoder = ChunkEncoder(path)
@@ -132,14 +138,8 @@ def _piece_batches(path: str, limit: int, with_ids: bool):
                         rows.append((name, piece, at, len(own), zlib.crc32(own.tobytes()), own))
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 6
                 fields = _PIECE.names + (["ids"] if with_ids else [])
-                kinds = [*_PIECE.types, pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(c if f != "ids" else [x.astype(np.int32) for x in c], k)
-                        for f, c, k in zip(fields, columns, kinds, strict=False)
-                    ],
-                    fields,
-                )
+                arrays = [pa.array(c, k) for c, k in zip(columns, _PIECE.types, strict=False)]
+                yield pa.RecordBatch.from_arrays(arrays + ([_lists(columns[5])] if with_ids else []), fields)
 
     return cut
 
@@ -253,21 +253,37 @@ def pack(cut: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
     """``cut`` (the columns of ``pieces``, written once) with sequence_id and offset.
 
     Ids of sequences are any numbers; those of full pieces are negative. Equal rows are
-    pieces of their own. An empty table gives an empty result.
+    pieces of their own. An empty table gives an empty result. With ``ids``, ``cut`` needs a
+    unique ``row``, too: the packing groups get no ids, places are joined back on it.
     """
+    whole = "ids" in cut.columns
+    names = [*_PIECE.names, *(["row"] if whole else [])]
     full = cut.where(F.col("length") == limit).select(
-        "*",
+        *cut.columns,
         (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("bigint").alias("offset"),
     )
     rest = cut.where(F.col("length") < limit)
     parts = max(1, -(-rest.count() // group))
     place = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
-    dealt = rest.withColumn("part", F.pmod(place, F.lit(parts)).cast("bigint"))
-    ddl = f"{_PIECE_DDL}, sequence_id bigint, offset bigint"
-    return full.union(dealt.groupBy("part").applyInPandas(_pack_group(limit), ddl))
+    dealt = rest.select(*names, F.pmod(place, F.lit(parts)).cast("bigint").alias("part"))
+    ddl = f"{_PIECE_DDL}{', row bigint' if whole else ''}, sequence_id bigint, offset bigint"
+    placed = dealt.groupBy("part").applyInPandas(_pack_group(limit), ddl)
+    if whole:
+        placed = rest.join(placed.select("row", "sequence_id", "offset"), "row")
+    return full.unionByName(placed)
+
+
+def pack_sequences(docs: DataFrame) -> DataFrame:
+    """Every document of (doc_id, text) cut and packed, with the ids.
+
+    A row has the ids of one piece; those of a ``sequence_id`` by ``offset`` are the
+    sequence, without gaps. Rows come in no order, which saves moving all ids once more.
+    """
+    cut = pieces(docs, with_ids=True).withColumn("row", F.monotonically_increasing_id())
+    return pack(stage(cut, "pieces")).select(*_PIECE.names, "sequence_id", "offset", "ids")
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """Every document of (doc_id, text) cut and packed."""
-    return pack(stage(pieces(docs), "pieces"))
+    """What is known of each piece of the sequences, which are written with all ids."""
+    return stage(pack_sequences(docs), "sequences").drop("ids")

@@ -37,6 +37,31 @@ def test_ids_come_along_when_asked(spark):
     assert [len(r.ids) for r in cut] == [r.length for r in cut]
 
 
+def test_sequences_are_written_with_their_ids(spark, tmp_path, monkeypatch):
+    stage = packing.stage
+    monkeypatch.setattr(packing, "stage", lambda df, label: stage(df, label, str(tmp_path / label)))
+    docs = documents(spark, [(21, "word " * 5000, "en", None)] * 2)
+    digest = packing.pack_documents(docs)
+    written = spark.read.parquet(str(tmp_path / "sequences"))
+    rows = written.orderBy("sequence_id", "offset").collect()
+    key = lambda r: str(tuple(r[c] for c in digest.columns))
+    assert sorted(map(key, rows)) == sorted(map(key, digest.collect()))
+    sequences = {}
+    for r in rows:
+        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        own = sequences.setdefault(r.sequence_id, [])
+        assert r.offset == len(own)
+        own += r.ids
+    assert max(map(len, sequences.values())) <= 2048
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path(packing.TOKENIZER)))
+    want = [[*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()]
+    assert sum(map(len, sequences.values())) == sum(map(len, want))
+    got = {}
+    for r in sorted(rows, key=lambda r: r.start):
+        got.setdefault(r.doc_id, []).extend(r.ids)
+    assert got[6] in want and got[8] in want
+
+
 @pytest.mark.parametrize(("low", "high"), [(1, 2048), (100, 700), (1000, 1100), (2047, 2048), (1, 2)])
 def test_bins_are_whole_and_tight(low, high):
     lengths = np.random.default_rng(low).integers(low, high, 3000)
