@@ -10,6 +10,7 @@ from what pass one wrote, so no lost executor can make counts and records disagr
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallow.session import shared_path, stage
 
@@ -25,10 +26,25 @@ def record_bytes():
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
 
 
+def _held_bytes(docs: DataFrame):
+    """About the bytes of a whole record, for the number of buckets."""
+    sizes = []
+    for field in docs.schema:
+        value = F.col(f"{_RECORD}.`{field.name}`")
+        kind = field.dataType
+        if isinstance(kind, T.StringType | T.BinaryType):
+            sizes.append(F.octet_length(value))
+        elif isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+            sizes.append(F.octet_length(F.to_json(F.struct(value.alias("v")))))
+        else:
+            sizes.append(F.lit(8))
+    return sum((F.coalesce(s, F.lit(0)).cast("bigint") for s in sizes), F.lit(1))
+
+
 def scatter(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, int]:
     """Pass one: (bucket, place, record), each bucket in random order, and their number."""
     records = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_RECORD))
-    total = records.agg(F.sum(record_bytes())).first()[0] or 0
+    total = records.agg(F.sum(_held_bytes(docs))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     placed = records.withColumn("bucket", F.pmod(place, F.lit(buckets)).cast("bigint"))
@@ -88,9 +104,12 @@ def shard(
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """What is known of each record of the shards; a null text has the checksum of an empty one."""
+    """What is known of each record of the shards, which hold whole rows of ``docs``.
+
+    A null text has the checksum of an empty one.
+    """
     text = F.coalesce(F.col("record.text").cast("string"), F.lit(""))
-    return shard(docs.select("doc_id", "text"), shards).select(
+    return shard(docs, shards).select(
         F.col("record.doc_id").cast("bigint").alias("doc_id"),
         record_bytes().alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),

@@ -33,6 +33,20 @@ def test_shards_keep_rows_whole_and_in_slot_order(spark, tmp_path):
         assert slots == sorted(slots)
 
 
+def test_the_query_shards_whole_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "shared_path", lambda spark, label: str(tmp_path / label))
+    docs = documents(spark).selectExpr("*", "array(1, 2) as list", "named_struct('x', 1) as nested")
+    sharding.shard_documents(docs)
+    back = spark.read.parquet(str(tmp_path / "shards")).select("record.*")
+    assert back.columns == docs.columns
+    assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_buckets_are_sized_by_whole_rows(spark):
+    docs = spark.range(100).selectExpr("id as doc_id", "'a' as text", "repeat('b', 1000) as wide")
+    assert sharding.scatter(docs, 1, 10_000)[1] > 10
+
+
 def test_order_is_mixed_and_depends_on_the_seed(spark):
     docs = spark.range(2000).selectExpr("id as doc_id", "cast(id as string) as text")
     orders = []
