@@ -11,6 +11,10 @@ vocabulary has a marker after another character (checked when it is read), so a
 never crosses a place before a marker that follows something else: texts are cut there into
 chunks, and each distinct chunk is encoded once. All new chunks of a batch go through the
 lattice together, as arrays: one step per place and piece length, not per chunk.
+
+Scores are taken from the file as they are. The one given is a BPE model, whose scores are merge
+ranks: their sum is no log likelihood, and the best segmentation by it is neither the one that
+BPE merges give nor that of a trained unigram model.
 """
 
 import struct
