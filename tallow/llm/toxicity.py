@@ -19,6 +19,7 @@ distinct one once; a bound on the kernel (its square norm is at least the sum of
 terms) spares nearly all of them the exact sum.
 """
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +42,7 @@ _SEED = 2
 _PAD = 2 * GAP
 _BREAK = "\0" * _PAD  # keeps subsequences within a unit
 _LONG, _STEP = 40, 20  # units longer than this are read in overlapping windows
+_MARKS = re.compile(r"[\W_]+")
 _CACHE = 200_000
 _BLOCK = 40_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -142,6 +144,10 @@ class Reader:
 
     def __init__(self, landmarks: Landmarks):
         self.landmarks = landmarks
+        # widths of windows: a landmark's length, plain, with one more character, and spelled out
+        lengths = {len(u) for u in landmarks.units}
+        self.narrow = sorted({w for n in lengths for w in (n, n + 1, 2 * n - 1) if w < _LONG})
+        self.spelled = sorted({w for n in lengths for w in (2 * n - 1, 2 * n + 1)})
         self._forget()
 
     def _forget(self) -> None:
@@ -169,17 +175,24 @@ class Reader:
         rows = [found[i] if some[i] else None for i in range(len(units))]
         for i, u in enumerate(units):
             if len(u) > _LONG:
-                best = self._windows(u)
+                best = self._windows(u, self.narrow)
+                parts = [p for p in _MARKS.split(u) if 3 <= len(p) <= _LONG]
+                best = np.maximum(best, self.landmarks.kernels(parts).max(axis=0, initial=0))
                 rows[i] = best if best.any() else None
         return rows
 
-    def _windows(self, unit: str) -> np.ndarray:
-        """Largest kernels over overlapping windows of a long unit, block by block."""
+    def _windows(self, unit: str, narrow: list[int], step: int = 1) -> np.ndarray:
+        """Largest kernels over overlapping windows of a long unit, block by block.
+
+        A wide window dilutes an insult, so ``narrow`` ones slide over the unit, too.
+        """
         best = np.zeros(len(self.landmarks.units), np.float32)
-        starts = range(0, max(1, len(unit) - _STEP), _STEP)
-        for at in range(0, len(starts), 1000):
-            windows = [unit[s : s + _LONG] for s in starts[at : at + 1000]]
-            best = np.maximum(best, self.landmarks.kernels(windows).max(axis=0))
+        runs = [(_LONG, range(0, max(1, len(unit) - _STEP), _STEP))]
+        runs += [(n, range(0, len(unit) - n + 1, step)) for n in narrow]
+        for width, starts in runs:
+            for at in range(0, len(starts), 1000):
+                windows = list(dict.fromkeys(unit[s : s + width] for s in starts[at : at + 1000]))
+                best = np.maximum(best, self.landmarks.kernels(windows).max(axis=0))
         return best
 
     def sentences(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -213,7 +226,7 @@ class Reader:
         found = []
         for start, end in zip(edge[::2], edge[1::2], strict=True):
             if end - start >= 3:
-                row = self._windows(" ".join(unit_of(w) for w in words[start:end]))
+                row = self._windows(" ".join(unit_of(w) for w in words[start:end]), self.spelled, 2)
                 if row.any():
                     found.append((int(start), row))
         return found

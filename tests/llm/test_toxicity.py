@@ -80,3 +80,16 @@ def test_nothing_to_learn_from(spark):
         model = toxicity.fit(docs, marks)
         assert {r.score for r in toxicity.predict_toxicity(docs, model).collect()} == {0.0}
     assert toxicity.predict_toxicity(none(docs), None).collect() == []
+
+
+def test_insults_in_long_units_and_beside_single_letters_are_not_diluted():
+    reader = toxicity.Reader(toxicity.Landmarks(["idiot", "worthless"]))
+    for text, least in (
+        ("you-are-a-complete-idiot-and-everyone-knows-it", 0.99),
+        ("youareacompleteidiotandeveryoneknowsitverywell", 0.99),
+        ("y o u a r e a n i d i o t", 0.76),
+        ("y o u i d i o t", 0.76),
+    ):
+        found = reader.sentences([text])[0]
+        assert found.shape[0] == 1 and found[0, 0] >= least, text
+    assert reader.sentences(["well-known-things-that-everyone-has-heard-of-before"])[0].max(initial=0) < 0.5
