@@ -24,6 +24,9 @@ NA_TOKENS = [
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
 
+# What tells a data row from a header, where a file may lack one. It reads the same in Java.
+NUMBER_PATTERN = r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*"
+
 # Milliseconds that fit a nanosecond timestamp, and the integer that stands
 # for "no time" in that encoding.
 MIN_EPOCH_MS = -9223372036854

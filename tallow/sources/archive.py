@@ -17,6 +17,7 @@ from typing import BinaryIO
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -55,7 +56,7 @@ def _batch(day: dict[str, str], n_rows: int, **columns) -> pa.RecordBatch:
 
 
 def read_day(
-    day: dict[str, str], open_day: Callable[[], BinaryIO | None]
+    day: dict[str, str], open_day: Callable[[], BinaryIO | None], detect_header: bool = False
 ) -> Iterator[pa.RecordBatch]:
     """Rows of one day, then its status. Errors become part of the data."""
     try:
@@ -65,7 +66,7 @@ def read_day(
             return
         position = 0
         with archive:
-            for width, arrays in candle_rows(archive):
+            for width, arrays in candle_rows(archive, detect_header):
                 n = len(arrays[0])
                 yield _batch(
                     day,
@@ -88,22 +89,61 @@ def archive_url(root: str, source: str, symbol: str, interval: str | None, date:
 
 @dataclass
 class DaySpan(InputPartition):
-    """A run of days of one symbol."""
+    """A run of the reader's days, for one symbol."""
 
     symbol: str
-    first: dt.date
+    first: int
     n_days: int
 
 
+# What a filter of Spark says of a text that is never null.
+_TESTS: dict[type, Callable] = {
+    ds.EqualTo: lambda text, f: text == f.value,
+    ds.EqualNullSafe: lambda text, f: text == f.value,
+    ds.In: lambda text, f: text in f.value,
+    ds.GreaterThan: lambda text, f: text > f.value,
+    ds.GreaterThanOrEqual: lambda text, f: text >= f.value,
+    ds.LessThan: lambda text, f: text < f.value,
+    ds.LessThanOrEqual: lambda text, f: text <= f.value,
+    ds.StringStartsWith: lambda text, f: text.startswith(f.value),
+    ds.StringEndsWith: lambda text, f: text.endswith(f.value),
+    ds.StringContains: lambda text, f: f.value in text,
+    ds.IsNull: lambda text, f: False,
+    ds.IsNotNull: lambda text, f: True,
+}
+
+
+def key_filter(f: ds.Filter) -> tuple[str, Callable[[str], bool]] | None:
+    """Column of the day key and test of its text, if that is all the filter asks for.
+
+    Python and Spark order text alike, by code points.
+    """
+    if isinstance(f, ds.Not):
+        inner = key_filter(f.child)
+        return inner and (inner[0], lambda text: not inner[1](text))
+    test = _TESTS.get(type(f))
+    if test is None or len(f.attribute) != 1 or f.attribute[0] not in DAY_KEY:
+        return None
+    value = getattr(f, "value", "")
+    values = value if isinstance(value, (tuple, list)) else [value]
+    if not all(isinstance(v, str) for v in values):
+        return None
+    return f.attribute[0], lambda text: test(text, f)
+
+
 class ArchiveReader(DataSourceReader):
+    """Days that conditions on the day key leave out are not fetched."""
+
     def __init__(self, options):
         self.root = options["root"]
         self.source = options["source"]
         self.symbols = [s.strip() for s in options["symbols"].split(",") if s.strip()]
         self.interval = options.get("interval") or None
-        self.start = dt.date.fromisoformat(options["start"])
-        self.end = dt.date.fromisoformat(options["end"])
-        self.days_per_task = int(options.get("daysPerTask") or self._run_length())
+        start, end = (dt.date.fromisoformat(options[k]) for k in ("start", "end"))
+        n_days = max(0, (end - start).days + 1)
+        self.dates = [(start + dt.timedelta(i)).isoformat() for i in range(n_days)]
+        self.days_per_task = int(options.get("daysPerTask") or 0)
+        self.detect_header = str(options.get("detectHeader", "false")).lower() == "true"
         self.fetching = {
             "retries": int(options.get("retries", 3)),
             "backoff": int(options.get("backoff", 2)),
@@ -111,25 +151,33 @@ class ArchiveReader(DataSourceReader):
             "read_timeout": float(options.get("readTimeout", 60)),
         }
 
-    def _n_days(self) -> int:
-        return max(0, (self.end - self.start).days + 1)
-
-    def _run_length(self) -> int:
-        return max(DAYS_PER_TASK, -(-len(self.symbols) * self._n_days() // MAX_TASKS))
+    def pushFilters(self, filters: list[ds.Filter]) -> Iterator[ds.Filter]:
+        for f in filters:
+            known = key_filter(f)
+            if known is None:
+                yield f
+                continue
+            column, passes = known
+            if column == "date":
+                self.dates = [d for d in self.dates if passes(d)]
+            elif column == "symbol":
+                self.symbols = [s for s in self.symbols if passes(s)]
+            elif not passes(self.source if column == "source" else self.interval or NO_INTERVAL):
+                self.symbols = []
 
     def partitions(self) -> list[DaySpan]:
-        n_days = self._n_days()
+        total = len(self.symbols) * len(self.dates)
+        run = self.days_per_task or max(DAYS_PER_TASK, -(-total // MAX_TASKS))
         return [
-            DaySpan(symbol, self.start + dt.timedelta(i), min(self.days_per_task, n_days - i))
+            DaySpan(symbol, i, min(run, len(self.dates) - i))
             for symbol in self.symbols
-            for i in range(0, n_days, self.days_per_task)
+            for i in range(0, len(self.dates), run)
         ]
 
     def read(self, span: DaySpan) -> Iterator[pa.RecordBatch]:
         if span is None:  # an empty grid still gets one call
             return
-        for i in range(span.n_days):
-            date = (span.first + dt.timedelta(i)).isoformat()
+        for date in self.dates[span.first : span.first + span.n_days]:
             url = archive_url(self.root, self.source, span.symbol, self.interval, date)
             day = {
                 "source": self.source,
@@ -137,12 +185,16 @@ class ArchiveReader(DataSourceReader):
                 "interval": self.interval or NO_INTERVAL,
                 "date": date,
             }
-            yield from read_day(day, lambda: open_archive(url, **self.fetching))
+            yield from read_day(
+                day, lambda: open_archive(url, **self.fetching), self.detect_header
+            )
 
 
 class CandleArchive(DataSource):
     """Options: root, source, symbols (comma list), interval, start, end, retries, backoff,
-    connectTimeout, readTimeout, daysPerTask."""
+    connectTimeout, readTimeout, daysPerTask, detectHeader (whether a first line that holds a
+    number is a row; false). Conditions on symbol, interval, date and source are pushed down:
+    only days that meet them are fetched."""
 
     @classmethod
     def name(cls) -> str:
@@ -156,6 +208,8 @@ class CandleArchive(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to the session, and let it take filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CandleArchive)
 
 
@@ -165,9 +219,10 @@ def scan_tasks(days: int, cores: int) -> int:
 
 
 def scan_archives(
-    grid: DataFrame, root: str, tasks: int | None = None, **fetching
+    grid: DataFrame, root: str, tasks: int | None = None, detect_header: bool = False, **fetching
 ) -> DataFrame:
-    """Raw rows and statuses of the days in ``grid``.
+    """Raw rows and statuses of the days in ``grid``. With ``detect_header`` a first line that
+    holds a number is a row.
 
     Grid rows are tiny but each stands for a download, so they are spread by count: the
     size-based defaults would put them all into one task. They are counted first, so store a
@@ -182,6 +237,6 @@ def scan_archives(
         for batch in batches:
             for row in batch.to_pylist():
                 url = row.pop("url")
-                yield from read_day(row, lambda: open_archive(url, **fetching))
+                yield from read_day(row, lambda: open_archive(url, **fetching), detect_header)
 
     return days.mapInArrow(scan, RAW_SCHEMA)

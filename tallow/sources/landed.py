@@ -15,6 +15,7 @@ from tallow.schema import (
     DAY_KEY,
     ERROR,
     NO_INTERVAL,
+    NUMBER_PATTERN,
     PARTITION_COLUMNS,
     RAW_SCHEMA,
 )
@@ -38,11 +39,12 @@ def _day_from_path(path: Column) -> dict[str, Column]:
     }
 
 
-def scan_landed_zips(spark: SparkSession, root: str) -> DataFrame:
+def scan_landed_zips(spark: SparkSession, root: str, detect_header: bool = False) -> DataFrame:
     """Raw rows and statuses of all archives below ``root``.
 
     Spark lists the files, and tasks stream them by path, so that no archive is held whole. A
-    name without a date makes an ERROR row.
+    name without a date makes an ERROR row. With ``detect_header`` a first line that holds a
+    number is a row.
     """
     files = (
         spark.read.format("binaryFile")
@@ -57,7 +59,7 @@ def scan_landed_zips(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for day in batch.to_pylist():
                 path = day.pop("path")
-                yield from read_day(day, lambda: _dated(day, path))
+                yield from read_day(day, lambda: _dated(day, path), detect_header)
 
     return archives.mapInArrow(scan, RAW_SCHEMA)
 
@@ -68,12 +70,14 @@ def _dated(day: dict[str, str], path: str) -> BinaryIO:
     return get_file(path)
 
 
-def read_landed_csv(spark: SparkSession, path: str, source: str, width: int = 12) -> DataFrame:
+def read_landed_csv(
+    spark: SparkSession, path: str, source: str, width: int = 12, detect_header: bool = False
+) -> DataFrame:
     """Raw rows of plain CSV files below ``path/symbol=/interval=/date=``, as ``normalize``
     takes them.
 
-    All columns are text, taken by position; the first line of each file is dropped. One
-    column is declared past the width, so that a row with too many fields shows, as an error
+    All columns are text, taken by position; the first line of each file is dropped, with
+    ``detect_header`` only if none of its fields is a number. One column is declared past the width, so that a row with too many fields shows, as an error
     of its day.
 
     A row's position is the first byte of its block plus its number in the block. A block of
@@ -83,13 +87,17 @@ def read_landed_csv(spark: SparkSession, path: str, source: str, width: int = 12
     text = [*names, "overflow", *PARTITION_COLUMNS]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in text])
     block = {"_file": "_metadata.file_path", "_block": "_metadata.file_block_start"}
-    rows = spark.read.schema(schema).option("header", True).csv(path).select(
+    rows = spark.read.schema(schema).option("header", not detect_header).csv(path).select(
         *text,
         *(F.col(v).alias(k) for k, v in block.items()),
         F.monotonically_increasing_id().alias("_n"),
     )
     firsts = rows.groupBy(*block).agg(F.min("_n").alias("_first"))
     rows = rows.join(firsts, list(block))
+    if detect_header:
+        is_number = F.exists(F.array(*names), lambda c: c.rlike(f"^{NUMBER_PATTERN}$"))
+        first = (F.col("_block") == 0) & (F.col("_n") == F.col("_first"))
+        rows = rows.where(~first | F.coalesce(is_number, F.lit(False)))
     too_wide = F.col("overflow").isNotNull()
     keyed = rows.select(
         *PARTITION_COLUMNS,

@@ -5,6 +5,7 @@ Nothing is held whole: the member is inflated and parsed block by block.
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from itertools import islice
@@ -14,9 +15,10 @@ import pyarrow as pa
 from pyarrow import compute as pc
 from pyarrow import csv as pacsv
 
-from tallow.schema import CANDLE_COLUMNS, NA_TOKENS
+from tallow.schema import CANDLE_COLUMNS, NA_TOKENS, NUMBER_PATTERN
 
 BATCH_ROWS = 10_000
+_NUMBER = re.compile(NUMBER_PATTERN)
 
 
 def _records(member: BinaryIO) -> Iterator[tuple[int, list[str]]]:
@@ -43,8 +45,8 @@ def _fast(member: BinaryIO, width: int, header_lines: int) -> Iterator[list[pa.A
 
 
 def _tolerant(member: BinaryIO, width: int, skip: int) -> Iterator[list[pa.Array]]:
-    """Short rows are filled up with nulls; a row wider than the header is an error."""
-    records = islice(_records(member), 1 + skip, None)
+    """Short rows are filled up with nulls; a row wider than the first record is an error."""
+    records = islice(_records(member), skip, None)
     while rows := list(islice(records, BATCH_ROWS)):
         padded = []
         for line, row in rows:
@@ -54,20 +56,23 @@ def _tolerant(member: BinaryIO, width: int, skip: int) -> Iterator[list[pa.Array
         yield [pa.array(column, pa.string()) for column in zip(*padded)]
 
 
-def _text_columns(open_member: Callable[[], BinaryIO]) -> Iterator[list[pa.Array]]:
+def _text_columns(
+    open_member: Callable[[], BinaryIO], detect_header: bool
+) -> Iterator[list[pa.Array]]:
     with open_member() as member:
-        header_lines, header = next(_records(member), (0, None))
-    if header is None:
+        first_lines, first = next(_records(member), (0, None))
+    if first is None:
         raise ValueError("the first member is empty")
-    width, done = len(header), 0
+    has_header = not (detect_header and any(map(_NUMBER.fullmatch, first)))
+    width, done = len(first), 0
     try:
         with open_member() as member:
-            for columns in _fast(member, width, header_lines):
+            for columns in _fast(member, width, first_lines if has_header else 0):
                 yield columns
                 done += len(columns[0])
     except pa.ArrowInvalid:
         with open_member() as member:
-            yield from _tolerant(member, width, done)
+            yield from _tolerant(member, width, has_header + done)
 
 
 def _first_present(columns: list[pa.Array]) -> pa.Array:
@@ -78,16 +83,19 @@ def _first_present(columns: list[pa.Array]) -> pa.Array:
     )
 
 
-def candle_rows(archive: BinaryIO) -> Iterator[tuple[int, list[pa.Array]]]:
+def candle_rows(
+    archive: BinaryIO, detect_header: bool = False
+) -> Iterator[tuple[int, list[pa.Array]]]:
     """Width of the file, and blocks of 11 candle columns plus ``extra``.
 
-    The first line is taken as a header and dropped, whatever it holds.
+    The first line is taken as a header and dropped, whatever it holds; with ``detect_header``
+    it stays if one of its fields is a number.
     """
     with zipfile.ZipFile(archive) as z:
         names = z.namelist()
         if not names:
             raise ValueError("the archive has no member")
-        for columns in _text_columns(lambda: z.open(names[0])):
+        for columns in _text_columns(lambda: z.open(names[0]), detect_header):
             missing = pa.nulls(len(columns[0]), pa.string())
             n = len(CANDLE_COLUMNS)
             candle = columns[:n] + [missing] * (n - len(columns))

@@ -3,10 +3,12 @@
 import csv as csv_module
 import io
 import math
+import re
 import zipfile
 from pathlib import Path
 
 import pytest
+from pyspark.sql import datasource as ds
 from pyspark.sql import functions as F
 
 from helpers import HEADER, T0, archive_file, csv_text, row, write_archive
@@ -176,6 +178,135 @@ def test_source_format_with_reversed_dates_is_empty(spark, tmp_path):
     assert spark.read.format("candle_archive").options(**options).load().count() == 0
 
 
+def fetched_days(spark, root, condition, **options):
+    """Days the source looks for under ``condition``, and the rows of its status."""
+    register(spark)
+    asked = {"root": str(root), "source": "klines", "symbols": "A,B,C", "interval": "1m", "retries": "1",
+             "start": "2024-01-01", "end": "2024-01-10", "daysPerTask": "4", **options}
+    scanned = spark.read.format("candle_archive").options(**asked).load().where(condition)
+    days = scanned.where("status is not null").select("symbol", "date", "status").collect()
+    return sorted((r["symbol"], r["date"]) for r in days), scanned
+
+
+@pytest.mark.parametrize(
+    "condition, symbols, dates",
+    [
+        ("symbol = 'B'", "B", range(1, 11)),
+        ("symbol in ('A', 'C') and date >= '2024-01-08'", "AC", range(8, 11)),
+        ("date > '2024-01-03' and date <= '2024-01-05' and interval = '1m'", "ABC", range(4, 6)),
+        ("symbol <> 'A' and date < '2024-01-02'", "BC", [1]),
+        ("date like '%-05' and symbol like 'A%'", "A", [5]),
+        ("date like '%01-1%'", "ABC", [10]),
+        ("date is null", "", []),
+        ("symbol <=> 'C' and source = 'klines'", "C", range(1, 11)),
+        ("interval = '1h'", "", []),
+        ("source = 'other'", "", []),
+        ("not (symbol in ('A', 'B')) and date in ('2024-01-03', '2024-01-07')", "C", [3, 7]),
+        ("(symbol = 'A' and date = '2024-01-02') or (symbol = 'B' and date = '2024-01-03')", None, None),
+        ("upper(symbol) = 'A' and date = '2024-01-04'", None, None),
+    ],
+)
+def test_conditions_on_days_prune_what_is_fetched(spark, tmp_path, condition, symbols, dates):
+    """Each looked-for archive lies there as a broken file and its look is an ERROR row."""
+    for symbol in "ABC":
+        for d in range(1, 11):
+            archive_file(tmp_path, symbol, date=f"2024-01-{d:02}").write_bytes(b"no zip")
+    got, scanned = fetched_days(spark, tmp_path, condition)
+    everything, _ = fetched_days(spark, tmp_path, "true")
+    assert len(everything) == 30
+    grid = spark.createDataFrame(everything, "symbol string, date string")
+    grid = grid.withColumns({"interval": F.lit("1m"), "source": F.lit("klines")})
+    assert got == sorted((r["symbol"], r["date"]) for r in grid.where(condition).collect())
+    if symbols is not None:
+        assert got == sorted((s, f"2024-01-{d:02}") for s in symbols for d in dates)
+        # the source itself gives no more than these: nothing else was looked for
+        plan = scanned._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Filter .*(symbol|date)#", plan)
+        assert scanned.rdd.getNumPartitions() <= max(1, len(symbols) * -(-len(dates) // 4))
+
+
+def test_fetches_are_counted_under_pushed_conditions(tmp_path, monkeypatch):
+    """The reader as a task has it, with its opening of archives counted."""
+    opened = []
+    monkeypatch.setattr(archive, "open_archive", lambda url, **_: opened.append(url))
+    options = {"root": "r", "source": "k", "symbols": "A,B,C", "interval": "1m", "start": "2024-01-01",
+               "end": "2024-12-31"}
+
+    def fetches(*filters):
+        opened.clear()
+        reader = ArchiveReader(options)
+        left = list(reader.pushFilters(list(filters)))
+        for span in reader.partitions():
+            list(reader.read(span))
+        return len(opened), left
+
+    other = ds.EqualTo(("open_time",), "5")
+    typed = ds.GreaterThan(("date",), 5)
+    nested = ds.EqualTo(("date", "x"), "2024-01-01")
+    assert fetches() == (3 * 366, [])
+    assert fetches(ds.EqualTo(("symbol",), "B"), other) == (366, [other])
+    assert fetches(ds.StringEndsWith(("date",), "-01"), typed, nested) == (36, [typed, nested])
+    assert fetches(ds.Not(ds.In(("symbol",), ("A", "B"))), ds.LessThan(("date",), "2024-01-03")) == (2, [])
+    assert fetches(ds.Not(other)) == (3 * 366, [ds.Not(other)])
+    assert fetches(ds.EqualTo(("interval",), "5m")) == (0, [])
+
+
+HEADERLESS = {
+    "PLAIN": ("\n".join([row(0), row(1)]) + "\n", 2, 1),
+    "ONEROW": (row(0), 1, 0),
+    "HEADED": (csv_text(row(0), row(1)), 2, 2),
+    "BLANKFIRST": ("\n\n" + row(0) + "\n" + row(1) + "\n", 2, 1),
+    "UNEVEN": ("\n".join([row(0), row(1, width=11), row(2)]), 3, 2),
+    "HEADEDUNEVEN": (csv_text(row(0), row(1, width=11), row(2)), 3, 3),
+    "QUOTEDFIRST": ('"%s",%s' % tuple(row(0).split(",", 1)) + "\n" + row(1), 2, 1),
+    "NOTIMEFIRST": (row(0, open_time=T0).replace(str(T0) + ",", ",", 1) + "\n" + row(1), 2, 1),
+}
+
+
+def test_a_first_line_of_numbers_stays_where_headers_are_detected(spark, tmp_path):
+    for name, (text, *_) in HEADERLESS.items():
+        write_archive(tmp_path / "zips", name, text)
+        folder = tmp_path / "csv" / f"symbol={name}" / "interval=1m" / "date=2024-01-02"
+        folder.mkdir(parents=True)
+        (folder / "a.csv").write_text(text)
+    register(spark)
+    grid = spark.createDataFrame([(n,) for n in HEADERLESS], "symbol string").withColumns(
+        {"interval": F.lit("1m"), "date": F.lit("2024-01-02"), "source": F.lit("klines")}
+    )
+    zips, options = str(tmp_path / "zips"), {"source": "klines", "interval": "1m", "symbols": ",".join(HEADERLESS)}
+    for detect in (False, True):
+        lanes = {
+            "grid": scan_archives(grid, zips, detect_header=detect, retries=1),
+            "format": spark.read.format("candle_archive").options(root=zips, retries="1", **options)
+            .options(start="2024-01-02", end="2024-01-02", detectHeader=str(detect).lower()).load(),
+            "landed": scan_landed_zips(spark, zips, detect_header=detect),
+            "csv": read_landed_csv(spark, str(tmp_path / "csv"), "klines", detect_header=detect),
+        }
+        seen = {}
+        for lane, raw in lanes.items():
+            rows = raw.where("row_pos is not null").orderBy("symbol", "row_pos").collect()
+            seen[lane] = [(r["symbol"], r["open_time"], r["trades"]) for r in rows]
+            counts = {n: sum(r["symbol"] == n for r in rows) for n in HEADERLESS}
+            wanted = {n: kept if detect else lost for n, (_, kept, lost) in HEADERLESS.items()}
+            assert counts == wanted, lane
+        # the CSV lane reads an empty first field as a missing value, like the other
+        blank = [[tuple(v or None for v in r) for r in rows] for rows in seen.values()]
+        assert all(rows == blank[0] for rows in blank)
+
+
+def test_detected_headers_through_the_whole_job(spark, tmp_path):
+    write_archive(tmp_path, "A", row(0) + "\n" + row(1) + "\n")
+    found = []
+    for detect in (False, True):
+        prefix = str(tmp_path / f"lake-{detect}")
+        manifest = ingest(
+            spark, source="klines", symbols=["A"], interval="1m", start="2024-01-02", end="2024-01-02",
+            root=str(tmp_path), prefix=prefix, detect_header=detect,
+        )
+        found.append((manifest.first()["n_rows"], read_lake(spark, prefix, "klines").count()))
+    assert found == [(1, 1), (2, 2)]
+
+
 def test_plain_archives_without_interval(spark, tmp_path):
     write_archive(tmp_path, "A", csv_text(row(0)), interval=None)
     prefix = str(tmp_path / "lake")
@@ -239,9 +370,10 @@ def test_number_of_tasks_follows_the_grid_up_to_a_bound(monkeypatch):
     assert tasks(10**9, 10_000) == 40_000
     monkeypatch.setattr(archive, "MAX_TASKS", 10)
     options = {"root": "r", "source": "k", "symbols": "A,B,C", "start": "2020-01-01", "end": "2024-12-31"}
-    spans = ArchiveReader(options).partitions()
+    reader = ArchiveReader(options)
+    spans = reader.partitions()
     assert len(spans) <= 12
-    days = [(s.symbol, s.first.toordinal() + i) for s in spans for i in range(s.n_days)]
+    days = [(s.symbol, d) for s in spans for d in reader.dates[s.first : s.first + s.n_days]]
     assert len(days) == len(set(days)) == 3 * 1827
 
 
