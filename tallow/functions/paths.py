@@ -41,14 +41,18 @@ def _folder_value(value: Column) -> Column:
     return value
 
 
+def day_folder(symbol: Column, interval: Column, date: Column) -> Column:
+    """Folder of a day below that of its source, as Spark's partitioned writer names it."""
+    values = {"symbol": symbol, "interval": F.coalesce(interval, F.lit(NO_INTERVAL)), "date": date}
+    return F.concat_ws("/", *(F.concat(F.lit(f"{k}="), _folder_value(v)) for k, v in values.items()))
+
+
 def partition_folder(
     prefix: str, source: Column, symbol: Column, interval: Column, date: Column
 ) -> Column:
     """Folder in which the sink stores a day."""
-    values = {"symbol": symbol, "interval": F.coalesce(interval, F.lit(NO_INTERVAL)), "date": date}
-    parts = [F.concat(F.lit(f"{k}="), _folder_value(v)) for k, v in values.items()]
     root = F.concat(F.lit(lake_path(prefix, "")), source)
-    return F.concat_ws("/", root, *parts)
+    return F.concat_ws("/", root, day_folder(symbol, interval, date))
 
 
 def object_key(

@@ -65,22 +65,32 @@ def days_without_rows(grid: DataFrame, stats: DataFrame) -> DataFrame:
     return grid.join(stats.where(F.col("n_rows") > 0), DAY_KEY, "left_anti")
 
 
-def emptied_days(stats: DataFrame) -> DataFrame:
-    """Days that succeed without a row to store: all of theirs lack a time."""
-    return stats.where(F.col("problem").isNull() & (F.col("n_rows") > 0) & (F.col("n_timed") == 0))
+def sound_days(stats: DataFrame) -> DataFrame:
+    """Days that succeed; ``empty`` are those without a row to store, as all lack a time."""
+    sound = stats.where(F.col("problem").isNull() & (F.col("n_rows") > 0))
+    return sound.select(*DAY_KEY, (F.col("n_timed") == 0).alias("empty"))
 
 
-def run_manifest(grid: DataFrame, stats: DataFrame, prefix: str = "") -> DataFrame:
+def run_manifest(
+    grid: DataFrame, stats: DataFrame, prefix: str = "", published: DataFrame | None = None
+) -> DataFrame:
     """Outcome of every grid day: DONE, SKIP or ERROR, with rows read, reason and folder.
 
     ``path`` is the folder the sink wrote to; a DONE day without a row to store has none.
+    ``published`` are the outcomes of the sink: a day that it could not store is an ERROR.
     """
+    if published is None:
+        days = grid.join(stats, DAY_KEY, "left")
+    else:
+        refused = published.where(F.col("error").isNotNull()).select(*DAY_KEY, "error")
+        days = grid.join(stats, DAY_KEY, "left").join(refused, DAY_KEY, "left")
+        days = days.withColumn("problem", F.coalesce("problem", "error"))
     n_rows = F.coalesce("n_rows", F.lit(0))
     status = (
         F.when(F.col("problem").isNotNull(), ERROR).when(n_rows == 0, SKIP).otherwise(DONE)
     )
     folder = partition_folder(prefix, *(F.col(c) for c in ["source", "symbol", "interval", "date"]))
-    return grid.join(stats, DAY_KEY, "left").select(
+    return days.select(
         *DAY_KEY,
         status.alias("status"),
         F.col("problem").alias("error"),

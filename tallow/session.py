@@ -51,7 +51,13 @@ def stage(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def hadoop_folder(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path and its file system, by the settings of this session."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that the job made, on whatever file system it is."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, system = hadoop_folder(spark, path)
+    system.delete(folder, True)

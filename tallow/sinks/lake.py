@@ -4,16 +4,16 @@ Any Hadoop file system will do as target; object stores are set up in the sessio
 (``spark.hadoop.fs.*``), not here.
 """
 
-from collections.abc import Iterator
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallow.functions.paths import lake_path, partition_folder
+from tallow.functions.paths import lake_path
 from tallow.operators.clean import with_timestamp
-from tallow.schema import LAKE_SCHEMA, NO_INTERVAL, OUTPUT_COLUMNS, PARTITION_COLUMNS
-from tallow.sources.fetch import file_system
+from tallow.schema import DAY_KEY, LAKE_SCHEMA, NO_INTERVAL, OUTPUT_COLUMNS, PARTITION_COLUMNS
+from tallow.session import remove
+from tallow.sinks.publish import publish_days
 
 
 def cluster_days(df: DataFrame, tasks: int | None = None) -> DataFrame:
@@ -29,43 +29,50 @@ def cluster_days(df: DataFrame, tasks: int | None = None) -> DataFrame:
     return df.repartitionByRange(tasks, *columns)
 
 
-def write_days(candles: DataFrame, prefix: str, source: str) -> None:
-    """Replace the stored days that have rows here; leave all other days alone.
+def stage_days(candles: DataFrame, run: str) -> None:
+    """Write days below ``run``, as they will lie in the lake.
 
     Expects days clustered by task, as by ``cluster_days``. The sort matches the order the
-    partitioned writer needs, so no second one is planned.
-
-    Spark's commit moves one folder per day, one after another, on the driver: about 15 to 30
-    ms a day on a local disk. Write a range of very many days in runs.
+    partitioned writer needs, so no second one is planned. Tasks put their files in place
+    themselves (version 2 of Hadoop's committer); the usual way is one rename after another on
+    the driver. Files of a task that is run again have the same names, and nobody reads the
+    folder before the last task is done.
     """
     order = [*PARTITION_COLUMNS, "source", "open_time"]
     (
         candles.sortWithinPartitions(*order)
         .select(*OUTPUT_COLUMNS, *PARTITION_COLUMNS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("error")
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         .option("compression", "zstd")
         .partitionBy(*PARTITION_COLUMNS)
-        .parquet(lake_path(prefix, source))
+        .parquet(f"{run}/new")
     )
 
 
-def _delete_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyarrow import fs
-
-    for batch in batches:
-        for path in batch.column("path").to_pylist():
-            system, folder = file_system(path)
-            if system.get_file_info(folder).type == fs.FileType.Directory:
-                system.delete_dir(folder)
-        yield batch
+def write_days(
+    candles: DataFrame,
+    prefix: str,
+    source: str,
+    days: DataFrame | None = None,
+    outcomes: str | None = None,
+) -> DataFrame:
+    """Replace the stored ``days``; leave all others alone. Per day its error, or null.
 
-
-def remove_days(days: DataFrame, prefix: str) -> None:
-    """Delete what is stored of ``days``, by the tasks that read them."""
-    folder = partition_folder(prefix, *(F.col(c) for c in ["source", "symbol", "interval", "date"]))
-    paths = days.select(folder.alias("path"))
-    paths.mapInArrow(_delete_folders, "path string").write.format("noop").mode("overwrite").save()
+    ``days`` are (day key, empty): empty ones have no row in ``candles`` and lose what is stored
+    of them. They are taken from the candles if not given, which reads these twice. A day that
+    cannot be published stays as it was and does not stop the others. ``outcomes`` names the
+    place for the result.
+    """
+    root = lake_path(prefix, source)
+    run = f"{root}/_run-{uuid.uuid4().hex}"
+    if days is None:
+        days = candles.select(*DAY_KEY, F.lit(False).alias("empty")).distinct()
+    stage_days(candles, run)
+    published = publish_days(days, run, root, outcomes)
+    if published.where(F.col("kept").isNotNull()).isEmpty():
+        remove(candles.sparkSession, run)
+    return published
 
 
 def read_lake(spark: SparkSession, prefix: str, source: str) -> DataFrame:

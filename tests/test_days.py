@@ -168,7 +168,13 @@ def test_skips_and_manifest(spark):
     assert {s: r["path"] for s, r in manifest.items() if r["path"]} == {
         "A": "raw/klines/symbol=A/interval=1m/date=2024-01-01"
     }
-    assert [r["symbol"] for r in days.emptied_days(stats).collect()] == ["F"]
+    sound = {r["symbol"]: r["empty"] for r in days.sound_days(stats).collect()}
+    assert sound == {"A": False, "F": True}
+    refused = grid.where("symbol in ('A', 'B')").withColumn("error", F.lit("no room"))
+    late = {r["symbol"]: r for r in days.run_manifest(grid, stats, "raw", refused).collect()}
+    assert late.keys() == manifest.keys() and late["F"]["status"] == "DONE"
+    assert (late["A"]["status"], late["A"]["error"], late["A"]["path"]) == ("ERROR", "no room", None)
+    assert late["B"]["error"] == "trades is not an integer"
     assert {r["symbol"] for r in days.days_without_rows(grid, stats).collect()} == set("CDE")
 
 

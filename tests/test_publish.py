@@ -1,0 +1,327 @@
+"""Days put in place one by one: failures, repeated tasks, other file systems."""
+
+import threading
+import time
+import uuid
+from pathlib import Path
+
+import pytest
+from pyarrow import fs
+from pyspark.sql import functions as F
+
+from helpers import csv_text, row, write_archive
+from tallow.fixtures import raw_candles
+from tallow.operators.clean import type_candles
+from tallow.operators.days import day_stats, gate_days, sound_days
+from tallow.plans.ingest import ingest, load_days
+from tallow.plans.normalize import finish, normalize
+from tallow.schema import DAY_KEY, LAKE_SCHEMA
+from tallow.session import stage
+from tallow.sinks import publish
+from tallow.sinks.lake import cluster_days, read_lake, stage_days, write_days
+from tallow.sinks.publish import ArrowFolders, HadoopFolders, KeptAside, publish_day
+
+DATA = "/root/testdata/sf0.001"
+DAY = "symbol=A%25B/interval=1m/date=2024-01-02"
+
+
+class Killed(BaseException):
+    """A task that is gone: nothing of it runs any more."""
+
+
+class Breaking:
+    """Folders of which one call, the ``at``-th, breaks, before or after it has worked."""
+
+    def __init__(self, folders, at, error, after):
+        self.folders, self.left, self.error, self.after = folders, at, error, after
+
+    def __getattr__(self, name):
+        step = getattr(self.folders, name)
+
+        def call(*args):
+            self.left -= 1
+            if self.left == 0 and not self.after:
+                raise self.error
+            found = step(*args)
+            if self.left == 0:
+                raise self.error
+            return found
+
+        return call
+
+
+class HalfCopied(ArrowFolders):
+    """As an object store: folders are copied file by file, and the copy breaks off."""
+
+    def __init__(self, system, breaks=0):
+        super().__init__(system)
+        self.renames, self.copies, self.breaks = False, 0, breaks
+
+    def place(self, source, target):
+        self.copies += 1
+        super().place(source, target)
+        if self.copies == self.breaks:
+            next(Path(target).iterdir()).unlink()
+            raise Killed
+
+
+def folders(**more):
+    return ArrowFolders(fs.LocalFileSystem(), **more)
+
+
+def lay(path, names):
+    path.mkdir(parents=True)
+    for name in names:
+        (path / name).write_text(name)
+
+
+def names(path):
+    return sorted(p.name for p in path.iterdir()) if path.exists() else None
+
+
+@pytest.fixture
+def day(tmp_path):
+    """A lake with a stored day and a staged one: (root, run, folder of the day)."""
+    root, run = tmp_path / "lake", tmp_path / "lake" / "_run-1"
+    lay(root / DAY, ["old0", "old1", "old2"])
+    lay(run / "new" / DAY, ["new0", "new1"])
+    return str(root), str(run), root / DAY
+
+
+@pytest.mark.parametrize("copying", [False, True])
+@pytest.mark.parametrize("empty", [False, True])
+def test_a_killed_and_repeated_task_leaves_no_mixed_day(day, copying, empty):
+    root, run, target = day
+    make = (lambda: HalfCopied(fs.LocalFileSystem())) if copying else folders
+    for after in (False, True):
+        for at in range(1, 100):
+            root_, run_ = f"{root}-{after}-{at}", f"{root}-{after}-{at}/_run-1"
+            lay(Path(root_) / DAY, ["old0", "old1", "old2"])
+            if not empty:
+                lay(Path(run_) / "new" / DAY, ["new0", "new1"])
+            breaking = Breaking(make(), at, Killed(), after)
+            try:
+                publish_day(breaking, run_, root_, DAY, empty)
+            except Killed:
+                seen = names(Path(root_) / DAY)
+                assert seen in (None, ["new0", "new1"], ["old0", "old1", "old2"])
+            publish_day(make(), run_, root_, DAY, empty)
+            assert names(Path(root_) / DAY) == (None if empty else ["new0", "new1"])
+            assert not (Path(run_) / "old" / DAY).exists()
+            publish_day(make(), run_, root_, DAY, empty)  # once more does no harm
+            assert names(Path(root_) / DAY) == (None if empty else ["new0", "new1"])
+            if breaking.left > 0:
+                break
+        assert 5 < at < 99
+
+
+@pytest.mark.parametrize("breaks", [1, 2])
+def test_a_copy_that_breaks_off_is_made_again(day, breaks):
+    root, run, target = day
+    with pytest.raises(Killed):
+        publish_day(HalfCopied(fs.LocalFileSystem(), breaks), run, root, DAY, False)
+    publish_day(HalfCopied(fs.LocalFileSystem()), run, root, DAY, False)
+    assert names(target) == ["new0", "new1"]
+
+
+def test_a_day_that_fails_keeps_what_is_stored(day):
+    root, run, target = day
+    for at in range(1, 100):
+        breaking = Breaking(folders(), at, OSError("no room"), False)
+        try:
+            publish_day(breaking, run, root, DAY, False)
+            break
+        except OSError:
+            assert names(target) == ["old0", "old1", "old2"]
+            if not (Path(run) / "new" / DAY).exists():  # it was in place, and went for the old one
+                lay(Path(run) / "new" / DAY, ["new0", "new1"])
+    assert at > 5 and names(target) == ["new0", "new1"]
+
+
+def test_old_files_that_cannot_be_put_back_are_named(day):
+    root, run, target = day
+
+    class Stuck(ArrowFolders):
+        def place(self, source, target):
+            if "/old/" not in target:
+                raise OSError("no room")
+            super().place(source, target)
+
+    with pytest.raises(KeptAside, match="no room") as caught:
+        publish_day(Stuck(fs.LocalFileSystem()), run, root, DAY, False)
+    assert names(Path(caught.value.where)) == ["old0", "old1", "old2"]
+    publish_day(folders(), run, root, DAY, False)  # with room, a repeat finishes
+    assert names(target) == ["new0", "new1"]
+
+
+def test_nothing_staged_is_an_error_and_takes_nothing_away(day):
+    root, run, target = day
+    with pytest.raises(FileNotFoundError, match="nothing is staged"):
+        publish_day(folders(), run + "-other", root, DAY, False)
+    assert names(target) == ["old0", "old1", "old2"]
+
+
+@pytest.fixture(scope="module")
+def landed(spark):
+    return stage(type_candles(raw_candles(spark, DATA)), "landing")
+
+
+def stored(spark, prefix):
+    return sorted(map(str, read_lake(spark, prefix, "klines").collect()))
+
+
+def files(root):
+    return {str(p.relative_to(root)) for p in Path(root).rglob("*.parquet")}
+
+
+def test_one_failing_day_does_not_stop_the_others(spark, landed, tmp_path):
+    prefix, root, stats = str(tmp_path), tmp_path / "klines", day_stats(landed)
+    load_days(landed, stats, prefix, "klines")
+    before = files(root)
+    candles = finish(gate_days(landed, stats))
+    run, lost = f"{root}/_run-x", "symbol=CLICKUSDT/interval=15m/date=2024-01-05"
+    stage_days(cluster_days(candles), run)
+    for staged in (Path(run) / "new" / lost).iterdir():
+        staged.unlink()
+    (Path(run) / "new" / lost).rmdir()
+    outcomes = publish.publish_days(sound_days(stats), run, str(root)).collect()
+    failed = [r for r in outcomes if r["error"]]
+    assert len(outcomes) == sound_days(stats).count() > 100
+    assert [(r["symbol"], r["date"], r["kept"]) for r in failed] == [("CLICKUSDT", "2024-01-05", None)]
+    assert "nothing is staged" in failed[0]["error"]
+    assert {f for f in before & files(root) if "_run-" not in f} == {f for f in before if lost in f}
+
+
+@pytest.mark.parametrize("speculation", ["false", "true"])
+def test_a_blocked_folder_is_an_error_of_its_days_alone(spark, tmp_path, speculation, monkeypatch):
+    for symbol in ("GOOD", "BLOCKED", "FINE"):
+        write_archive(tmp_path, symbol, csv_text(row(0), row(1)))
+    lake = tmp_path / "lake"
+    (lake / "klines" / "symbol=BLOCKED").mkdir(parents=True)
+    (lake / "klines" / "symbol=BLOCKED" / "interval=1m").write_text("a file, not a folder")
+    if speculation == "true":
+        monkeypatch.setattr(publish, "tasks_can_publish", lambda *_: False)
+    manifest = ingest(
+        spark, source="klines", symbols=["GOOD", "BLOCKED", "FINE", "ABSENT"], interval="1m",
+        start="2024-01-02", end="2024-01-02", root=str(tmp_path), prefix=str(lake), retries=1,
+    )
+    found = {r["symbol"]: (r["status"], r["path"] is not None) for r in manifest.collect()}
+    assert found == {
+        "GOOD": ("DONE", True), "BLOCKED": ("ERROR", False), "FINE": ("DONE", True), "ABSENT": ("SKIP", False)
+    }
+    assert (lake / "klines" / "symbol=BLOCKED" / "interval=1m").read_text() == "a file, not a folder"
+    assert not list(lake.rglob("_run-*"))
+
+
+def test_tasks_leave_it_to_the_driver_where_they_may_run_twice(spark, tmp_path):
+    assert publish.tasks_can_publish(spark, str(tmp_path))
+    assert not publish.tasks_can_publish(spark, "viewfs://store/lake")
+
+    class Session:
+        conf = {"spark.speculation": "true"}
+
+    assert not publish.tasks_can_publish(Session, str(tmp_path))
+
+
+def test_many_days_are_published_by_many_tasks(spark, tmp_path):
+    """600 days: no step of the driver goes over single days."""
+    days = spark.range(600).select(
+        F.concat(F.lit("S"), F.col("id") % 20).alias("symbol"), F.lit("1m").alias("interval"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 20).cast("int")), "yyyy-MM-dd").alias("date"),
+        F.lit("klines").alias("source"), F.lit(False).alias("empty"),
+    )
+    root = tmp_path / "klines"
+    for r in days.collect():
+        folder = f"symbol={r['symbol']}/interval=1m/date={r['date']}"
+        lay(root / folder, ["old.parquet"])
+        lay(root / "_run-1" / "new" / folder, ["new.parquet"])
+    out = publish.publish_days(days, f"{root}/_run-1", str(root), str(tmp_path / "outcomes"))
+    assert out.count() == 600 and out.where("error is not null").isEmpty()
+    assert len(list((tmp_path / "outcomes").glob("*.parquet"))) > 30
+    assert {Path(f).name for f in files(root)} == {"new.parquet"} and len(files(root)) == 600
+
+
+@pytest.fixture
+def other_system(spark, tmp_path):
+    """A prefix on Hadoop's viewfs, which Arrow does not know; it shows ``tmp_path``."""
+    name = f"t{uuid.uuid4().hex}"
+    key = f"fs.viewfs.mounttable.{name}.link./store"
+    (tmp_path / "store").mkdir()
+    spark.conf.set(key, f"file://{tmp_path}/store")
+    yield f"viewfs://{name}/store/lake", tmp_path / "store" / "lake"
+    spark.conf.unset(key)
+
+
+def test_a_lake_on_a_file_system_only_hadoop_knows(spark, landed, other_system, tmp_path):
+    prefix, folder = other_system
+    stats = day_stats(landed)
+    load_days(landed, stats, prefix, "klines")
+    wanted = normalize(raw_candles(spark, DATA)).select(*LAKE_SCHEMA.fieldNames())
+    assert stored(spark, prefix) == sorted(map(str, wanted.collect()))
+    before = files(folder)
+    one = F.col("date") == "2024-01-05"
+    load_days(landed.where(one), stats.where(one), prefix, "klines")
+    after = files(folder)
+    assert len(after) == len(before)
+    assert {Path(f).parent.name for f in before - after} == {"date=2024-01-05"}
+    timeless = landed.where(one).withColumn("open_time", F.lit(-(2**63)))
+    load_days(timeless, day_stats(timeless), prefix, "klines")
+    assert files(folder) == {f for f in before if "date=2024-01-05" not in f}
+    assert not list(folder.rglob("_run-*"))
+
+
+def test_the_whole_job_on_a_file_system_only_hadoop_knows(spark, other_system, tmp_path):
+    prefix, folder = other_system
+    write_archive(tmp_path, "A%B", csv_text(row(0), row(1)))
+    write_archive(tmp_path, "C", csv_text(row(0, trades="x")))
+    (folder / "klines").mkdir(parents=True)
+    (folder / "klines" / "symbol=D").write_text("a file, not a folder")
+    write_archive(tmp_path, "D", csv_text(row(0)))
+    job = dict(source="klines", symbols=["A%B", "C", "D"], interval="1m", start="2024-01-02",
+               end="2024-01-02", root=str(tmp_path), prefix=prefix, retries=1)
+    for _ in range(2):
+        manifest = {r["symbol"]: r for r in ingest(spark, **job).collect()}
+        assert {s: r["status"] for s, r in manifest.items()} == {"A%B": "DONE", "C": "ERROR", "D": "ERROR"}
+        assert "symbol=D" in manifest["D"]["error"]
+    assert len(list((folder / "klines" / "symbol=A%25B").rglob("*.parquet"))) == 1
+    assert read_lake(spark, prefix, "klines").where("symbol = 'A%B'").count() == 2
+
+
+def test_threads_of_the_driver_work_side_by_side(spark, tmp_path, monkeypatch):
+    """A chunk of days takes about as long as its slowest, and outcomes come in chunks."""
+    most, now, lock = [0], [0], threading.Lock()
+
+    def slow(*_):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.05)
+        with lock:
+            now[0] -= 1
+
+    monkeypatch.setattr(publish, "publish_day", slow)
+    monkeypatch.setattr(publish, "tasks_can_publish", lambda *_: False)
+    monkeypatch.setattr(publish, "CHUNK", 40)
+    days = spark.range(100).select(
+        F.concat(F.lit("S"), "id").alias("symbol"), F.lit("1m").alias("interval"),
+        F.lit("2024-01-02").alias("date"), F.lit("klines").alias("source"), F.lit(None).cast("boolean").alias("empty"),
+    )
+    out = publish.publish_days(days, f"{tmp_path}/_run-1", str(tmp_path))
+    assert {r["symbol"] for r in out.collect()} == {f"S{i}" for i in range(100)}
+    assert 8 < most[0] <= publish.THREADS
+
+
+def test_days_may_be_taken_from_the_candles(spark, tmp_path):
+    candles = normalize(raw_candles(spark, DATA)).where("date < '2024-01-04'")
+    outcomes = write_days(cluster_days(candles), str(tmp_path), "klines")
+    assert outcomes.count() == candles.select(*DAY_KEY).distinct().count()
+    assert outcomes.where("error is not null").isEmpty()
+    assert stored(spark, str(tmp_path)) == sorted(map(str, candles.select(*LAKE_SCHEMA.fieldNames()).collect()))
+
+
+def test_hadoop_folders_do_what_arrows_do(spark, day):
+    root, run, target = day
+    publish_day(HadoopFolders(spark, root), run, root, DAY, False)
+    assert names(target) == ["new0", "new1"]
+    publish_day(HadoopFolders(spark, root), run + "-2", root, DAY, True)
+    assert not target.exists()
