@@ -141,6 +141,23 @@ ORACLES = {
 select {KEY}, {OUTPUT.replace('"close"', _CLOSE_TWICE)} from candles""",
     "archive_scan": _archived(f"not {LEFT_OUT}"),
     "candle_archive_source": _archived(f"not {LEFT_OUT}"),
+    "candle_archive_pushdown": f"""{_with(GRID_AND_UNKNOWN, RAW)},
+archived as (
+ select {KEY}, {_POSITION} row_pos, null status, {", ".join(f"coalesce({c}, '') {c}" for c in CANDLE.split(", "))}, extra
+ from raw_candles where not {LEFT_OUT}),
+statuses as (
+ select {KEY}, null::bigint row_pos,
+  case when exists (select 1 from archived a where a.symbol = g.symbol and a."date" = g."date")
+       then 'FETCHED' else 'ABSENT' end status,
+  {", ".join(f"null {c}" for c in TEXT.split(", "))}
+ from wide_grid g)
+select * from (select * from archived union all select * from statuses)
+where symbol <> 'ERRORUSDT' and "date" between '2024-01-10' and '2024-01-19'""",
+    # a first row without any number passes for a header
+    "headerless_archive_scan": f"""{RAW},
+rows_in_file as (select *, {_POSITION} nth, {PRESENT} present from raw_candles)
+select {KEY}, {_POSITION} row_pos, {", ".join(f"coalesce({c}, '') {c}" for c in CANDLE.split(", "))}, extra
+from rows_in_file where nth > 0 or present""",
     "zip_csv_scan": _archived(),
     "archive_fetch_status": f"""{_with(GRID, RAW)},
 found as (select distinct symbol, "date" from raw_candles where not {LEFT_OUT}),
@@ -180,6 +197,14 @@ select {KEY},
   '/raw/' || source || '/symbol=' || symbol || '/interval=' || "interval" || '/date=' || "date"
   end path
 from wide_grid left join typed_stats using ({KEY})""",
+    "sink_day_isolation": f"""{_with(GRID, TYPED)}, {DAY_STATS},
+stored as (select symbol, "date", count(*) n_stored from candles where symbol <> 'CLICKUSDT' group by all),
+told as (
+ select {KEY}, coalesce(n_rows, 0) n_rows, coalesce(n_stored, 0) n_stored,
+  case when problem is not null then 'ERROR' when n_rows is null then 'SKIP'
+       when symbol = 'CLICKUSDT' then 'ERROR' else 'DONE' end status
+ from grid left join typed_stats using ({KEY}) left join stored using (symbol, "date"))
+select {KEY}, status, n_rows, n_stored, status = 'DONE' has_folder from told""",
     "na_tokens_to_null": f"{RAW} select {KEY}, row_pos, {_NA_TO_NULL} from raw_candles",
     "drop_all_null_rows": f"{RAW} select {KEY}, row_pos, {TEXT} from raw_candles where {PRESENT}",
     "positional_project": f"{RAW} select {KEY}, row_pos, {CANDLE} from raw_candles",

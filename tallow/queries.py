@@ -4,6 +4,7 @@ import csv
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,7 @@ from tallow.schema import (
     DAY_KEY,
     FLOAT_COLUMNS,
     INT_COLUMNS,
+    LAKE_SCHEMA,
     NO_TIME,
     OUTPUT_COLUMNS,
     PARTITION_COLUMNS,
@@ -86,7 +88,7 @@ def _left_out():
     return (F.col("symbol") == "CLICKUSDT") & F.col("date").endswith("-17")
 
 
-def _write_zips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _write_zips(batches: Iterator[pd.DataFrame], header: bool = True) -> Iterator[pd.DataFrame]:
     """A zip per url; rows come sorted by url and position and are written as they come."""
     url, archive, member = None, None, None
 
@@ -107,7 +109,8 @@ def _write_zips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 info = zipfile.ZipInfo("candles.csv", (2024, 1, 1, 0, 0, 0))
                 info.compress_type = zipfile.ZIP_DEFLATED
                 member = io.TextIOWrapper(archive.open(info, "w"), "utf-8", newline="")
-                csv.writer(member).writerow(TEXT_COLUMNS)
+                if header:
+                    csv.writer(member).writerow(TEXT_COLUMNS)
             part[TEXT_COLUMNS].to_csv(member, header=False, index=False)
         yield rows[["url"]].drop_duplicates()
     close()
@@ -118,14 +121,14 @@ def _with_url(rows: DataFrame, root: str) -> DataFrame:
     return rows.withColumn("url", path)
 
 
-def _write_archives(rows: DataFrame, root: str) -> None:
+def _write_archives(rows: DataFrame, root: str, header: bool = True) -> None:
     """One zip per day, streamed by the task that has the day."""
     (
         _with_url(rows, root)
         .select("url", "row_pos", *TEXT_COLUMNS)
         .repartition("url")
         .sortWithinPartitions("url", "row_pos")
-        .mapInPandas(_write_zips, "url string")
+        .mapInPandas(partial(_write_zips, header=header), "url string")
         .write.format("noop").mode("overwrite").save()
     )
 
@@ -156,19 +159,37 @@ def archive_scan(spark, sf_dir):
     return scanned.where(F.col("row_pos").isNotNull()).select(*DAY_KEY, "row_pos", *TEXT_COLUMNS)
 
 
-def candle_archive_source(spark, sf_dir):
+def _archive_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _written_archives(spark, sf_dir)
     events = _events(spark, sf_dir)
     # the source takes its symbols as text, so they are listed: one for each type of event
     symbols = sorted(r["symbol"] for r in _symbols(events).collect())
     start, end = events.select(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
     register(spark)
-    scanned = (
+    return (
         spark.read.format("candle_archive")
         .options(root=root, source=SOURCE, symbols=",".join([*symbols, UNKNOWN]), interval=INTERVAL)
         .options(start=str(start), end=str(end), retries=1)
         .load()
     )
+
+
+def candle_archive_source(spark, sf_dir):
+    scanned = _archive_source(spark, sf_dir)
+    return scanned.where(F.col("row_pos").isNotNull()).select(*DAY_KEY, "row_pos", *TEXT_COLUMNS)
+
+
+def candle_archive_pushdown(spark, sf_dir):
+    """What conditions on the day leave out is not fetched; the scan says so by its statuses."""
+    asked = (F.col("symbol") != "ERRORUSDT") & F.col("date").between("2024-01-10", "2024-01-19")
+    days_looked_at = _archive_source(spark, sf_dir).where(asked)
+    return days_looked_at.select(*DAY_KEY, "row_pos", "status", *TEXT_COLUMNS)
+
+
+def headerless_archive_scan(spark, sf_dir):
+    root = shared_path(spark, "headerless")
+    _write_archives(_source_rows(spark, sf_dir), root, header=False)
+    scanned = scan_archives(stage(_grid(spark, sf_dir), "grid"), root, detect_header=True, retries=1)
     return scanned.where(F.col("row_pos").isNotNull()).select(*DAY_KEY, "row_pos", *TEXT_COLUMNS)
 
 
@@ -239,6 +260,31 @@ def partition_overwrite_idempotent(spark, sf_dir):
     return _stored(spark, prefix)
 
 
+def _block(path: str) -> None:
+    """Lay a file where the folders of a symbol would be."""
+    system, path = file_system(path)
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(path) as out:
+        out.write(b"no folder")
+
+
+def sink_day_isolation(spark, sf_dir):
+    """Outcome and stored rows of each day, where the days of one symbol cannot be stored."""
+    prefix = shared_path(spark, "lake")
+    _block(f"{lake_path(prefix, SOURCE)}/symbol=CLICKUSDT")
+    landed, stats = _landed(spark, sf_dir)
+    published = load_days(landed, stats, prefix, SOURCE)
+    manifest = days.run_manifest(_grid(spark, sf_dir), stats, prefix, published)
+    # the blocked symbol is no folder, so the others are read by name
+    others = [f"{lake_path(prefix, SOURCE)}/symbol=[!C]*"]
+    stored = spark.read.schema(LAKE_SCHEMA).option("basePath", lake_path(prefix, SOURCE)).parquet(*others)
+    counts = stored.groupBy(*PARTITION_COLUMNS).agg(F.count(F.lit(1)).alias("n_stored"))
+    return manifest.join(counts, PARTITION_COLUMNS, "left").select(
+        *DAY_KEY, "status", "n_rows", F.coalesce("n_stored", F.lit(0)).alias("n_stored"),
+        F.col("path").isNotNull().alias("has_folder"),
+    )
+
+
 # ---- the grid --------------------------------------------------------------------------
 
 
@@ -366,12 +412,15 @@ QUERIES = {
     "candle_normalize": candle_normalize,
     "archive_scan": archive_scan,
     "candle_archive_source": candle_archive_source,
+    "candle_archive_pushdown": candle_archive_pushdown,
+    "headerless_archive_scan": headerless_archive_scan,
     "archive_fetch_status": archive_fetch_status,
     "zip_csv_scan": zip_csv_scan,
     "csv_scan_header_discard": csv_scan_header_discard,
     "landed_csv_normalize": landed_csv_normalize,
     "partitioned_sink_roundtrip": partitioned_sink_roundtrip,
     "partition_overwrite_idempotent": partition_overwrite_idempotent,
+    "sink_day_isolation": sink_day_isolation,
     "date_spine": date_spine,
     "job_grid": job_grid,
     "skip_empty_days": skip_empty_days,
