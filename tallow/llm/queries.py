@@ -3,8 +3,23 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tallow.llm import ann, langid, packing, pii, sharding, simhash, topk, toxicity, unigram, warc
+from pyspark.sql import functions as F
+
+from tallow.llm import (
+    ann,
+    langid,
+    licenses,
+    negatives,
+    packing,
+    pii,
+    sharding,
+    simhash,
+    spelling,
+    topk,
+    toxicity,
+    unigram,
+    warc,
+)
 from tallow.llm.tables import table
 
 
@@ -53,6 +68,21 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    # some labels are wrong, as in data that was labelled by hand
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(embeddings.withColumn("label", noisy))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +96,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_near_dedup,
         op9_pii,
         op10_exact_top_k,
+        op11_hard_negatives,
+        op12_spelling_variants,
+        op13_license_scan,
     )
 }
 
@@ -103,4 +136,32 @@ with v as (
 select query_id, rank, vec_id, score from r where rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op3_warc_bundles": _OP3_SQL, "op10_exact_top_k": _OP10_SQL}
+_OP11_SQL = """
+with v as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as e
+    from embeddings
+    where label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+    select a.vec_id as anchor_id, v.vec_id, v.label = a.label as same, list_dot_product(a.e, v.e)::bigint as score
+    from v a join v on a.vec_id <> v.vec_id
+    where a.vec_id % 100 = 0
+), p as (
+    select anchor_id, vec_id as positive_id, score as positive_score
+    from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), n as (
+    select anchor_id, positive_id, positive_score, s.vec_id as negative_id, s.score as negative_score,
+        row_number() over (partition by anchor_id, positive_id order by s.score desc, s.vec_id)::int as rank
+    from p join s using (anchor_id)
+    where not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_warc_bundles": _OP3_SQL,
+    "op10_exact_top_k": _OP10_SQL,
+    "op11_hard_negatives": _OP11_SQL,
+}

@@ -11,8 +11,8 @@ QUERY_BLOCK = 512
 QUERY_EVERY = 100
 
 
-def usable(embeddings: DataFrame, zero: bool) -> DataFrame:
-    """(rid, vec_id, vector as doubles), written once; ``rid`` tells rows apart.
+def usable(embeddings: DataFrame, zero: bool, keep: list[str] | None = None) -> DataFrame:
+    """(rid, vec_id, vector as doubles, what to ``keep``), written once; ``rid`` tells rows apart.
 
     Left out are rows without an id, vectors that are null, empty or hold null, NaN or an
     infinity, with ``zero`` false also those of zeros alone, and vectors of another length
@@ -21,6 +21,7 @@ def usable(embeddings: DataFrame, zero: bool) -> DataFrame:
     whole = embeddings.select(
         F.col("vec_id").cast("bigint").alias("vec_id"),
         F.col("embedding").cast("array<double>").alias("vector"),
+        *(keep or []),
     ).where(F.col("vec_id").isNotNull() & (F.size("vector") > 0))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     kept = whole.where(~bad)
@@ -30,7 +31,7 @@ def usable(embeddings: DataFrame, zero: bool) -> DataFrame:
     sizes = kept.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n")
     most = sizes.first()
     kept = kept.where(F.size("vector") == (most["n"] if most else 0))
-    return kept.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "vector")
+    return kept.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "vector", *(keep or []))
 
 
 def is_query():
