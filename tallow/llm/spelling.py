@@ -10,8 +10,9 @@ has there and the first of them, and no pairs are made.
 
 A group holds distinct words that differ in one character, so it is as small as the alphabet, and
 no key is hot. Words are named by their place in the order of frequency, so the first neighbour
-is the one with the smallest number. Keys longer than ``LONG`` characters stand as hashes, which
-roll from one rotation to the next: rotations of a word take space in proportion to its length.
+is the one with the smallest number. Keys longer than ``LONG`` characters stand as hashes of 127
+bits, which roll from one rotation to the next: rotations of a word take space in proportion to
+its length, whatever that is.
 """
 
 import re
@@ -30,6 +31,7 @@ LEAST_COUNT = 2
 FACTOR = 10  # a form is so many times as frequent
 DROP_EVERY = 31
 LONG = 256
+WORDS_PER_TASK = 50_000
 TERMINATOR = "$"
 _HELD = 200_000  # words that a task counts before it hands them on
 _PRIME, _BASE = (1 << 127) - 1, 0x9E3779B97F4A7C15F39CC0605CEDC834  # of the rolling hash
@@ -152,7 +154,9 @@ def neighbours(words: DataFrame) -> DataFrame:
 
     ``words`` are (word, place), distinct.
     """
-    spread = words.select("word", "place").mapInArrow(
+    # a row becomes some twenty, so rows are dealt by count and not by their size
+    tasks = max(1, -(-words.count() // WORDS_PER_TASK))
+    spread = words.select("word", "place").repartition(tasks).mapInArrow(
         _rotation_batches, "key string, skips boolean, begins boolean, place bigint"
     )
     # a key has at most one whole rotation, and one row for each letter that may be skipped
@@ -199,8 +203,11 @@ def group_variants(words: DataFrame, factor: int = FACTOR) -> DataFrame:
     word's form is its most frequent near word (of equal ones the first in code-point order), if
     that is at least ``factor`` times as frequent, and null else. Its root is where following
     forms ends, itself if it has none. Rows without a word or count are dropped, words that are
-    there more than once count together. An empty table gives an empty result.
+    there more than once count together. An empty table gives an empty result. ``factor`` is above
+    1, or forms could go round in circles.
     """
+    if factor <= 1:
+        raise ValueError("a form must be more frequent than its word")
     known = words.where(F.col("word").isNotNull() & F.col("n").isNotNull())
     known = known.groupBy("word").agg(F.sum("n").cast("bigint").alias("n"))
     ordered = known.orderBy(F.desc("n"), "word").withColumn("place", F.monotonically_increasing_id())
