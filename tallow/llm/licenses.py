@@ -17,11 +17,10 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallow.llm.tables import SLICE_BYTES
+from tallow.llm.tables import runs
 
 # Phrases whose places are counted, and their labels.
 BASE = {
@@ -233,14 +232,9 @@ def _scan_batches(base: dict[str, str], templates: dict[str, list[str]]):
     def scan(batches):
         scanner = Scanner(base, templates)
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-            rows, start, held = [], 0, 0
-            for i, size in enumerate([*sizes, 0]):  # some texts at a time are made Python's
-                if i == len(sizes) or (i > start and held + size > SLICE_BYTES):
-                    rows += [scanner.scan(t) for t in texts.slice(start, i - start).to_pylist()]
-                    start, held = i, 0
-                held += size
+            texts, rows = batch.column("text").cast(pa.binary()), []
+            for start, n in runs(batch, "text"):  # some texts at a time are made Python's
+                rows += [scanner.scan(t) for t in texts.slice(start, n).to_pylist()]
             columns = zip(*rows, strict=True) if rows else [()] * len(_FIELDS)
             found = [pa.array(c, t) for c, (_, t) in zip(columns, _FIELDS, strict=True)]
             yield pa.RecordBatch.from_arrays(

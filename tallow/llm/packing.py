@@ -18,11 +18,12 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallow.llm.tables import slices
+from tallow.llm.tables import runs
 from tallow.session import stage
 
 LIMIT = 2048
@@ -32,6 +33,9 @@ TOKENIZER = "word_bpe_49k.json"
 # and the signs that stand for bytes in its vocabulary.
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+# The same on whole texts: a space on either side of all words that are no run of letters.
+_APART = r"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9ß-öø-ÿ]+)"
+_PLAIN_TEXT = r"^[!-~À-ÖØ-öø-ÿ \n]*$"
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 _BYTE_SIGNS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 _MARK, _MARK_ID = "<|endoftext|>", 49407
@@ -62,16 +66,17 @@ class ChunkEncoder:
     def _encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def word(self, word: str) -> bytes:
+        """Ids of a lower-cased word of the letters of ``_PLAIN``."""
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SIGNS)
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
+
     def _plain(self, chunk: str) -> bytes:
         ids = []
         for word in _WORD.findall(chunk.lower()):
             own = self.words.get(word)
             if own is None:
-                signs = word
-                if not word.isascii():
-                    signs = word.encode().decode("latin-1").translate(_BYTE_SIGNS)
-                own = array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
-                self.words[word] = own
+                own = self.words[word] = self.word(word)
             ids.append(own)
         return ids[0] if len(ids) == 1 else b"".join(ids)
 
@@ -118,28 +123,90 @@ class ChunkEncoder:
         return self.flat[shift + np.arange(len(shift))]
 
 
-def _lists(parts: tuple[np.ndarray, ...]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    flat = np.concatenate([np.zeros(0, "<u4"), *parts]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+class WordEncoder:
+    """Token ids of whole texts, as arrays; each distinct word of a slice is looked up once.
+
+    Texts of printable ASCII and Latin letters are lower-cased and cut into the tokenizer's words
+    by Arrow, and a word is encoded when it is new. Texts with other signs go to ``ChunkEncoder``.
+    """
+
+    def __init__(self, path: str):
+        self.chunks = ChunkEncoder(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[str, int] = {"": 0}
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = self.lengths = np.zeros(1, np.int64)
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        new = [w for w in words if w not in self.index]
+        if new:
+            found = [self.chunks.word(w) for w in new]
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(lengths) - lengths]
+            self.lengths = np.r_[self.lengths, lengths]
+            self.flat = np.r_[self.flat, np.frombuffer(b"".join(found), np.uint32)]
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        if len(self.index) > _CACHE:
+            self._forget()
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts), _APART, r" \1 ")
+        split = pc.ascii_split_whitespace(apart)
+        coded = split.flatten().dictionary_encode()
+        which = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        lengths = self.lengths[which]
+        ends = np.cumsum(lengths)
+        shift = np.repeat(self.starts[which] - (ends - lengths), lengths)
+        at = np.r_[0, ends][np.r_[0, np.cumsum(split.value_lengths().to_numpy())]]
+        return self.flat[shift + np.arange(len(shift))], np.diff(at)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``texts`` (no nulls) in a row, and how many each has."""
+        marked = pc.match_substring(texts, "<|")
+        plain = pc.and_not(pc.match_substring_regex(texts, _PLAIN_TEXT), marked).to_numpy(zero_copy_only=False)
+        ids, own = self._plain(texts.filter(pa.array(plain)))
+        if plain.all():
+            return ids, own
+        others = self.chunks.encode(texts.filter(pa.array(~plain)).to_pylist())
+        lengths = np.zeros(len(plain), np.int64)
+        lengths[plain], lengths[~plain] = own, [len(x) for x in others]
+        flat, here = np.zeros(lengths.sum(), np.uint32), np.repeat(plain, lengths)
+        flat[here], flat[~here] = ids, np.concatenate(others)
+        return flat, lengths
+
+
+def _cut(names: pa.Array, ids: np.ndarray, lengths: np.ndarray, limit: int, with_ids: bool) -> pa.RecordBatch:
+    """Pieces of documents whose ids lie in a row: each ended by id 0, then cut."""
+    ids = np.insert(ids, np.cumsum(lengths), 0).astype("<u4")
+    lengths = lengths + 1
+    parts = -(-lengths // limit)
+    owner = np.repeat(np.arange(len(lengths)), parts)
+    piece = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    start = piece * limit
+    size = np.minimum(limit, lengths[owner] - start)
+    bounds = np.r_[0, np.cumsum(size)] * 4
+    data = ids.tobytes()
+    view = memoryview(data)
+    crcs = [zlib.crc32(view[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    columns = [names.take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(size), pa.array(crcs, pa.int64())]
+    if not with_ids:
+        return pa.RecordBatch.from_arrays(columns, _PIECE.names)
+    buffers = [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(data)]
+    columns.append(pa.Array.from_buffers(pa.binary(), len(owner), buffers))
+    return pa.RecordBatch.from_arrays(columns, [*_PIECE.names, "ids"])
 
 
 def _piece_batches(path: str, limit: int, with_ids: bool):
     def cut(batches):
-        encoder = ChunkEncoder(path)
+        encoder = WordEncoder(path)
         for batch in batches:
-            for start, texts in slices(batch, "text"):
-                names = batch.column("doc_id").slice(start, len(texts)).to_pylist()
-                rows = []
-                for name, ids in zip(names, encoder.encode(texts), strict=True):
-                    ids = np.append(ids, np.uint32(0)).astype("<u4")
-                    for piece, at in enumerate(range(0, len(ids), limit)):
-                        own = ids[at : at + limit]
-                        rows.append((name, piece, at, len(own), zlib.crc32(own.tobytes()), own))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                fields = _PIECE.names + (["ids"] if with_ids else [])
-                arrays = [pa.array(c, k) for c, k in zip(columns, _PIECE.types, strict=False)]
-                yield pa.RecordBatch.from_arrays(arrays + ([_lists(columns[5])] if with_ids else []), fields)
+            for start, n in runs(batch, "text"):
+                texts = pc.fill_null(batch.column("text").slice(start, n), "")
+                yield _cut(batch.column("doc_id").slice(start, n), *encoder.encode(texts), limit, with_ids)
 
     return cut
 
@@ -161,11 +228,12 @@ def pieces(
 ) -> DataFrame:
     """Token pieces of at most ``limit`` ids of every document, each ended by id 0.
 
-    A null text counts as empty and gives one piece of one id. ``with_ids`` adds the ids.
+    A null text counts as empty and gives one piece of one id. ``with_ids`` adds the ids, as
+    little-endian unsigned 32-bit numbers.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    ddl = _PIECE_DDL + (", ids array<int>" if with_ids else "")
+    ddl = _PIECE_DDL + (", ids binary" if with_ids else "")
     return narrow.mapInArrow(_piece_batches(str(path), limit, with_ids), ddl)
 
 
@@ -250,16 +318,15 @@ def _pack_group(limit: int):
 
 
 def pack(cut: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
-    """``cut`` (the columns of ``pieces``, written once) with sequence_id and offset.
+    """``cut`` (the columns of ``pieces`` but ids, written once) with sequence_id and offset.
 
     Ids of sequences are any numbers; those of full pieces are negative. Equal rows are
-    pieces of their own. An empty table gives an empty result. With ``ids``, ``cut`` needs a
-    unique ``row``, too: the packing groups get no ids, places are joined back on it.
+    pieces of their own. An empty table gives an empty result. A column ``row`` is carried along.
     """
-    whole = "ids" in cut.columns
-    names = [*_PIECE.names, *(["row"] if whole else [])]
+    extra = ["row"] if "row" in cut.columns else []
+    names = [*_PIECE.names, *extra]
     full = cut.where(F.col("length") == limit).select(
-        *cut.columns,
+        *names,
         (-1 - F.monotonically_increasing_id()).alias("sequence_id"),
         F.lit(0).cast("bigint").alias("offset"),
     )
@@ -267,23 +334,32 @@ def pack(cut: DataFrame, limit: int = LIMIT, group: int = GROUP) -> DataFrame:
     parts = max(1, -(-rest.count() // group))
     place = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
     dealt = rest.select(*names, F.pmod(place, F.lit(parts)).cast("bigint").alias("part"))
-    ddl = f"{_PIECE_DDL}{', row bigint' if whole else ''}, sequence_id bigint, offset bigint"
-    placed = dealt.groupBy("part").applyInPandas(_pack_group(limit), ddl)
-    if whole:
-        placed = rest.join(placed.select("row", "sequence_id", "offset"), "row")
-    return full.unionByName(placed)
+    ddl = f"{_PIECE_DDL}{', row bigint' if extra else ''}, sequence_id bigint, offset bigint"
+    return full.unionByName(dealt.groupBy("part").applyInPandas(_pack_group(limit), ddl))
+
+
+def write_sequences(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every document of (doc_id, text) cut and packed: its pieces and their places, written.
+
+    Pieces are (row, ids and what ``pieces`` gives), places the same without ids but with
+    sequence_id and offset. The ids are written once and do not move: packing reads lengths.
+    """
+    cut = pieces(docs, with_ids=True).withColumn("row", F.monotonically_increasing_id())
+    cut = stage(cut, "pieces")
+    return cut, stage(pack(cut.drop("ids")), "places")
 
 
 def pack_sequences(docs: DataFrame) -> DataFrame:
     """Every document of (doc_id, text) cut and packed, with the ids.
 
-    A row has the ids of one piece; those of a ``sequence_id`` by ``offset`` are the
-    sequence, without gaps. Rows come in no order, which saves moving all ids once more.
+    A row has the ids of one piece (little-endian unsigned 32-bit); those of a ``sequence_id`` by
+    ``offset`` are the sequence, without gaps. Rows come in no order, which saves moving all ids
+    once more.
     """
-    cut = pieces(docs, with_ids=True).withColumn("row", F.monotonically_increasing_id())
-    return pack(stage(cut, "pieces")).select(*_PIECE.names, "sequence_id", "offset", "ids")
+    cut, placed = write_sequences(docs)
+    return placed.join(cut.select("row", "ids"), "row").drop("row")
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """What is known of each piece of the sequences, which are written with all ids."""
-    return stage(pack_sequences(docs), "sequences").drop("ids")
+    """What is known of each piece of the sequences; their ids are written as well."""
+    return write_sequences(docs)[1].drop("row")

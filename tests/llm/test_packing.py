@@ -1,8 +1,11 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallow.llm import packing
@@ -32,9 +35,49 @@ def test_pieces_and_places_against_the_tokenizer(spark):
         assert end <= 2048
 
 
+def ids_of(row):
+    return np.frombuffer(row.ids, "<u4").tolist()
+
+
+def test_words_of_whole_texts_are_the_tokenizers(monkeypatch):
+    """Random texts of signs that meet in odd ways, some beyond Latin, over many small memories."""
+    path = str(public_tokenizers.path(packing.TOKENIZER))
+    tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    monkeypatch.setattr(packing, "_CACHE", 50)
+    rng = random.Random(7)
+    plain = "abcXYZ'sSmdlvret0123456789.,-–\"éßÀ×÷ÿÞ \n"
+    for signs in (plain, plain + "\t\x0b\xa0\r<|>漢字Āœ\0"):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(700)]
+        texts += ["<|endoftext|>a", "don't 'tis it's''s ''re x's", "", "'S A'S", "a<|", "'ll'll" * 9, "x" * 3000]
+        for at in range(0, len(texts), 101):
+            part = texts[at : at + 101]
+            ids, lengths = encoder.encode(pa.array(part, pa.string()))
+            want = [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+            assert lengths.tolist() == [len(w) for w in want]
+            assert ids.tolist() == [i for w in want for i in w]
+    ids, lengths = encoder.encode(pa.array([], pa.string()))
+    assert len(ids) == len(lengths) == 0
+
+
+def test_many_packing_groups(spark):
+    rows = [(i, "word " * (1 + i * 37 % 300), "en", None) for i in range(400)]
+    cut = packing.stage(packing.pieces(documents(spark, rows)), "cut")
+    packed = packing.pack(cut, group=16)
+    found = packed.collect()
+    assert packed.select(F.shiftright("sequence_id", 32)).distinct().count() > 15
+    sequences = {}
+    for r in found:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in sequences.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(places)])]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
+    key = lambda r: str((r.doc_id, r.piece, r.start, r.length, r.ids_crc32))
+    assert sorted(map(key, found)) == sorted(map(key, cut.collect()))
+
+
 def test_ids_come_along_when_asked(spark):
     cut = packing.pieces(documents(spark).where("doc_id = 6"), with_ids=True).collect()
-    assert [len(r.ids) for r in cut] == [r.length for r in cut]
+    assert [len(r.ids) for r in cut] == [4 * r.length for r in cut] and len(cut) > 5
 
 
 def test_sequences_are_written_with_their_ids(spark, tmp_path, monkeypatch):
@@ -42,23 +85,27 @@ def test_sequences_are_written_with_their_ids(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(packing, "stage", lambda df, label: stage(df, label, str(tmp_path / label)))
     docs = documents(spark, [(21, "word " * 5000, "en", None)] * 2)
     digest = packing.pack_documents(docs)
-    written = spark.read.parquet(str(tmp_path / "sequences"))
+    written = spark.read.parquet(str(tmp_path / "places")).join(
+        spark.read.parquet(str(tmp_path / "pieces")).select("row", "ids"), "row"
+    )
     rows = written.orderBy("sequence_id", "offset").collect()
     key = lambda r: str(tuple(r[c] for c in digest.columns))
     assert sorted(map(key, rows)) == sorted(map(key, digest.collect()))
+    plan = digest._jdf.queryExecution().executedPlan().toString()
+    assert "ids:binary" not in plan and "Join" not in plan
     sequences = {}
     for r in rows:
-        assert r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        assert 4 * r.length == len(r.ids) and r.ids_crc32 == zlib.crc32(r.ids)
         own = sequences.setdefault(r.sequence_id, [])
         assert r.offset == len(own)
-        own += r.ids
+        own += ids_of(r)
     assert max(map(len, sequences.values())) <= 2048
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path(packing.TOKENIZER)))
     want = [[*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()]
     assert sum(map(len, sequences.values())) == sum(map(len, want))
     got = {}
     for r in sorted(rows, key=lambda r: r.start):
-        got.setdefault(r.doc_id, []).extend(r.ids)
+        got.setdefault(r.doc_id, []).extend(ids_of(r))
     assert got[6] in want and got[8] in want
 
 
