@@ -27,11 +27,11 @@ from tallow.session import stage
 CODES = 128
 BUCKETS = 16
 SAMPLE = 8192
-# Share of all entries that a query's cells must hold, and at least LEAST. It is this large
-# for vectors without structure, such as points spread over a sphere, whose nearest are hardly
-# nearer than others; for clustered ones a few hundredths do.
-SHARE = 0.4
-LEAST = 2000
+# How many of the true nearest the cells passed shall hold; the share of all entries that this
+# takes is measured. It is large for vectors without structure, such as points spread over a
+# sphere, whose nearest are hardly nearer than others; for clustered ones a few hundredths do.
+RECALL = 0.97
+PROBES = 512  # vectors of the sample that are searched for to measure it
 _SEED = 4
 
 
@@ -111,6 +111,28 @@ class MultiIndex:
         return np.unique(near * BUCKETS // len(self.first)).tolist()
 
 
+def needed_share(index: MultiIndex, points: np.ndarray, k: int, recall: float) -> float:
+    """The share of entries within whose cells ``recall`` of the ``k`` nearest of a point lie.
+
+    Measured among ``points`` by brute force, for ``PROBES`` of them. In a larger table the
+    nearest are nearer, so the share that a sample asks for is enough there.
+    """
+    if len(points) < 2:
+        return 1.0
+    cells = index.cells(points)
+    first, second = cells // len(index.second), cells % len(index.second)
+    shares = []
+    for i in range(0, len(points), max(1, len(points) // PROBES)):
+        distance = ((points - points[i]) ** 2).sum(axis=1)
+        distance[i] = np.inf
+        n = min(k, len(points) - 1)
+        near = np.argpartition(distance, n - 1)[:n]
+        da, db = index.halves(points[i])
+        reach = da[first] + db[second]
+        shares.append(np.searchsorted(np.sort(reach), reach[near], side="right") / len(points))
+    return float(np.quantile(np.concatenate(shares), recall))
+
+
 def _vectors(batch: pa.RecordBatch) -> np.ndarray:
     """The vectors of a batch as rows."""
     column = batch.column("vector")
@@ -172,9 +194,15 @@ def _parts(df: DataFrame, size: int):
     return F.element_at(F.lit(parts), F.col("bucket") + 1)
 
 
-def search(embeddings: DataFrame, k: int = 10, share: float = SHARE) -> DataFrame:
+def search(
+    embeddings: DataFrame, k: int = 10, recall: float = RECALL, share: float | None = None
+) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each query.
 
+    A query passes cells until they hold the ``share`` of all entries that is needed for
+    ``recall``, as measured on the sample, or the one that is given; k + 1 entries at least, as
+    the query itself is one. Tables of all sizes go the same way.
+
     Queries are rows whose vec_id is divisible by 100; a row is no neighbour of itself, but
     other rows of the same id are. Equal distances go to the smaller vec_id. Vectors that
     take no part are named in ``usable``; a query for which fewer than ``k`` others take part
@@ -188,14 +216,17 @@ def search(embeddings: DataFrame, k: int = 10, share: float = SHARE) -> DataFram
     if not len(sample):
         empty = "query_id bigint, rank int, vec_id bigint, score double"
         return spark.createDataFrame([], empty)
-    index = MultiIndex(matrix(sample["vector"]))
+    points = matrix(sample["vector"])
+    index = MultiIndex(points)
+    if share is None:
+        share = needed_share(index, points, k, recall)
     cells = len(index.first) * len(index.second)
     entry = "rid bigint, vec_id bigint, vector array<double>, cell int, bucket int"
     entries = stage(vectors.mapInArrow(_cell_batches(index), entry), "entries")
     counts = np.zeros(cells, np.int64)
     for r in entries.groupBy("cell").count().collect():  # at most CODES squared rows
         counts[r["cell"]] = r["count"]
-    enough = max(LEAST, int(share * counts.sum()))
+    enough = max(k + 1, int(np.ceil(share * counts.sum())))
     queries = entries.where(is_query()).select(
         F.col("rid").alias("qid"), F.col("vec_id").alias("query_id"), "vector"
     )
@@ -207,13 +238,11 @@ def search(embeddings: DataFrame, k: int = 10, share: float = SHARE) -> DataFram
     )
     probes = stage(walked, "probes").withColumn("bucket", F.explode("buckets")).drop("buckets")
     vparts, qparts = _parts(entries, VECTOR_BLOCK), _parts(probes, QUERY_BLOCK)
-    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    blocks = entries.select(
-        "*", F.pmod(F.xxhash64("rid"), vparts).alias("vpart"), each(qparts).alias("qpart")
-    )
-    asks = probes.select(
-        "*", F.pmod(F.xxhash64("qid"), qparts).alias("qpart"), each(vparts).alias("vpart")
-    )
+    # keys have one type on both sides: equal numbers of other types may go to other tasks
+    part = lambda row, n: F.pmod(F.xxhash64(row), n).cast("bigint")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1).cast("array<bigint>"))
+    blocks = entries.select("*", part("rid", vparts).alias("vpart"), each(qparts).alias("qpart"))
+    asks = probes.select("*", part("qid", qparts).alias("qpart"), each(vparts).alias("vpart"))
     keys = ["bucket", "vpart", "qpart"]
     near = blocks.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(
         _rank_block(index, k), "qid bigint, query_id bigint, rid bigint, vec_id bigint, score double"

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from tallow.llm import ann, topk
 from tests.llm.cases import none
@@ -76,7 +77,6 @@ def test_nearest_with_every_cell_passed_is_exact(spark):
 
 def test_recall_with_a_hot_cell(spark, monkeypatch):
     monkeypatch.setattr(ann, "VECTOR_BLOCK", 200)
-    monkeypatch.setattr(ann, "LEAST", 100)
     random.seed(7)
     centers = [[random.gauss(0, 1) for _ in range(16)] for _ in range(10)]
     rows = []
@@ -91,6 +91,69 @@ def test_recall_with_a_hot_cell(spark, monkeypatch):
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
 
 
+def spread(kind, n, width=16):
+    rng = np.random.default_rng(9)
+    if kind == "sphere":
+        points = rng.normal(size=(n, width))
+    else:
+        points = rng.normal(size=(50, width))[rng.integers(50, size=n)] + rng.normal(0, 0.1, (n, width))
+    return points / np.linalg.norm(points, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("kind", "most"), [("sphere", 0.6), ("clusters", 0.1)])
+def test_the_share_is_measured_and_holds_for_others(kind, most):
+    """Recall of the index alone: learned from some points, searched in more."""
+    points = spread(kind, 9000)
+    index = ann.MultiIndex(points[:3000], 64)
+    share = ann.needed_share(index, points[:3000], 10, 0.95)
+    assert 0 < share < most
+    cells = index.cells(points)
+    counts = np.bincount(cells, minlength=len(index.first) * len(index.second))
+    found, read = [], []
+    for i in range(4000, 4060):
+        passed = index.passed(points[i], index.walk(points[i], counts, int(share * len(points))), cells)
+        distance = ((points - points[i]) ** 2).sum(axis=1)
+        distance[i] = np.inf
+        found.append(passed[np.argsort(distance)[:10]].mean())
+        read.append(passed.mean())
+    assert np.mean(found) >= 0.9 and np.mean(read) < most + 0.1
+
+
+@pytest.mark.parametrize("tasks", ["4", "37"])
+def test_blocks_meet_whatever_the_number_of_tasks(spark, monkeypatch, tasks):
+    """Both sides of a block go to one task, also where tasks are not merged for being small."""
+    monkeypatch.setattr(ann, "VECTOR_BLOCK", 20)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
+    rows = odd_vectors()
+    distance = lambda a, b: float(np.sqrt(((a - b) ** 2).sum()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ann.search(frame(spark, rows), share=1.0).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = brute(clean(rows, False), distance, 1)
+    assert [r[:3] for r in sorted(map(tuple, got))] == [w[:3] for w in want]
+
+
+def test_small_tables_go_the_same_way(spark):
+    """Fewer than all cells are passed, and most of the nearest found all the same."""
+    points = spread("sphere", 700, 8)
+    index = ann.MultiIndex(points)
+    share = ann.needed_share(index, points, 10, ann.RECALL)
+    assert 0 < share < 0.9
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    got = {(r.query_id, r.vec_id) for r in ann.search(frame(spark, rows)).collect()}
+    distance = lambda a, b: float(((a - b) ** 2).sum())
+    clean_rows = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+    want = {(q, i) for q, _, i, _ in brute(clean_rows, distance, 1)}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+    few = ann.search(frame(spark, rows[:8])).collect()
+    assert sorted(r.vec_id for r in few) == list(range(1, 8))  # fewer than k others: all
+
+
 def test_walk_passes_cells_in_order_of_summed_distance():
     points = np.random.default_rng(8).normal(size=(500, 8))
     index = ann.MultiIndex(points, 5)
