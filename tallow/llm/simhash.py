@@ -19,7 +19,7 @@ copies, however large, count as one.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallow.llm.components import components
@@ -153,16 +153,31 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each component, all columns kept: that of the smallest doc_id.
 
     Rows without an id come after all others; of rows that share the id, the one with the
-    smallest key stays, and of equal rows any one. The window reuses the join's partitions.
+    smallest key stays, and of equal rows any one. A row is named by its id and its key.
+
+    Only the names of rows that go, or that several equal rows have, are written and joined
+    with the documents: where these are few, Spark sends them to the texts, and no text moves.
+    Equal rows are put together by an aggregation, which is partial before its exchange.
     """
-    firsts = _rooted(fingerprints(docs)).groupBy("root").agg(F.min("first").alias("first"))
-    firsts = firsts.select(F.col("first.row_key").alias("row_key"))
-    alone = Window.partitionBy("row_key").orderBy("row_key")
+    name = ["doc_id", "row_key"]
+    prints = stage(fingerprints(docs), "fingerprints")
+    rooted = _rooted(prints)
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    firsts = firsts.select("first.doc_id", "first.row_key").withColumn("stays", F.lit(True))
+    names = prints.groupBy(*name).agg(F.count(F.lit(1)).alias("n")).alias("names")
+    first = _same_name(F.col("names.doc_id"), F.col("names.row_key"), "firsts")
+    named = names.join(firsts.alias("firsts"), first, "left")
+    named = named.select("names.*", F.coalesce("stays", F.lit(False)).alias("stays"))
+    marked = stage(named.where("n > 1 or not stays"), "marked")
     records = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("record"))
-    return (
-        records.withColumn("row_key", _row_key("record."))
-        .join(firsts, "row_key", "left_semi")
-        .withColumn("nth", F.row_number().over(alone))
-        .where(F.col("nth") == 1)
-        .select("record.*")
-    )
+    here = F.col("record.doc_id").cast("bigint"), _row_key("record.")
+    alone = records.join(marked.alias("marked"), _same_name(*here, "marked"), "left_anti")
+    equal = records.select("record", here[0].alias("own_id"), here[1].alias("own_key"))
+    repeated = marked.where("stays").alias("repeated")
+    equal = equal.join(repeated, _same_name(F.col("own_id"), F.col("own_key"), "repeated"), "left_semi")
+    one = equal.groupBy("own_id", "own_key").agg(F.any_value("record").alias("record"))
+    return alone.unionByName(one.select("record")).select("record.*")
+
+
+def _same_name(doc_id, row_key, side: str):
+    return doc_id.eqNullSafe(F.col(f"{side}.doc_id")) & (row_key == F.col(f"{side}.row_key"))

@@ -86,6 +86,30 @@ def test_one_of_each_component_stays(spark):
     assert [r.text for r in rows if r.doc_id is None] == ["a text without an id"]
 
 
+def test_rows_stay_whether_names_are_broadcast_or_merged(spark):
+    """Ids that different texts share, keys that different ids share, equal rows without end."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(30))
+    rows = [(i, words(i), "en", "a") for i in range(40)] + [(100 + i, words(i), "en", "b") for i in range(40)]
+    rows += [(7, words(50), "en", "c"), (None, words(51), "en", "d")] + [(60, words(52), "en", "e")] * 300
+    rows += [(None, words(53), "en", "f")] * 200 + [(None, words(3), "en", "g")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    want = {r[:2] for r in rows} - {(100 + i, words(i)) for i in range(40)} - {(None, words(3))}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (before, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            kept = [(r.doc_id, r.text) for r in simhash.keep_first(docs).collect()]
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert len(kept) == len(want) and set(kept) == want
+
+
+def test_texts_do_not_move_for_few_duplicates(spark):
+    docs = documents(spark)
+    plan = simhash.keep_first(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_empty_table(spark):
     empty = none(documents(spark))
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_first(empty).count() == 0
