@@ -4,7 +4,10 @@
 compared by the subsequences of three letters they share, their two edges counting as letters. Between two letters of one up to
 ``GAP - 1`` other characters may stand; each step weighs ``DECAY`` less. So gaps and inserted
 characters lower the kernel, and do not break it. It is normalised, and values below
-``FLOOR`` count as zero.
+``FLOOR`` count as zero. A unit is read whole and, where it holds at least ``HOLD`` of a landmark's
+own subsequences within its edges, also in windows about as long as that landmark and in the parts
+between its marks: what is glued into a longer unit counts as if it stood alone. Units of more
+than ``_LONG`` characters hold nearly everything; they are read in windows and parts only.
 
 *Nyström.* Landmarks are units that stand out in toxic texts of the training sample. With K
 the kernel between landmarks and k that of a unit with each of them, K^-1/2 k is the unit's
@@ -36,6 +39,7 @@ SENTENCES = 8  # of a document of the sample, those with the largest kernels
 GAP = 3
 DECAY = 0.6
 FLOOR = 0.4
+HOLD = 0.6
 COST = 1000.0
 SURE = 2.5  # standard errors by which a landmark must be more frequent in toxic texts
 _SEED = 2
@@ -48,6 +52,7 @@ _BLOCK = 40_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _STEPS = [(a, b) for a in range(1, GAP + 1) for b in range(1, GAP + 1)]
 _EDGE = "\x01"
+_EDGE_LETTER = 63
 _ALONE, _NOTHING = -2, -1
 
 
@@ -60,7 +65,7 @@ def _letter(character: str) -> int:
     if "a" <= character <= "z":
         return ord(character) - 96
     if character == _EDGE:
-        return 63
+        return _EDGE_LETTER
     return 27 + ord(character) % 36 if character.isalnum() else 0
 
 
@@ -111,6 +116,39 @@ class Landmarks:
         self.row = np.full(1 << 18, len(codes), np.int32)  # the last row is all zero
         self.row[codes] = np.arange(len(codes))
         self.most = self.table.max(axis=1, initial=0.0)
+        self._prepare_held(owner, code, value, row)
+
+    def _prepare_held(self, owner, code, value, row) -> None:
+        """For each row of the table the landmarks with this subsequence, where it has no edge."""
+        inner = (code >> 12 != _EDGE_LETTER) & (code & 63 != _EDGE_LETTER)
+        order = np.argsort(row[inner], kind="stable")
+        self.inner_owner = owner[inner][order]
+        self.inner_value = value[inner][order]
+        self.inner_count = np.bincount(row[inner], minlength=len(self.table))
+        self.inner_start = np.cumsum(self.inner_count) - self.inner_count
+        own = np.arange(len(self.units))
+        itself = self._held_sums(*_terms(self.units), len(self.units))[own, own]
+        self.enough = np.where(itself > 0, HOLD * itself, np.inf)
+
+    def _held_sums(self, owner, code, weight, n: int) -> np.ndarray:
+        """How much of each landmark's subsequences without edges each unit has, not normalised."""
+        row = self.row[code]
+        some = np.flatnonzero(self.inner_count[row])
+        times = self.inner_count[row[some]]
+        at = np.repeat(self.inner_start[row[some]] - (np.cumsum(times) - times), times)
+        at += np.arange(len(at))
+        key = np.repeat(owner[some], times) * len(self.units) + self.inner_owner[at]
+        sums = np.bincount(key, np.repeat(weight[some], times) * self.inner_value[at], n * len(self.units))
+        return sums.reshape(n, len(self.units))
+
+    def held(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, landmark) for every landmark that a unit holds, as places in both lists."""
+        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, len(units), _BLOCK):
+            part = units[at : at + _BLOCK]
+            unit, landmark = np.nonzero(self._held_sums(*_terms(part), len(part)) >= self.enough)
+            pairs.append((unit + at, landmark))
+        return tuple(np.concatenate(side) for side in zip(*pairs, strict=True))
 
     def kernels(self, units: list[str]) -> np.ndarray:
         """One row for each unit, with zero for what is below the floor."""
@@ -171,6 +209,7 @@ class Reader:
     def _kernels(self, units: list[str]) -> list[np.ndarray | None]:
         short = [u if len(u) <= _LONG else "" for u in units]
         found = self.landmarks.kernels(short)
+        self._look_inside(short, found)
         some = found.any(axis=1)
         rows = [found[i] if some[i] else None for i in range(len(units))]
         for i, u in enumerate(units):
@@ -181,6 +220,25 @@ class Reader:
                 rows[i] = best if best.any() else None
         return rows
 
+    def _look_inside(self, units: list[str], found: np.ndarray) -> None:
+        """Raise ``found`` to the kernels of windows and parts, for landmarks that units hold."""
+        inside: dict[tuple[int, str], None] = {}
+        for i, j in zip(*(side.tolist() for side in self.landmarks.held(units)), strict=True):
+            unit, n = units[i], len(self.landmarks.units[j])
+            for width in (n, n + 1):
+                inside.update(((i, unit[s : s + width]), None) for s in range(len(unit) - width + 1))
+            inside.update(((i, part), None) for part in _MARKS.split(unit) if len(part) >= 3)
+        pieces = [(i, piece) for i, piece in inside if piece != units[i]]
+        for at in range(0, len(pieces), _BLOCK):
+            own = pieces[at : at + _BLOCK]
+            place = {piece: n for n, piece in enumerate(dict.fromkeys(piece for _, piece in own))}
+            rows = self.landmarks.kernels(list(place))
+            near = rows.any(axis=1)
+            hits = [(i, place[piece]) for i, piece in own if near[place[piece]]]
+            if hits:
+                unit, row = np.array(hits).T
+                np.maximum.at(found, unit, rows[row])
+
     def _windows(self, unit: str, narrow: list[int], step: int = 1) -> np.ndarray:
         """Largest kernels over overlapping windows of a long unit, block by block.
 

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -54,3 +56,47 @@ def test_family_of_an_unlisted_code():
     model = langid.train(x, np.array(["xx", "xx", "en", "en", "de", "de"]))
     assert model.members == {"germanic": ["de", "en"], "xx": ["xx"]}
     assert [model.predict(r)[0] for r in x] == ["xx", "xx", "en", "en", "de", "de"]
+
+
+def brute_language(model, text):
+    """Family and votes from the weights, one n-gram and one pair at a time."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    raw = b" " + b" ".join(text.lower().encode().split()) + b" "
+    x = [0.0] * langid.DIMENSIONS
+    for width in range(1, 5):
+        grams = [raw[i : i + width] for i in range(len(raw) - width + 1)]
+        for gram in grams:
+            code = 0
+            for byte in gram:
+                code = (code * 0x01000193 + byte) % 2**32
+            x[((code + width) * 0x9E3779B1 % 2**32) >> 20] += 1 / len(grams)
+    x = [(v / sum(x)) ** 0.5 for v in x]
+    margin = lambda w: sum(a * b for a, b in zip(w, x, strict=False)) + w[-1]
+    chance = lambda m: 1 / (1 + math.exp(-4 * m))
+    families = sorted(((margin(w), f) for w, f in zip(model.family_weights, model.families, strict=True)), reverse=True)
+    family = families[0][1]
+    score = chance(families[0][0] - families[1][0]) if len(families) > 1 else 1.0
+    names = model.members[family]
+    if len(names) == 1:
+        return names[0], score
+    duels = {}
+    for (a, b), w in zip(itertools.combinations(names, 2), model.pair_weights[family], strict=True):
+        duels[a, b], duels[b, a] = margin(w), -margin(w)
+    own = {a: [m for (n, _), m in duels.items() if n == a] for a in names}
+    best = max(names, key=lambda a: (sum(m >= 0 for m in own[a]), sum(own[a])))
+    return best, score * chance(2 * min(own[best]))
+
+
+def test_predictions_against_one_pair_at_a_time(spark):
+    docs = corpus(spark)
+    more = [(500 + i, r.text + " ij oe aa", "nl", "s") for i, r in enumerate(docs.limit(40).collect())]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    model = langid.fit(docs)
+    assert model.members["germanic"] == ["de", "en", "nl"]
+    odd = documents(spark, odd=False).select("doc_id", "text").where("doc_id != 6 and doc_id != 7")
+    rows = docs.select("doc_id", "text").limit(60).union(odd).collect()
+    frame = spark.createDataFrame([(i, r.text) for i, r in enumerate(rows)], "doc_id bigint, text string")
+    for got in langid.predict_languages(frame, model).collect():
+        name, score = brute_language(model, rows[got.doc_id].text)
+        assert got.lang_pred == name and math.isclose(got.score, score, rel_tol=1e-6, abs_tol=1e-9)

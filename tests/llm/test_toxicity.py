@@ -1,5 +1,7 @@
+import functools
 import itertools
 import random
+import re
 
 import numpy as np
 
@@ -7,23 +9,49 @@ from tallow.llm import toxicity
 from tests.llm.cases import documents, none
 
 
+@functools.cache
+def brute_terms(u):
+    """All triples of places within the gaps."""
+    u, out = f"\x01{u}\x01", {}
+    for i, j, k in itertools.combinations(range(len(u)), 3):
+        if j - i <= toxicity.GAP and k - j <= toxicity.GAP:
+            codes = tuple(toxicity._letter(u[x]) for x in (i, j, k))
+            if all(codes):
+                out[codes] = out.get(codes, 0) + toxicity.DECAY ** (k - i)
+    return out
+
+
+def dot(x, y, inner=False):
+    return sum(v * y.get(key, 0) for key, v in x.items() if not (inner and 63 in key))
+
+
 def brute_kernel(s, t):
-    """All triples of places within the gaps, on both sides."""
-
-    def terms(u):
-        u, out = f"\x01{u}\x01", {}
-        for i, j, k in itertools.combinations(range(len(u)), 3):
-            if j - i <= toxicity.GAP and k - j <= toxicity.GAP:
-                codes = tuple(toxicity._letter(u[x]) for x in (i, j, k))
-                if all(codes):
-                    out[codes] = out.get(codes, 0) + toxicity.DECAY ** (k - i)
-        return out
-
-    a, b = terms(s), terms(t)
-    dot = lambda x, y: sum(v * y.get(key, 0) for key, v in x.items())
+    a, b = brute_terms(s), brute_terms(t)
     return dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 if a and b else 0.0
 
 
+def brute_score(model, text):
+    """From landmarks to score, one unit at a time; for units of at most 40 characters."""
+    marks = model.landmarks.units
+    floored = lambda u: np.array([k if k >= toxicity.FLOOR else 0 for k in (brute_kernel(u, m) for m in marks)])
+    margins, sentence = [model.bias], np.zeros(len(marks))
+    for word in [*text.split(), None]:
+        if word is not None:
+            unit = toxicity.unit_of(word)
+            pieces = {unit}
+            for m in marks:
+                own = brute_terms(m)
+                if dot(brute_terms(unit), own, True) >= toxicity.HOLD * dot(own, own, True) > 0:
+                    for n in (len(m), len(m) + 1):
+                        pieces |= {unit[i : i + n] for i in range(len(unit) - n + 1)}
+                    pieces |= {p for p in re.split(r"[\W_]+", unit) if len(p) >= 3}
+            sentence = np.maximum(sentence, np.max([floored(p) for p in pieces], axis=0))
+        if word is None or word[-1] in ".!?":
+            margins += [sentence @ model.weights + model.bias] if sentence.any() else []
+            sentence = np.zeros(len(marks))
+    return 1 / (1 + np.exp(-(model.slope * max(margins) + model.shift)))
+
+
 def test_kernel_and_its_bound():
     random.seed(4)
     marks = ["idiot", "worthless", "clown", "loweiä", "aaa"]
@@ -93,3 +121,30 @@ def test_insults_in_long_units_and_beside_single_letters_are_not_diluted():
         found = reader.sentences([text])[0]
         assert found.shape[0] == 1 and found[0, 0] >= least, text
     assert reader.sentences(["well-known-things-that-everyone-has-heard-of-before"])[0].max(initial=0) < 0.5
+
+
+def test_glued_insults_count_in_units_of_every_length():
+    random.seed(6)
+    for insult in ("idiot", "worthless", "moron"):
+        reader = toxicity.Reader(toxicity.Landmarks(["clown", insult]))
+        for length in (*range(len(insult), 24), 30, 38, 39, 40, 41, 42, 43, 60):
+            before = random.randint(0, length - len(insult))
+            filler = "".join(random.choices("baek", k=length - len(insult)))
+            for broken in (insult, f"{insult[:3]}x{insult[3:]}", f"{insult[:2]}-{insult[2:]}"):
+                found = reader.sentences([filler[:before] + broken + filler[before:]])[0]
+                least = 0.99 if broken == insult else 1.2 * toxicity.FLOOR
+                assert found.max(initial=0) >= least, (length, before, broken)
+        assert reader.sentences(["".join(random.choices("baek", k=30))])[0].max(initial=0) == 0
+
+
+def test_scores_against_one_unit_at_a_time(spark):
+    docs, labels = corpus(spark, 200)
+    model = toxicity.fit(docs, labels)
+    texts = ["", "the in at on.", "on IDIOT! at the", "a theworthlesser thing. in", "wor-thless, ermoxronin at"]
+    texts += ["the you-are-a-clown-and-an-idiot there", "ininid io tat.idiot? clo.wn", "atat" * 9]
+    texts += [r.text for r in docs.orderBy("doc_id").limit(12).collect()]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.predict_toxicity(frame, model).collect()}
+    want = [brute_score(model, t) for t in texts]
+    assert np.allclose([got[i] for i in range(len(texts))], want, atol=1e-4)
+    assert min(want) < 0.5 < max(want)
