@@ -3,12 +3,14 @@
 The components are cut into ``LISTS`` runs; for a query each run is a list that ranks all
 vectors by their partial score, and the score sought is the sum over lists.
 
-1. Each block of vectors gives the best ``GATHER`` times k entries of each of its lists, with
-   their whole scores, and the highest value of each list. The k-th largest whole score
-   gathered is a safe cutoff for the result.
+1. Each block of vectors gives the best ``GATHER`` times k entries of each of its lists, and
+   the highest value of each list. Only of these entries the whole scores are added up; the
+   k-th largest of them is a safe cutoff for the result.
 2. What the cutoff lacks from the sum of the lists' highest values, spread evenly over the
    lists, goes with the query to all blocks. An entry that lacks more in every list cannot
-   reach the cutoff, so the entries that lack no more in some list are enough.
+   reach the cutoff, so the entries that lack no more in some list are enough. The lists are
+   read one after the other: who cannot reach the cutoff with the highest values of the
+   lists to come is not looked up there.
 3. Their remaining partial scores are added where their vectors lie, and those that reach the
    cutoff are ranked.
 
@@ -34,14 +36,18 @@ def _whole(column) -> np.ndarray:
     return np.array(rows, np.int64) if rows else np.zeros((0, 0), np.int64)
 
 
-def _partials(q: np.ndarray, v: np.ndarray, part: int) -> np.ndarray:
-    """Partial scores of one list, queries by vectors; in doubles where these are exact."""
-    width = -(-q.shape[1] // LISTS)
-    q, v = q[:, part * width : (part + 1) * width], v[:, part * width : (part + 1) * width]
+def _lists(q: np.ndarray, v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Components of queries and vectors by list; as doubles where their products are exact."""
+    width = max(1, -(-q.shape[1] // LISTS))
     most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(v.astype(float)).max(initial=0))
-    if most * max(width, 1) < 2**53:
-        return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
-    return q @ v.T
+    kind = np.float64 if most * width < 2**53 else np.int64
+    cuts = [slice(part * width, (part + 1) * width) for part in range(LISTS)]
+    return [(q[:, c].astype(kind), v[:, c].astype(kind)) for c in cuts]
+
+
+def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Partial scores of one list."""
+    return (q @ v.T).astype(np.int64)
 
 
 def _blocks(vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,7 +83,7 @@ def _local_lists(k: int):
         rows = []
         if len(vectors) and len(queries):
             q, v, rid = _whole(queries["q"]), _whole(vectors["vector"]), vectors["rid"].to_numpy()
-            lists = [_partials(q, v, part) for part in range(LISTS)]
+            lists = [_scores(*part) for part in _lists(q, v)]
             for i, qid in enumerate(queries["qid"].to_numpy()):
                 others = np.flatnonzero(rid != qid)
                 if not len(others):
@@ -86,9 +92,8 @@ def _local_lists(k: int):
                 n = min(GATHER * k, len(others))
                 best = np.unique(np.concatenate([np.argpartition(-p, n - 1)[:n] for p in own]))
                 highs = [np.full(len(best), p.max()) for p in own]
-                rows.append(
-                    (np.full(len(best), qid), rid[others[best]], sum(own)[best], *highs)
-                )
+                whole = sum(p[best] for p in own)
+                rows.append((np.full(len(best), qid), rid[others[best]], whole, *highs))
         return _frame(rows, ["qid", "rid", "score", *_HIGHS])
 
     return local
@@ -98,18 +103,24 @@ def _sufficient(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     rows = []
     if len(vectors) and len(queries):
         q, v, rid = _whole(queries["q"]), _whole(vectors["vector"]), vectors["rid"].to_numpy()
-        least, qids = _whole(queries["shares"]), queries["qid"].to_numpy()
-        lists = [_partials(q, v, part) for part in range(LISTS)]
-        reach = np.zeros((len(q), len(v)), bool)
-        for part, scores in enumerate(lists):
-            reach |= scores >= least[:, part][:, None]
-        i, j = np.nonzero(reach & (qids[:, None] != rid))
-        total = sum(scores[i, j] for scores in lists)
-        good = total >= queries["cutoff"].to_numpy()[i]
-        i, j, total = i[good], j[good], total[good]
-        ids = vectors["vec_id"].to_numpy(), queries["query_id"].to_numpy()
-        if len(i):
-            rows.append((qids[i], ids[1][i], rid[j], ids[0][j], total))
+        vec_id = vectors["vec_id"].to_numpy()
+        (first_q, first_v), *others = _lists(q, v)
+        first = _scores(first_q, first_v)
+        bounds = _whole(queries["shares"]), _whole(queries["highs"])
+        asked = zip(queries["qid"], queries["query_id"], queries["cutoff"], *bounds, strict=True)
+        for i, (qid, query_id, cutoff, shares, highs) in enumerate(asked):
+            at = np.flatnonzero((first[i] >= cutoff - highs[1:].sum()) & (rid != qid))
+            total = first[i, at]
+            reach = total >= shares[0]
+            for part, (own, all_v) in enumerate(others, 1):
+                more = _scores(own[i], all_v[at])
+                total, reach = total + more, reach | (more >= shares[part])
+                open_yet = total >= cutoff - highs[part + 1 :].sum()
+                at, total, reach = at[open_yet], total[open_yet], reach[open_yet]
+            at, total = at[reach], total[reach]
+            if len(at):
+                n = len(at)
+                rows.append((np.full(n, qid), np.full(n, query_id), rid[at], vec_id[at], total))
     return _frame(rows, ["qid", "query_id", "rid", "vec_id", "score"])
 
 
@@ -140,7 +151,8 @@ def top_k(embeddings: DataFrame, k: int = 10) -> DataFrame:
     lacking = F.floor((sum(F.col(h) for h in _HIGHS) - F.col("cutoff")) / F.lit(LISTS))
     share = [F.coalesce(F.col(h) - lacking, F.lit(_NO_CUTOFF)) for h in _HIGHS]
     cut = highs.join(kth, "qid", "left").select(
-        "qid", F.coalesce("cutoff", F.lit(_NO_CUTOFF)).alias("cutoff"), F.array(*share).alias("shares")
+        "qid", F.coalesce("cutoff", F.lit(_NO_CUTOFF)).alias("cutoff"),
+        F.array(*share).alias("shares"), F.array(*_HIGHS).alias("highs")
     )
     asked = stage(queries.join(cut, "qid"), "cutoffs")
     ddl = "qid bigint, query_id bigint, rid bigint, vec_id bigint, score bigint"

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tallow.llm import ann, topk
@@ -58,6 +59,39 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
     assert sorted(map(tuple, got)) == brute(clean(rows, True), product, -1)
 
 
+def test_scores_that_do_not_fit_doubles_are_exact(spark):
+    random.seed(8)
+    rows = [(i, [float(random.choice([-1, 1]) * (2**17 + random.randint(0, 9))) for _ in range(6)]) for i in range(120)]
+    product = lambda a, b: sum(int(x) * int(y) for x, y in zip(1024 * a, 1024 * b, strict=True))
+    got = topk.top_k(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == brute(clean(rows, True), product, -1)
+
+
+def test_the_cutoff_saves_scores(monkeypatch):
+    """Whole scores of the gathered entries only; lists to come are read for few."""
+    whole = np.floor(1024 * spread("clusters", 2000, 64)).astype(np.int64)
+    vectors = pd.DataFrame({"rid": range(2000), "vec_id": range(2000), "vector": list(whole)})
+    queries = pd.DataFrame({"qid": range(0, 2000, 100), "query_id": range(0, 2000, 100), "q": list(whole[::100])})
+    lists = topk._local_lists(10)(vectors, queries)
+    assert len(lists) <= len(queries) * topk.LISTS * topk.GATHER * 10 < len(queries) * len(vectors) / 10
+    exact = whole[::100] @ whole.T
+    assert (lists["score"] == exact[lists["qid"] // 100, lists["rid"]]).all()
+    highs = lists.groupby("qid")[topk._HIGHS].max().to_numpy()
+    cutoff = lists.groupby("qid")["score"].nlargest(10).groupby("qid").min().to_numpy()
+    lacking = (highs.sum(axis=1) - cutoff) // topk.LISTS
+    asked = queries.assign(cutoff=cutoff, shares=list(highs - lacking[:, None]), highs=list(highs))
+    computed, plain = [], topk._scores
+    monkeypatch.setattr(topk, "_scores", lambda q, v: computed.append(q.size // q.shape[-1] * len(v)) or plain(q, v))
+    found = topk._sufficient(vectors, asked)
+    first, later = computed[0], sum(computed[1:])
+    assert first == len(queries) * len(vectors) and later < first / 4
+    for n, qid in enumerate(queries["qid"]):
+        own = exact[n].copy()
+        own[qid] = -(2**62)
+        want = {i for i in np.flatnonzero(own >= cutoff[n])}
+        assert set(found[found["qid"] == qid]["rid"]) == want and len(want) >= 10
+
+
 def test_few_candidates(spark):
     rows = [(100, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5])]
     got = topk.top_k(frame(spark, rows)).collect()
