@@ -18,8 +18,8 @@ are negative; of a toxic one those are positive that the current model takes for
 the one it likes best, in four rounds. Broken spellings of sure landmarks are positive too. A document scores as its most toxic sentence, as a chance.
 
 Scoring reads whole texts. A unit's vector depends on the unit alone, so a task computes each
-distinct one once; a bound on the kernel (its square norm is at least the sum of squared
-terms) spares nearly all of them the exact sum.
+distinct one once; a bound on the kernel (a square norm is at least the sum of squared terms)
+spares nearly all of them the exact norm.
 """
 
 import re
@@ -48,7 +48,7 @@ _BREAK = "\0" * _PAD  # keeps subsequences within a unit
 _LONG, _STEP = 40, 20  # units longer than this are read in overlapping windows
 _MARKS = re.compile(r"[\W_]+")
 _CACHE = 200_000
-_BLOCK = 40_000
+_BLOCK = 10_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _STEPS = [(a, b) for a in range(1, GAP + 1) for b in range(1, GAP + 1)]
 _EDGE = "\x01"
@@ -94,14 +94,13 @@ def _terms(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _LETTERS = np.array([_letter(chr(c)) for c in range(0x10000)], np.uint8)
 
 
-def _vectors(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Like ``_terms`` with equal subsequences of a unit added up and its norm made one."""
+def _merged(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Like ``_terms`` with equal subsequences of a unit added up, and the units' norms."""
     owner, code, weight = _terms(units)
     key, place = np.unique(owner * (1 << 18) + code, return_inverse=True)
     value = np.bincount(place, weight, len(key))
     owner, code = key >> 18, key & ((1 << 18) - 1)
-    norm = np.sqrt(np.bincount(owner, value**2, len(units)))
-    return owner, code, value / np.where(norm > 0, norm, 1)[owner]
+    return owner, code, value, np.sqrt(np.bincount(owner, value**2, len(units)))
 
 
 class Landmarks:
@@ -109,72 +108,57 @@ class Landmarks:
 
     def __init__(self, units: list[str]):
         self.units = units
-        owner, code, value = _vectors(units)
+        owner, code, value, norm = _merged(units)
+        value = value / np.where(norm > 0, norm, 1)[owner]
         codes, row = np.unique(code, return_inverse=True)
-        self.table = np.zeros((len(codes) + 1, len(units)), np.float32)
-        self.table[row, owner] = value
-        self.row = np.full(1 << 18, len(codes), np.int32)  # the last row is all zero
+        self.row = np.full(1 << 18, len(codes), np.int32)  # the last row is empty
         self.row[codes] = np.arange(len(codes))
-        self.most = self.table.max(axis=1, initial=0.0)
-        self._prepare_held(owner, code, value, row)
-
-    def _prepare_held(self, owner, code, value, row) -> None:
-        """For each row of the table the landmarks with this subsequence, where it has no edge."""
+        # by row, the landmarks with this subsequence, and its values with and without edges
+        order = np.argsort(row, kind="stable")
         inner = (code >> 12 != _EDGE_LETTER) & (code & 63 != _EDGE_LETTER)
-        order = np.argsort(row[inner], kind="stable")
-        self.inner_owner = owner[inner][order]
-        self.inner_value = value[inner][order]
-        self.inner_count = np.bincount(row[inner], minlength=len(self.table))
-        self.inner_start = np.cumsum(self.inner_count) - self.inner_count
-        own = np.arange(len(self.units))
-        itself = self._held_sums(*_terms(self.units), len(self.units))[own, own]
+        self.owner, self.value = owner[order], value[order]
+        self.inner = (value * inner)[order]
+        self.count = np.bincount(row, minlength=len(codes) + 1)
+        self.start = np.cumsum(self.count) - self.count
+        own = np.arange(len(units))
+        itself = self._products(*_terms(units), len(units))[1][own, own]
         self.enough = np.where(itself > 0, HOLD * itself, np.inf)
 
-    def _held_sums(self, owner, code, weight, n: int) -> np.ndarray:
-        """How much of each landmark's subsequences without edges each unit has, not normalised."""
+    def _products(self, owner, code, weight, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Inner products of units with landmarks before the units' norm, all and without edges."""
         row = self.row[code]
-        some = np.flatnonzero(self.inner_count[row])
-        times = self.inner_count[row[some]]
-        at = np.repeat(self.inner_start[row[some]] - (np.cumsum(times) - times), times)
+        some = np.flatnonzero(self.count[row])
+        times = self.count[row[some]]
+        at = np.repeat(self.start[row[some]] - (np.cumsum(times) - times), times)
         at += np.arange(len(at))
-        key = np.repeat(owner[some], times) * len(self.units) + self.inner_owner[at]
-        sums = np.bincount(key, np.repeat(weight[some], times) * self.inner_value[at], n * len(self.units))
-        return sums.reshape(n, len(self.units))
-
-    def held(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(unit, landmark) for every landmark that a unit holds, as places in both lists."""
-        pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for at in range(0, len(units), _BLOCK):
-            part = units[at : at + _BLOCK]
-            unit, landmark = np.nonzero(self._held_sums(*_terms(part), len(part)) >= self.enough)
-            pairs.append((unit + at, landmark))
-        return tuple(np.concatenate(side) for side in zip(*pairs, strict=True))
-
-    def kernels(self, units: list[str]) -> np.ndarray:
-        """One row for each unit, with zero for what is below the floor."""
+        key = np.repeat(owner[some], times) * len(self.units) + self.owner[at]
+        weight, size = np.repeat(weight[some], times), n * len(self.units)
+        sums = (np.bincount(key, weight * part[at], size) for part in (self.value, self.inner))
+        return tuple(x.reshape(n, len(self.units)) for x in sums)
+
+    def read(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kernels, a row for each unit with zero for what is below the floor; and as places in
+        both lists, (unit, landmark) for every landmark that a unit holds."""
         out = np.zeros((len(units), len(self.units)), np.float32)
+        holders, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, len(units), _BLOCK):
             part = units[at : at + _BLOCK]
             owner, code, weight = _terms(part)
-            bound = np.bincount(owner, weight * self.most[self.row[code]], len(part))
+            products, inner = self._products(owner, code, weight, len(part))
             least = np.sqrt(np.bincount(owner, weight**2, len(part)))
-            close = np.flatnonzero(bound >= FLOOR * 0.999 * np.where(least > 0, least, np.inf))
+            bound = FLOOR * 0.999 * np.where(least > 0, least, np.inf)
+            close = np.flatnonzero((products >= bound[:, None]).any(axis=1))
             if len(close):
-                out[at + close] = self._exact([part[i] for i in close])
-        return out
+                norm = _merged([part[i] for i in close])[3]
+                kernels = products[close] / norm[:, None]
+                out[at + close] = np.where(kernels >= FLOOR, kernels, 0)
+            unit, landmark = np.nonzero(inner >= self.enough)
+            holders.append(unit + at)
+            held.append(landmark)
+        return out, np.concatenate(holders), np.concatenate(held)
 
-    def _exact(self, units: list[str]) -> np.ndarray:
-        out = np.zeros((len(units), len(self.units)), np.float32)
-        owner, code, value = _vectors(units)
-        row = self.row[code]
-        shared = row < len(self.table) - 1
-        owner, row, value = owner[shared], row[shared], value[shared]
-        if len(owner):
-            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            parts = self.table[row] * value[:, None].astype(np.float32)
-            out[owner[first]] = np.add.reduceat(parts, first, axis=0)
-        out[out < FLOOR] = 0
-        return out
+    def kernels(self, units: list[str]) -> np.ndarray:
+        return self.read(units)[0]
 
 
 class Reader:
@@ -208,8 +192,8 @@ class Reader:
 
     def _kernels(self, units: list[str]) -> list[np.ndarray | None]:
         short = [u if len(u) <= _LONG else "" for u in units]
-        found = self.landmarks.kernels(short)
-        self._look_inside(short, found)
+        found, holders, held = self.landmarks.read(short)
+        self._look_inside(short, found, zip(holders.tolist(), held.tolist(), strict=True))
         some = found.any(axis=1)
         rows = [found[i] if some[i] else None for i in range(len(units))]
         for i, u in enumerate(units):
@@ -220,10 +204,10 @@ class Reader:
                 rows[i] = best if best.any() else None
         return rows
 
-    def _look_inside(self, units: list[str], found: np.ndarray) -> None:
+    def _look_inside(self, units: list[str], found: np.ndarray, held) -> None:
         """Raise ``found`` to the kernels of windows and parts, for landmarks that units hold."""
         inside: dict[tuple[int, str], None] = {}
-        for i, j in zip(*(side.tolist() for side in self.landmarks.held(units)), strict=True):
+        for i, j in held:
             unit, n = units[i], len(self.landmarks.units[j])
             for width in (n, n + 1):
                 inside.update(((i, unit[s : s + width]), None) for s in range(len(unit) - width + 1))
