@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from tallow.session import shared_path, stage
 
 BUCKET_BYTES = 16 << 20
+FILE_BYTES = 128 << 20  # of records that a task of pass two writes, or more; it writes a file a shard
+MOST_TASKS = 100_000  # that gather buckets: beyond, tasks take several, or buckets be made larger
 BLOCK = 1000  # buckets whose offsets one task adds up
 MAX_BROADCAST_BUCKETS = 500_000  # of 16 bytes each: 8 MB
 _RECORD = "record"
@@ -42,13 +44,16 @@ def _held_bytes(docs: DataFrame):
 
 
 def scatter(docs: DataFrame, seed: int, bucket_bytes: int) -> tuple[DataFrame, int]:
-    """Pass one: (bucket, place, record), each bucket in random order, and their number."""
+    """Pass one: (bucket, place, record), each bucket in random order, and their number.
+
+    There are as many tasks as buckets, whatever the session's number of shuffle partitions.
+    """
     records = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_RECORD))
     total = records.agg(F.sum(_held_bytes(docs))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     place = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     placed = records.withColumn("bucket", F.pmod(place, F.lit(buckets)).cast("bigint"))
-    gathered = placed.repartition("bucket").groupBy("bucket").agg(F.collect_list(_RECORD).alias("all"))
+    gathered = placed.repartition(min(buckets, MOST_TASKS), "bucket").groupBy("bucket").agg(F.collect_list(_RECORD).alias("all"))
     mixed = gathered.select("bucket", F.posexplode(F.shuffle("all", seed)).alias("place", _RECORD))
     return stage(mixed, "buckets"), buckets
 
@@ -97,7 +102,10 @@ def shard(
         .otherwise(longer + F.floor(past / max(small, 1)))
         .cast("int")
         .alias("shard"),
-    ).sortWithinPartitions("shard", "slot")
+    )
+    # without a shuffle: tasks that read less are joined, so small files do not multiply
+    files = -(-buckets * bucket_bytes // FILE_BYTES)
+    dealt = dealt.coalesce(files).sortWithinPartitions("shard", "slot")
     path = path or shared_path(spark, "shards")
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(path)
     return spark.read.schema(dealt.schema).parquet(path)

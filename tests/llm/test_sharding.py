@@ -69,6 +69,26 @@ def test_offsets_over_many_blocks(spark, monkeypatch):
         assert r.start == sum(n for b, n in counts.items() if b < r.bucket)
 
 
+def test_tasks_follow_the_buckets(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('b', 100) as text")
+    for most in (100_000, 3):
+        monkeypatch.setattr(sharding, "MOST_TASKS", most)
+        scattered, buckets = sharding.scatter(docs, 1, 10_000)
+        files = {f.rsplit("/", 1)[1].split("-")[1] for f in scattered.inputFiles()}
+        assert buckets == 33 and scattered.count() == 3000
+        assert len(files) <= 3 if most == 3 else len(files) > 12
+
+
+def test_offsets_joined_without_a_broadcast(spark, monkeypatch):
+    docs = documents(spark, [(100 + i, f"text {i}", "en", "c") for i in range(50)])
+    for most in (500_000, 0):
+        monkeypatch.setattr(sharding, "MAX_BROADCAST_BUCKETS", most)
+        rows = sharding.shard(docs, shards=3, bucket_bytes=4000).collect()
+        assert sorted(str(r.record) for r in rows) == sorted(map(str, docs.collect()))
+        places = [(s, i) for s, n in enumerate((21, 20, 20)) for i in range(n)]
+        assert sorted((r.shard, r.slot) for r in rows) == places
+
+
 def test_plan_is_native(spark):
     scattered, _ = sharding.scatter(documents(spark), 1, 1 << 20)
     plan = scattered._jdf.queryExecution().toString()
