@@ -6,7 +6,8 @@ compared by the subsequences of three letters they share, their two edges counti
 characters lower the kernel, and do not break it. It is normalised, and values below
 ``FLOOR`` count as zero. A unit is read whole and, where it holds at least ``HOLD`` of a landmark's
 own subsequences within its edges, also in windows about as long as that landmark and in the parts
-between its marks: what is glued into a longer unit counts as if it stood alone. Units of more
+between its marks; runs of single letters between marks are read in windows of a landmark's
+spelled-out length: what is glued into a longer unit counts as if it stood alone. Units of more
 than ``_LONG`` characters hold nearly everything; they are read in windows and parts only.
 
 *Nyström.* Landmarks are units that stand out in toxic texts of the training sample. With K
@@ -36,6 +37,7 @@ from tallow.llm.tables import fold, slices, smallest_by_hash
 SAMPLE = 2500  # labelled rows of each class that are learned from
 LANDMARKS = 64
 SENTENCES = 8  # of a document of the sample, those with the largest kernels
+LENGTHS = (3, 40)  # characters of a unit that may become a landmark
 GAP = 3
 DECAY = 0.6
 FLOOR = 0.4
@@ -47,6 +49,7 @@ _PAD = 2 * GAP
 _BREAK = "\0" * _PAD  # keeps subsequences within a unit
 _LONG, _STEP = 40, 20  # units longer than this are read in overlapping windows
 _MARKS = re.compile(r"[\W_]+")
+_DOTTED = re.compile(r"[^\W_](?:[\W_][^\W_]){2,}")
 _CACHE = 200_000
 _BLOCK = 10_000
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -205,13 +208,19 @@ class Reader:
         return rows
 
     def _look_inside(self, units: list[str], found: np.ndarray, held) -> None:
-        """Raise ``found`` to the kernels of windows and parts, for landmarks that units hold."""
+        """Raise ``found`` to the kernels of windows and parts, for landmarks that units hold, and of
+        letters spelled out with marks."""
         inside: dict[tuple[int, str], None] = {}
         for i, j in held:
             unit, n = units[i], len(self.landmarks.units[j])
             for width in (n, n + 1):
                 inside.update(((i, unit[s : s + width]), None) for s in range(len(unit) - width + 1))
             inside.update(((i, part), None) for part in _MARKS.split(unit) if len(part) >= 3)
+        for i, unit in enumerate(units):
+            for run in _DOTTED.findall(unit):
+                for width in self.spelled:
+                    starts = range(0, max(1, len(run) - width + 1), 2)
+                    inside.update(((i, run[s : s + width]), None) for s in starts)
         pieces = [(i, piece) for i, piece in inside if piece != units[i]]
         for at in range(0, len(pieces), _BLOCK):
             own = pieces[at : at + _BLOCK]
@@ -309,28 +318,31 @@ def _labelled(documents: DataFrame, labels: DataFrame, sample: int) -> DataFrame
     return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
-def _unit_batches(batches):
-    for batch in batches:
-        for start, texts in slices(batch, "text"):
-            toxic = batch.column("toxic").slice(start, len(texts)).to_pylist()
-            rows = [
-                (u, t)
-                for text, t in zip(texts, toxic, strict=True)
-                for u in {unit_of(w) for w in text.split()}
-                if 3 <= len(u) <= _LONG
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([u for u, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.int32())],
-                ["unit", "toxic"],
-            )
+def _unit_batches(shortest: int, longest: int):
+    def read(batches):
+        for batch in batches:
+            for start, texts in slices(batch, "text"):
+                toxic = batch.column("toxic").slice(start, len(texts)).to_pylist()
+                rows = [
+                    (u, t)
+                    for text, t in zip(texts, toxic, strict=True)
+                    for u in {unit_of(w) for w in text.split()}
+                    if shortest <= len(u) <= longest
+                ]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([u for u, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.int32())],
+                    ["unit", "toxic"],
+                )
+
+    return read
 
 
-def _telling_units(sample: DataFrame, most: int = 500) -> list[str]:
+def _telling_units(sample: DataFrame, lengths: tuple[int, int], most: int = 500) -> list[str]:
     """Units that are far more frequent in toxic texts, the surest first."""
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if 1 not in sizes or 0 not in sizes:
         return []
-    units = sample.mapInArrow(_unit_batches, "unit string, toxic int")
+    units = sample.mapInArrow(_unit_batches(*lengths), "unit string, toxic int")
     p, q = F.sum("toxic") / sizes[1], F.sum(1 - F.col("toxic")) / sizes[0]
     counted = units.groupBy("unit").agg(F.sum("toxic").alias("n"), p.alias("p"), q.alias("q"))
     noise = F.sqrt(F.col("p") / sizes[1] + F.col("q") / sizes[0])
@@ -358,7 +370,7 @@ def _spread(units: list[str], most: int) -> list[str]:
     return chosen
 
 
-def _sentence_batches(landmarks: Landmarks):
+def _sentence_batches(landmarks: Landmarks, most: int):
     def read(batches):
         reader = Reader(landmarks)
         for batch in batches:
@@ -366,7 +378,7 @@ def _sentence_batches(landmarks: Landmarks):
                 toxic = batch.column("toxic").slice(start, len(texts)).to_pylist()
                 rows = []
                 for label, found in zip(toxic, reader.sentences(texts), strict=True):
-                    order = np.argsort(-found.sum(axis=1), kind="stable")[:SENTENCES]
+                    order = np.argsort(-found.sum(axis=1), kind="stable")[:most]
                     rows.append({"toxic": label, "x": found[order].tobytes()})
                 yield pa.RecordBatch.from_pylist(
                     rows, pa.schema([("toxic", pa.int32()), ("x", pa.binary())])
@@ -375,14 +387,25 @@ def _sentence_batches(landmarks: Landmarks):
     return read
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel | None:
-    """Learn from a bounded sample of labelled documents; None if a class is missing."""
+def fit(
+    documents: DataFrame,
+    labels: DataFrame,
+    sample: int = SAMPLE,
+    sentences: int = SENTENCES,
+    lengths: tuple[int, int] = LENGTHS,
+) -> ToxicityModel | None:
+    """Learn from a bounded sample of labelled documents; None if a class is missing.
+
+    The bounds: ``sample`` documents of each class; of a document the ``sentences`` sentences with
+    the largest kernels; ``LANDMARKS`` landmarks, of units with a number of characters in
+    ``lengths``. Scoring has none of them.
+    """
     drawn = _labelled(documents, labels.withColumn("toxic", F.col("toxic").cast("int")), sample)
-    units = _spread(_telling_units(drawn), LANDMARKS)
+    units = _spread(_telling_units(drawn, lengths), LANDMARKS)
     if not units:
         return None
     landmarks = Landmarks(units)
-    rows = drawn.mapInArrow(_sentence_batches(landmarks), "toxic int, x binary").toPandas()
+    rows = drawn.mapInArrow(_sentence_batches(landmarks, sentences), "toxic int, x binary").toPandas()
     rows = rows.sort_values(["toxic", "x"], ignore_index=True)
     texts = [np.frombuffer(b, np.float32).reshape(-1, len(units)) for b in rows["x"]]
     return train(landmarks, texts, rows["toxic"].to_numpy())

@@ -45,6 +45,9 @@ def brute_score(model, text):
                     for n in (len(m), len(m) + 1):
                         pieces |= {unit[i : i + n] for i in range(len(unit) - n + 1)}
                     pieces |= {p for p in re.split(r"[\W_]+", unit) if len(p) >= 3}
+            for run in re.findall(r"[^\W_](?:[\W_][^\W_]){2,}", unit):
+                for n in {2 * len(m) + d for m in marks for d in (-1, 1)}:
+                    pieces |= {run[i : i + n] for i in range(0, max(1, len(run) - n + 1), 2)}
             sentence = np.maximum(sentence, np.max([floored(p) for p in pieces], axis=0))
         if word is None or word[-1] in ".!?":
             margins += [sentence @ model.weights + model.bias] if sentence.any() else []
@@ -130,7 +133,7 @@ def test_glued_insults_count_in_units_of_every_length():
         for length in (*range(len(insult), 24), 30, 38, 39, 40, 41, 42, 43, 60):
             before = random.randint(0, length - len(insult))
             filler = "".join(random.choices("baek", k=length - len(insult)))
-            for broken in (insult, f"{insult[:3]}x{insult[3:]}", f"{insult[:2]}-{insult[2:]}"):
+            for broken in (insult, f"{insult[:3]}x{insult[3:]}", f"{insult[:2]}-{insult[2:]}", ".".join(insult)):
                 found = reader.sentences([filler[:before] + broken + filler[before:]])[0]
                 least = 0.99 if broken == insult else 1.2 * toxicity.FLOOR
                 assert found.max(initial=0) >= least, (length, before, broken)
@@ -141,7 +144,7 @@ def test_scores_against_one_unit_at_a_time(spark):
     docs, labels = corpus(spark, 200)
     model = toxicity.fit(docs, labels)
     texts = ["", "the in at on.", "on IDIOT! at the", "a theworthlesser thing. in", "wor-thless, ermoxronin at"]
-    texts += ["the you-are-a-clown-and-an-idiot there", "ininid io tat.idiot? clo.wn", "atat" * 9]
+    texts += ["the you-are-a-clown-and-an-idiot there", "ininid io tat.idiot? clo.wn", "atati.d.i.o.tatin on", "at c-l-o-x-w-nin", "atat" * 9]
     texts += [r.text for r in docs.orderBy("doc_id").limit(12).collect()]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.score for r in toxicity.predict_toxicity(frame, model).collect()}
