@@ -28,6 +28,8 @@ from tallow.llm.tables import slices, smallest_by_hash
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 3000  # documents with a digit or an at-sign that are learned from
 REGIONS = 400  # regions with an entity that are learned from, and as many without
+PER_TEXT = 3  # regions of a text that may be drawn
+REGION_CHARS = 600  # characters of a region that are learned from
 ATOMS = 24
 SPAN = 80  # characters of an entity that the field finds, and of the context around a trigger
 _SEED = 9
@@ -330,24 +332,35 @@ def train(texts: list[str], rounds: int = 6, rate: float = 0.4) -> SemiMarkovFie
     return field
 
 
-def _region_batches(batches):
-    for batch in batches:
-        rows = []
-        for _, texts in slices(batch, "text"):
-            for text in texts:
-                for a, b in regions(text)[:3]:
-                    rows.append((text[a:b][:600], bool(base_spans(text[a:b][:600]))))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r for r, _ in rows], pa.string()), pa.array([m for _, m in rows], pa.bool_())],
-            ["region", "marked"],
-        )
+def _region_batches(per_text: int, chars: int):
+    def read(batches):
+        for batch in batches:
+            rows = []
+            for _, texts in slices(batch, "text"):
+                for text in texts:
+                    for a, b in regions(text)[:per_text]:
+                        part = text[a : min(b, a + chars)]
+                        rows.append((part, bool(base_spans(part))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r for r, _ in rows], pa.string()), pa.array([m for _, m in rows], pa.bool_())],
+                ["region", "marked"],
+            )
+
+    return read
 
 
-def fit(documents: DataFrame, sample: int = SAMPLE) -> SemiMarkovField:
+def fit(
+    documents: DataFrame,
+    sample: int = SAMPLE,
+    most: int = REGIONS,
+    per_text: int = PER_TEXT,
+    chars: int = REGION_CHARS,
+) -> SemiMarkovField:
     """Learn from a bounded sample of the documents that have a digit or an at-sign.
 
-    The ids drawn are at most ``sample``, so they may be broadcast; 3 regions of a document
-    are read at most, and of all ``REGIONS`` with an entity and as many without.
+    The bounds: ``sample`` documents, whose ids may so be broadcast; the first ``per_text``
+    regions of a document; the first ``chars`` characters of a region; and of all regions
+    ``most`` with an entity and as many without. Finding has none of them.
     """
     some = documents.select("doc_id", F.col("text").cast("string")).where(
         F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()
@@ -357,10 +370,10 @@ def fit(documents: DataFrame, sample: int = SAMPLE) -> SemiMarkovField:
     rows = some.join(F.broadcast(drawn), "doc_id", "left_semi")
     # an id may be repeated without end: one text of it is enough
     rows = rows.groupBy("doc_id").agg(F.min("text").alias("text")).select("text")
-    rows = rows.mapInArrow(_region_batches, "region string, marked boolean")
+    rows = rows.mapInArrow(_region_batches(per_text, chars), "region string, marked boolean")
     place = F.xxhash64(F.lit(_SEED), "region")
     kept = [
-        rows.where(F.col("marked") == m).distinct().orderBy(place, "region").limit(REGIONS)
+        rows.where(F.col("marked") == m).distinct().orderBy(place, "region").limit(most)
         for m in (True, False)
     ]
     return train(sorted(r["region"] for r in kept[0].union(kept[1]).collect()))
