@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
@@ -17,7 +18,7 @@ from tests.llm.test_simhash import brute_components, brute_fingerprint
 INSULTS = ["idiot", "worthless", "moron"]
 
 
-def corpus(spark, path):
+def corpus(spark, path, odd=False):
     random.seed(9)
     rows, labels = [], []
     for i in range(320):
@@ -34,7 +35,7 @@ def corpus(spark, path):
         text = " ".join(words)
         rows += [(5000 + i, text, lang, "s")] + [(7000 + i, text, lang, "s")] * (i % 16 == 5)
         labels.append((5000 + i, 1, int(toxic)))
-    docs = documents(spark, rows, odd=False)
+    docs = documents(spark, rows, odd)
     docs.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(
         f"{path}/labels.parquet"
@@ -70,8 +71,9 @@ def brute(spark, docs, labels):
     return pieces
 
 
-def test_against_one_document_at_a_time(spark, tmp_path):
-    docs = corpus(spark, tmp_path)
+@pytest.mark.parametrize("odd", [False, True])  # with columns of clashing names
+def test_against_one_document_at_a_time(spark, tmp_path, odd):
+    docs = corpus(spark, tmp_path, odd)
     want = brute(spark, docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     got = [(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows]
@@ -103,6 +105,6 @@ def test_empty_tables(spark, tmp_path):
 
 def test_registered(spark):
     names = entry_points.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names and set(entry_points.oracle_sql()) <= set(names)

@@ -48,6 +48,18 @@ def test_segmentations_are_the_best(vocabulary):
         assert (score, list(ids)) == (want, want_ids)
 
 
+def test_chunks_on_both_sides_of_the_border(vocabulary, monkeypatch):
+    texts = [("un" * 40)[:n] for n in (63, 64, 65)] + ["é漢🙂" * 22, "a b" * 30] + TEXTS
+    found = []
+    for border in (64, 0, 10_000):
+        monkeypatch.setattr(unigram, "_LONG", border)
+        encoded = unigram.Encoder(vocabulary).encode(texts)
+        found.append([(list(ids), score) for ids, score in encoded])
+    assert found[0] == found[1] == found[2]
+    for text, (ids, score) in zip(texts, found[0], strict=True):
+        assert (score, ids) == brute(vocabulary, text)
+
+
 def test_decoding_is_that_of_the_library(vocabulary):
     library = sentencepiece.SentencePieceProcessor(
         model_file=str(public_tokenizers.path(unigram.VOCABULARY))
