@@ -20,27 +20,45 @@ def _in_turn(values: list[str], every: int) -> str:
     return f"element_at(array({listed}), cast(event_id div {every} % {len(values)} + 1 as int))"
 
 
+def number_text(x: str) -> str:
+    """A double as DuckDB spells it: the fewest digits that read back as the number, with an
+    exponent (``1e+16``, ``1e-05``) from 1e16 up and below 1e-4 only, and ``inf`` and ``nan``.
+
+    Spark's cast is that between 1e-3 and 1e7; beyond, it writes ``1.5E7`` and, at times, a digit
+    more than needed.
+    """
+    java = f"cast({x} as string)"
+    plain = rf"regexp_replace(cast(cast({java} as decimal(38, 22)) as string), r'(\.\d+?)0+$', '$1')"
+    by_digits = f"transform(sequence(0, 16), d -> format_string(concat('%.', d, 'e'), {x}))"
+    shortest = f"element_at(filter({by_digits}, t -> cast(t as double) = {x}), 1)"
+    return f"""case when {x} is null or {x} = 0 or abs({x}) >= 1e-3 and abs({x}) < 1e7 then {java}
+                    when isnan({x}) then 'nan'
+                    when abs({x}) = double('infinity') then if({x} > 0, 'inf', '-inf')
+                    when abs({x}) >= 1e-4 and abs({x}) < 1e16 then {plain}
+                    else {shortest} end"""
+
+
 _COLUMNS = {
     "open_time": "cast(slot as string)",
     "open": """case when event_id % 101 = 0 then 'abc'
                     when event_id % 206 = 0 then null
                     when event_id % 103 = 0 then """
     + _in_turn(NA_TOKENS, 103 * 2)
-    + " else cast(value as string) end",
+    + f" else {number_text('value')} end",
     "high": f"""case when event_id % 109 = 0 then {_in_turn(ODD_FLOATS, 109)}
-                     else cast(value + 1 as string) end""",
-    "low": "cast(value / 2 as string)",
-    "close": "cast(value as string)",
+                     else {number_text('(value + 1)')} end""",
+    "low": number_text("(value / 2)"),
+    "close": number_text("value"),
     "volume": "cast(user_id as string)",
     "close_time": "cast(slot + 899999 as string)",
-    "quote_volume": "cast(value * user_id as string)",
+    "quote_volume": number_text("(value * user_id)"),
     "trades": """case when event_type = 'error' and day(ts) = 13 and event_id % 5 = 0
                       then 'n/a'
                       when event_id % 113 = 0 then """
     + _in_turn(ODD_INTS, 113)
     + " else get_json_object(props, '$.k') end",
-    "taker_buy_base": "cast(user_id / 4 as string)",
-    "taker_buy_quote": "cast(value * user_id / 4 as string)",
+    "taker_buy_base": number_text("(user_id / 4)"),
+    "taker_buy_quote": number_text("(value * user_id / 4)"),
     "extra": "'0'",
 }
 
