@@ -4,7 +4,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,8 +80,8 @@ def read_landed_csv(
     ``detect_header`` only if none of its fields is a number. One column is declared past the width, so that a row with too many fields shows, as an error
     of its day.
 
-    A row's position is the first byte of its block plus its number in the block. A block of
-    n bytes has n rows at most, so positions rise through a file, however many tasks read it.
+    A row's position is its number in the file, however many tasks read it: its number in the
+    block plus the rows of the blocks before.
     """
     names = [f"c{i}" for i in range(width)]
     text = [*names, "overflow", *PARTITION_COLUMNS]
@@ -92,8 +92,10 @@ def read_landed_csv(
         *(F.col(v).alias(k) for k, v in block.items()),
         F.monotonically_increasing_id().alias("_n"),
     )
-    firsts = rows.groupBy(*block).agg(F.min("_n").alias("_first"))
-    rows = rows.join(firsts, list(block))
+    blocks = rows.groupBy(*block).agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    rows = rows.join(blocks, list(block))
     if detect_header:
         is_number = F.exists(F.array(*names), lambda c: c.rlike(f"^{NUMBER_PATTERN}$"))
         first = (F.col("_block") == 0) & (F.col("_n") == F.col("_first"))
@@ -102,7 +104,7 @@ def read_landed_csv(
     keyed = rows.select(
         *PARTITION_COLUMNS,
         F.lit(source).alias("source"),
-        (F.col("_block") + F.col("_n") - F.col("_first")).alias("row_pos"),
+        (F.col("_start") + F.col("_n") - F.col("_first")).alias("row_pos"),
         F.when(too_wide, ERROR).alias("status"),
         F.when(too_wide, F.lit("more fields than the header")).alias("error"),
         F.lit(width).alias("n_fields"),

@@ -39,7 +39,7 @@ def check(spark, folder, con, query):
     assert difference(ours, con.sql(entry_points.oracle_sql()[query]).df()) is None
 
 
-@pytest.mark.parametrize("query", ["drop_all_null_rows", "archive_scan", "candle_archive_pushdown", "candle_archive_source", "headerless_archive_scan"])
+@pytest.mark.parametrize("query", ["drop_all_null_rows", "archive_scan", "candle_archive_pushdown", "candle_archive_source", "headerless_archive_scan", "csv_scan_header_discard"])
 def test_large_numbers_as_text(spark, odd, query):
     check(spark, *odd["large_users"], query)
 
@@ -56,3 +56,12 @@ def test_number_text(spark):
     rows = numbers.select("x", F.expr(number_text("x")).alias("text")).collect()
     # Python spells numbers as DuckDB does
     assert [r["text"] for r in rows] == [None if r["x"] is None else repr(r["x"]) for r in rows]
+
+
+def test_csv_positions_of_split_files(spark, odd):
+    """Positions have no gaps where several tasks read one file."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        check(spark, *odd["large_users"], "csv_scan_header_discard")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
