@@ -17,7 +17,9 @@ ODD_INTS = ["12.7", "1e3", "-3.9", "8.0"]
 
 def _in_turn(values: list[str], every: int) -> str:
     listed = ", ".join(f"'{v}'" for v in values)
-    return f"element_at(array({listed}), cast(event_id div {every} % {len(values)} + 1 as int))"
+    place = f"cast(event_id div {every} % {len(values)} + 1 as int)"
+    # below zero it counts from the end, and there is nothing at place 0, as in the SQL
+    return f"case when {place} <> 0 then element_at(array({listed}), {place}) end"
 
 
 def number_text(x: str) -> str:
@@ -69,7 +71,7 @@ def raw_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     events = events.withColumn("slot", F.expr("unix_millis(ts) div 900000 * 900000"))
     text = [
-        F.when(F.col("event_id") % 107 != 0, F.expr(sql)).alias(name)
+        F.when(F.coalesce(F.col("event_id") % 107 != 0, F.lit(True)), F.expr(sql)).alias(name)
         for name, sql in _COLUMNS.items()
     ]
     return events.select(

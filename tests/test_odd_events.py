@@ -65,3 +65,9 @@ def test_csv_positions_of_split_files(spark, odd):
         check(spark, *odd["large_users"], "csv_scan_header_discard")
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("table", ["negative_ids", "null_id"])
+@pytest.mark.parametrize("query", ["coerce_int64"])
+def test_odd_ids(spark, odd, query, table):
+    check(spark, *odd[table], query)
