@@ -68,6 +68,6 @@ def test_csv_positions_of_split_files(spark, odd):
 
 
 @pytest.mark.parametrize("table", ["negative_ids", "null_id"])
-@pytest.mark.parametrize("query", ["coerce_int64"])
+@pytest.mark.parametrize("query", ["coerce_float32", "coerce_int64"])
 def test_odd_ids(spark, odd, query, table):
     check(spark, *odd[table], query)
