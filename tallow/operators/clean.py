@@ -56,6 +56,12 @@ def with_timestamp(df: DataFrame) -> DataFrame:
     return df.withColumn("timestamp", epoch_ms_to_utc("open_time"))
 
 
+def is_data() -> Column:
+    """True for a row of a file, also for one of unknown position; false for the row that only
+    carries a day's fetch status."""
+    return F.col("row_pos").isNotNull() | F.col("status").isNull()
+
+
 def _problem() -> Column:
     """Why a row fails its whole day; null for a sound row."""
     n_columns = len(CANDLE_COLUMNS)
@@ -64,7 +70,7 @@ def _problem() -> Column:
         F.col("n_fields") < n_columns,
         F.concat(F.col("n_fields"), F.lit(f" columns, {n_columns} needed")),
     )
-    data = F.col("row_pos").isNotNull()
+    data = is_data()
     for c in INT_COLUMNS:
         reason = reason.when(data & F.col(c).isNull(), F.lit(f"{c} is not an integer"))
     outside = ~epoch_ms_in_range("open_time") & (F.col("open_time") != NO_TIME)
@@ -80,7 +86,7 @@ def type_candles(raw: DataFrame) -> DataFrame:
     """
     source_columns = [*CANDLE_COLUMNS, "extra"]
     keyed = raw.withColumn("interval", F.coalesce("interval", F.lit(NO_INTERVAL)))
-    present = keyed.where(F.col("row_pos").isNull() | any_present(source_columns))
+    present = keyed.where(~is_data() | any_present(source_columns))
     typed = present.transform(coerce_float32).transform(coerce_int64)
     return typed.select(
         *DAY_KEY, "row_pos", "status", _problem().alias("problem"), *CANDLE_COLUMNS

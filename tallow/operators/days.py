@@ -7,10 +7,14 @@ duplicates are cut before and after an exchange on (day, open_time). There is on
 days of every size.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallow.functions.paths import partition_folder
+from tallow.operators.clean import is_data
 from tallow.schema import ABSENT, DAY_KEY, DONE, ERROR, NO_TIME, SKIP
 
 # Rows a task of a shuffle of all rows should get, at about 80 bytes each.
@@ -19,9 +23,9 @@ ROWS_PER_TASK = 2_000_000
 
 def day_stats(typed: DataFrame) -> DataFrame:
     """One row per day: data rows, those with a time, first problem, absent archive."""
-    timed = F.col("row_pos").isNotNull() & (F.col("open_time") != NO_TIME)
+    timed = is_data() & (F.col("open_time") != NO_TIME)
     return typed.groupBy(*DAY_KEY).agg(
-        F.count("row_pos").alias("n_rows"),
+        F.count_if(is_data()).alias("n_rows"),
         F.count_if(timed).alias("n_timed"),
         F.min("problem").alias("problem"),
         F.max(F.coalesce(F.col("status") == ABSENT, F.lit(False))).alias("absent"),
@@ -36,9 +40,11 @@ def gate_days(typed: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     the choice is made from their size, and ``typed`` is read once.
     """
     stats = day_stats(typed) if stats is None else stats
-    failed = stats.where(F.col("problem").isNotNull()).select(*DAY_KEY)
-    rows = typed.where(F.col("row_pos").isNotNull())
-    return rows.join(failed, DAY_KEY, "left_anti").drop("status", "problem")
+    failed = stats.where(F.col("problem").isNotNull()).select(*(F.col(c).alias(f"_{c}") for c in DAY_KEY))
+    rows = typed.where(is_data())
+    # rows without a date or symbol are a day too, so nulls are equal here
+    same_day = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in DAY_KEY))
+    return rows.join(failed, same_day, "left_anti").drop("status", "problem")
 
 
 def shuffle_tasks(stats: DataFrame) -> int | None:
@@ -50,12 +56,12 @@ def shuffle_tasks(stats: DataFrame) -> int | None:
 
 
 def dedup_keep_first(df: DataFrame) -> DataFrame:
-    """First row in file order of each open_time of a day.
+    """First row in file order of each open_time of a day; rows without a position come last.
 
     The rank limit runs before the exchange too, so a heavily repeated key shrinks to one
     row per task before it moves.
     """
-    same_time = Window.partitionBy(*DAY_KEY, "open_time").orderBy("row_pos")
+    same_time = Window.partitionBy(*DAY_KEY, "open_time").orderBy(F.col("row_pos").asc_nulls_last())
     ranked = df.withColumn("nth", F.row_number().over(same_time))
     return ranked.where(F.col("nth") == 1).drop("nth")
 

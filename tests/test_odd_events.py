@@ -71,3 +71,9 @@ def test_csv_positions_of_split_files(spark, odd):
 @pytest.mark.parametrize("query", ["coerce_float32", "coerce_int64"])
 def test_odd_ids(spark, odd, query, table):
     check(spark, *odd[table], query)
+
+
+@pytest.mark.parametrize("table", ["null_id", "null_times"])
+@pytest.mark.parametrize("query", ["day_gate"])
+def test_days_of_odd_rows(spark, odd, query, table):
+    check(spark, *odd[table], query)
