@@ -74,6 +74,6 @@ def test_odd_ids(spark, odd, query, table):
 
 
 @pytest.mark.parametrize("table", ["null_id", "null_times"])
-@pytest.mark.parametrize("query", ["day_gate", "epoch_ms_to_utc", "drop_null_timestamp", "dedup_keep_first", "candle_normalize"])
+@pytest.mark.parametrize("query", ["day_gate", "epoch_ms_to_utc", "drop_null_timestamp", "dedup_keep_first", "candle_normalize", "landed_csv_normalize"])
 def test_days_of_odd_rows(spark, odd, query, table):
     check(spark, *odd[table], query)
