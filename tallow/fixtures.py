@@ -27,16 +27,30 @@ def number_text(x: str) -> str:
     exponent (``1e+16``, ``1e-05``) from 1e16 up and below 1e-4 only, and ``inf`` and ``nan``.
 
     Spark's cast is that between 1e-3 and 1e7; beyond, it writes ``1.5E7`` and, at times, a digit
-    more than needed.
+    more than needed. Powers of two from 5e17 up may have a digit more than in DuckDB.
     """
     java = f"cast({x} as string)"
     plain = rf"regexp_replace(cast(cast({java} as decimal(38, 22)) as string), r'(\.\d+?)0+$', '$1')"
     by_digits = f"transform(sequence(0, 16), d -> format_string(concat('%.', d, 'e'), {x}))"
     shortest = f"element_at(filter({by_digits}, t -> cast(t as double) = {x}), 1)"
+    # Java rounds its own text of a number, which may be a digit off; a whole number is rounded here
+    high = f"cast(floor(abs({x}) / 4294967296d) as bigint)"
+    low = f"cast(abs({x}) - {high} * 4294967296d as bigint)"
+    whole = f"cast(cast({high} as decimal(20, 0)) * 4294967296 + {low} as decimal(30, 0))"
+    unit = "cast(rpad('1', length(cast(n as string)) - d + 1, '0') as decimal(30, 0))"
+    rounded = f"concat((2 * n + {unit}) div (2 * {unit}), 'e', length(cast(n as string)) - d)"
+    # few numbers have 15 digits or less; fewer than these need not be tried for the others
+    tried = f"sequence(if(exists(array(15), d -> cast({rounded} as double) = abs({x})), 1, 16), 17)"
+    exact = f"filter(transform({tried}, d -> {rounded}), t -> cast(t as double) = abs({x}))[0]"
+    digits, places = "substring_index(t, 'e', 1)", "cast(substring_index(t, 'e', -1) as int)"
+    spelled = rf"""concat(if({x} < 0, '-', ''), regexp_replace(rtrim('0', {digits}), r'^(.)(.+)$', '$1.$2'),
+                          'e+', length({digits}) - 1 + {places})"""
+    large = f"transform(transform(array({whole}), n -> {exact}), t -> {spelled})[0]"
     return f"""case when {x} is null or {x} = 0 or abs({x}) >= 1e-3 and abs({x}) < 1e7 then {java}
                     when isnan({x}) then 'nan'
                     when abs({x}) = double('infinity') then if({x} > 0, 'inf', '-inf')
                     when abs({x}) >= 1e-4 and abs({x}) < 1e16 then {plain}
+                    when abs({x}) >= 5e17 and abs({x}) < 3e28 then {large}
                     else {shortest} end"""
 
 

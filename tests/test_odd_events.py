@@ -92,3 +92,16 @@ def unsorted(tmp_path_factory):
 @pytest.mark.parametrize("query", ["landed_csv_normalize", "csv_scan_header_discard"])
 def test_unsorted_events(spark, unsorted, query):
     check(spark, *unsorted, query)
+
+
+WHOLE = [
+    9.203579927868276e17, -9.550299547244212e17, 1.3857576053419028e18, 2.0003685697692052e18, 3.4028235677973366e28,
+    1e16, 1e17, 2e17, 9.9999999999999997e22, 1.2e28, -8.41e21,
+]
+
+
+def test_text_of_large_whole_numbers(spark):
+    """The digits nearest to the number, also where Java's own text of it is a digit off."""
+    numbers = spark.createDataFrame([(x,) for x in WHOLE], "x double")
+    rows = numbers.select(F.expr(number_text("x")).alias("text")).collect()
+    assert [r["text"] for r in rows] == [repr(x) for x in WHOLE]
