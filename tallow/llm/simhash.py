@@ -108,12 +108,16 @@ def _keyed(distinct: DataFrame, deleted_bit: int) -> DataFrame:
 
 
 def link(distinct: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different fingerprints (column fp) with at most two differing bits."""
+    """Pairs (a, b) of different fingerprints (column fp) with at most two differing bits.
+
+    The join is a merge: Spark takes a side for as large as its fingerprints before they are
+    exploded to 38 keys, and would send it through the driver.
+    """
     left, right = _keyed(distinct, 0).toDF("a", "key"), _keyed(distinct, 1).toDF("b", "key")
     # keys of equal halves are on both sides: there the order keeps one of two
     once = (F.shiftrightunsigned("key", 54) == 6) | (F.col("a") < F.col("b"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    joined = left.withColumnRenamed("key", "k").join(right, (F.col("k") == F.col("key")) & once & near)
+    joined = left.withColumnRenamed("key", "k").join(right.hint("merge"), (F.col("k") == F.col("key")) & once & near)
     return joined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -142,7 +146,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = _rooted(prints)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select(
+    # every fingerprint is in both; only the right side of a left join may be broadcast, and equal
+    # rows press the file of the left one to nothing
+    return prints.join(of_fp, "fp", "left").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

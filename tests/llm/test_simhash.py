@@ -76,6 +76,23 @@ def test_links_against_all_pairs(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_links_are_not_broadcast(spark):
+    plan = executed(simhash.link(spark.range(1000).toDF("fp")))  # a size Spark would broadcast
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 1
+
+
+def test_rows_are_not_broadcast(spark):
+    rows = [(1, "one text many times over", "en", None)] * 500
+    rows += [(i, f"t{i} u{i} v{i}", "en", None) for i in range(100, 2000)]
+    found = simhash.near_duplicates(documents(spark, rows))
+    assert "BuildLeft" not in executed(found)
+    assert sum(r.doc_id == 1 and r.component_id == 1 for r in found.collect()) >= 500
+
+
 def test_one_of_each_component_stays(spark):
     docs = documents(spark)
     kept = simhash.keep_first(docs)
