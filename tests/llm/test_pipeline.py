@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from tallow.llm import langid, packing, pii, toxicity
+from tallow.llm import langid, packing, pii, simhash, toxicity
 from tests.llm.cases import documents, none
 from tests.llm.test_langid import SYLLABLES
 from tests.llm.test_simhash import brute_components, brute_fingerprint
@@ -94,6 +94,19 @@ def test_stages_are_named_and_keep_the_columns(spark, tmp_path):
         assert step(spark, docs, str(tmp_path)).dtypes == docs.dtypes
 
 
+def test_near_duplicates_are_found_without_broadcasting_keys(spark, tmp_path, monkeypatch):
+    docs, plans, link = corpus(spark, tmp_path), [], simhash.link
+
+    def watched(distinct):
+        links = link(distinct)
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return links
+
+    monkeypatch.setattr(simhash, "link", watched)
+    corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_empty_tables(spark, tmp_path):
     empty = none(documents(spark, odd=False))
     empty.write.parquet(f"{tmp_path}/documents.parquet")
